@@ -2,12 +2,11 @@
 
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
+import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -21,34 +20,55 @@ from wardlight.fixed_values import (
 from wardlight.functions.privacy import patient_token
 from wardlight.operators.features import scaler_stats, stratified_split
 
-_INTERNAL = ("_features", "_raw", "_probability")
+_REFINED = 1e-9
 
 
 @dataclass(frozen=True)
 class RiskModel:
-    """A fitted model: a saveable pipeline (scale, assemble, classify) and its inputs."""
+    """A fitted model: per feature its mean, scale and coefficient, and the intercept."""
 
-    pipeline: PipelineModel
     features: tuple
+    means: tuple
+    scales: tuple
+    coefficients: tuple
+    intercept: float
+
+    def scaled(self) -> list:
+        """The standardized features as columns."""
+        return [
+            (F.col(name) - F.lit(mean)) / F.lit(scale)
+            for name, mean, scale in zip(self.features, self.means, self.scales)
+        ]
 
-    @property
-    def regression(self):
-        return self.pipeline.stages[-1]
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Store the model as a small table, the intercept as a row without a feature."""
+        rows = [
+            *zip(self.features, self.means, self.scales, self.coefficients),
+            (None, None, None, self.intercept),
+        ]
+        spark.createDataFrame(
+            rows, "feature string, mean double, scale double, coefficient double"
+        ).coalesce(1).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "RiskModel":
+        rows = spark.read.parquet(path).collect()
+        effects = [row for row in rows if row["feature"] is not None]
+        return cls(
+            features=tuple(row["feature"] for row in effects),
+            means=tuple(row["mean"] for row in effects),
+            scales=tuple(row["scale"] for row in effects),
+            coefficients=tuple(row["coefficient"] for row in effects),
+            intercept=next(row["coefficient"] for row in rows if row["feature"] is None),
+        )
 
-    def save(self, path: str) -> None:
-        self.pipeline.write().overwrite().save(path)
 
-
-def _standardize(split: DataFrame, features: tuple) -> list:
-    stats = {row["feature"]: row for row in scaler_stats(split, features).collect()}
-    scaled = ", ".join(
-        f"(`{name}` - {stats[name]['mean']!r}D) / {stats[name]['scale']!r}D AS `_z_{name}`"
-        for name in features
-    )
-    return [
-        SQLTransformer(statement=f"SELECT *, {scaled} FROM __THIS__"),
-        VectorAssembler(inputCols=[f"_z_{name}" for name in features], outputCol="_features"),
-    ]
+def _probability(scaled: list, weights: list) -> Column:
+    """Logistic function of intercept (first weight) plus weighted features."""
+    linear = F.lit(float(weights[0]))
+    for column, weight in zip(scaled, weights[1:]):
+        linear = linear + column * F.lit(float(weight))
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-linear))
 
 
 def fit_risk_model(
@@ -63,34 +83,89 @@ def fit_risk_model(
     An L2 penalty of `inverse_penalty` C on the summed loss is 1 / (C * rows) on
     Spark's mean loss. The features are standardized here, with the population
     deviation, so Spark must not do it again. The driver sees one row of scaling
-    statistics and one gradient per iteration.
+    statistics and one gradient per iteration. `split` is read several times:
+    store it first when it is expensive to compute.
     """
-    train = split.where(F.col("is_test") == 0)
-    scaling = PipelineModel(_standardize(split, features))
-    prepared = scaling.transform(train).select("_features", F.col(target).cast("double").alias(target))
-    classifier = LogisticRegression(
-        featuresCol="_features",
-        labelCol=target,
-        predictionCol="prediction",
-        probabilityCol="_probability",
-        rawPredictionCol="_raw",
+    stats = {row["feature"]: row for row in scaler_stats(split, features).collect()}
+    unfitted = RiskModel(
+        features=tuple(features),
+        means=tuple(stats[name]["mean"] for name in features),
+        scales=tuple(stats[name]["scale"] for name in features),
+        coefficients=(0.0,) * len(features),
+        intercept=0.0,
+    )
+    names = [f"z{i}" for i in range(1, len(features) + 1)]
+    train = split.where(F.col("is_test") == 0).select(
+        F.col(target).cast("double").alias("y"),
+        *[column.alias(name) for column, name in zip(unfitted.scaled(), names)],
+    )
+    assembled = VectorAssembler(inputCols=names, outputCol="features").transform(train)
+    fitted = LogisticRegression(
+        featuresCol="features",
+        labelCol="y",
         regParam=1.0 / (inverse_penalty * max(train.count(), 1)),
         elasticNetParam=0.0,
         standardization=False,
         maxIter=max_iterations,
-        tol=1e-10,
-    ).fit(prepared)
-    return RiskModel(PipelineModel([*scaling.stages, classifier]), tuple(features))
+    ).fit(assembled.select("features", "y"))
+    weights = _refine(
+        train,
+        names,
+        np.array([fitted.intercept, *fitted.coefficients.toArray()]),
+        1.0 / inverse_penalty,
+    )
+    return RiskModel(
+        features=unfitted.features,
+        means=unfitted.means,
+        scales=unfitted.scales,
+        coefficients=tuple(float(weight) for weight in weights[1:]),
+        intercept=float(weights[0]),
+    )
+
+
+def _refine(
+    train: DataFrame, names: list, weights: np.ndarray, penalty: float, max_steps: int = 10
+) -> np.ndarray:
+    """Newton steps from a solution that is nearly there.
+
+    L-BFGS compares losses and cannot tell apart weights that differ by less than
+    about 1e-8, so where it stops depends on how the rows are partitioned. One or
+    two Newton steps, one aggregate each, remove that dependence.
+    """
+    columns = [F.lit(1.0), *[F.col(name) for name in names]]
+    size = len(columns)
+    upper = [(i, j) for i in range(size) for j in range(i, size)]
+    ridge = np.diag([0.0] + [penalty] * (size - 1))
+    for _ in range(max_steps):
+        rated = train.withColumn("p", _probability(columns[1:], weights)).withColumn(
+            "w", F.col("p") * (1 - F.col("p"))
+        )
+        sums = rated.agg(
+            *[F.sum(F.col("w") * columns[i] * columns[j]) for i, j in upper],
+            *[F.sum((F.col("y") - F.col("p")) * column) for column in columns],
+        ).first()
+        if sums[0] is None:
+            return weights
+        curvature = np.zeros((size, size))
+        for (i, j), value in zip(upper, sums):
+            curvature[i, j] = curvature[j, i] = value
+        gradient = np.array(sums[len(upper) :], dtype=float) - ridge @ weights
+        step = np.linalg.solve(curvature + ridge, gradient)
+        weights = weights + step
+        if np.abs(step).max() < _REFINED:
+            break
+    return weights
 
 
 def score(model: RiskModel, frame: DataFrame) -> DataFrame:
-    """The frame with `risk_probability` and the predicted class at 0.5."""
-    scored = model.pipeline.transform(frame)
-    internal = [*_INTERNAL, *[f"_z_{name}" for name in model.features]]
-    return (
-        scored.withColumn("risk_probability", vector_to_array("_probability")[1])
-        .withColumn("predicted_readmit", F.col("prediction").cast("int"))
-        .drop("prediction", *internal)
+    """The frame with `risk_probability` and the predicted class at 0.5.
+
+    A plain expression over the feature columns, so scoring stays inside generated
+    code and can follow any scan.
+    """
+    probability = _probability(model.scaled(), [model.intercept, *model.coefficients])
+    return frame.withColumn("risk_probability", probability).withColumn(
+        "predicted_readmit", (F.col("risk_probability") > 0.5).cast("int")
     )
 
 
@@ -99,7 +174,7 @@ def risk_scores(scored: DataFrame, secret: str) -> DataFrame:
     return scored.select(
         patient_token(F.col("patient_id"), secret).alias("patient_token"),
         "encounter_id",
-        F.round("risk_probability", 4).alias("risk_probability"),
+        F.round("risk_probability", 6).alias("risk_probability"),
         "predicted_readmit",
     )
 
@@ -111,7 +186,7 @@ def patient_risk(scored: DataFrame, secret: str) -> DataFrame:
         .groupBy("patient_id")
         .agg(
             F.count("*").alias("encounters"),
-            F.round(F.max("risk_probability"), 4).alias("risk_probability"),
+            F.round(F.max("risk_probability"), 6).alias("risk_probability"),
         )
         .select(
             patient_token(F.col("patient_id"), secret).alias("patient_token"),
@@ -204,12 +279,9 @@ def classification_report(scored_test: DataFrame, target: str = MODEL_TARGET) ->
     return measured.select(F.inline(F.array(*rows)))
 
 
-def coefficients(model: RiskModel, spark) -> DataFrame:
+def coefficients(model: RiskModel, spark: SparkSession) -> DataFrame:
     """Signed and absolute coefficient per feature, smallest effect first."""
-    rows = [
-        (feature, float(value))
-        for feature, value in zip(model.features, model.regression.coefficients.toArray())
-    ]
+    rows = list(zip(model.features, model.coefficients))
     table = spark.createDataFrame(rows, "feature string, coefficient double")
     return table.withColumn("abs_coef", F.abs("coefficient")).orderBy("abs_coef", "feature")
 
