@@ -534,10 +534,8 @@ _SPLIT = (
     _MODEL_ROWS
     + """,
 mixed AS (
-  SELECT *, XOR(v, v >> 16) AS h FROM (
-    SELECT *, (XOR(u, u >> 16) * 73244475) % 4294967296 AS v FROM (
-      SELECT *, (XOR(t, t >> 16) * 73244475) % 4294967296 AS u FROM (
-        SELECT *, (encounter_id + 42) % 4294967296 AS t FROM model_rows)))
+  SELECT *, ((((encounter_id + 42) % 2147483647) * 48271) % 2147483647 * 1664525) % 4294967296 AS h
+  FROM model_rows
 ),
 label_sizes AS (
   SELECT readmitted_30d AS label, COUNT(*) AS n, SUM(COUNT(*)) OVER () AS total
@@ -562,7 +560,7 @@ scaling AS MATERIALIZED (
         f"AVG({name}) AS mean_{name}, COALESCE(NULLIF(STDDEV_POP({name}), 0), 1) AS scale_{name}"
         for name in MODEL_FEATURES
     )
-    + """ FROM split WHERE is_test = 0
+    + """, COUNT(*) AS train_rows FROM split WHERE is_test = 0
 )"""
 )
 
@@ -642,7 +640,7 @@ def _newton() -> str:
 def _model() -> dict:
     newton = _newton()
     scale = " UNION ALL ".join(
-        f"SELECT '{n}' AS feature, ROUND(mean_{n}, 6) AS mean, ROUND(scale_{n}, 6) AS scale FROM scaling"
+        f"SELECT '{n}' AS feature, ROUND(mean_{n}, 6) AS mean, ROUND(scale_{n}, 6) AS scale, train_rows FROM scaling"
         for n in MODEL_FEATURES
     )
     ratio = "CAST(({s} * CAST({a} AS BIGINT) * 2 + {b}) // (2 * NULLIF({b}, 0)) AS DOUBLE) / {s}"

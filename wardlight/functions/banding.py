@@ -18,8 +18,7 @@ def age_midpoint(band: Column) -> Column:
 
 
 def age_band_dimension(spark: SparkSession) -> DataFrame:
-    rows = [(band, order) for order, (band, _) in enumerate(AGE_BANDS)]
-    return spark.createDataFrame(rows, "age_group string, band_order int")
+    return _dimension(spark, [band for band, _ in AGE_BANDS], "age_group", "band_order")
 
 
 def medication_tier(count: Column) -> Column:
@@ -41,5 +40,10 @@ def medication_bin(count: Column) -> Column:
 
 
 def medication_bin_dimension(spark: SparkSession) -> DataFrame:
-    rows = [(label, order) for order, (_, _, label) in enumerate(MEDICATION_BINS)]
-    return spark.createDataFrame(rows, "medication_bin string, bin_order int")
+    return _dimension(spark, [label for *_, label in MEDICATION_BINS], "medication_bin", "bin_order")
+
+
+def _dimension(spark: SparkSession, labels: list, name: str, order: str) -> DataFrame:
+    """An inline table of labels in their order."""
+    rows = ", ".join(f"('{label}', {place})" for place, label in enumerate(labels))
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t({name}, {order})")

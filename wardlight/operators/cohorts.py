@@ -172,20 +172,61 @@ def correlation_pairs(clean: DataFrame, columns: tuple = CORRELATED_COLUMNS) ->
 
     The lower triangle of the matrix as (x, y, corr) rows, from a single scan. A
     column that is constant on a pair's rows has no correlation (NULL).
+
+    Rows are grouped by which columns they know, a handful of groups, with one sum
+    per column and product; a pair then adds up the groups that know both. That
+    keeps the aggregate over the encounters narrow enough for generated code, which
+    a moment aggregate per pair is not.
     """
-    names = {f"{y}|{x}": (x, y) for x, y in combinations(columns, 2)}
-    row = clean.agg(*[_pearson(x, y).alias(pair) for pair, (x, y) in names.items()])
-    return row.unpivot([], [F.col(f"`{pair}`") for pair in names], "_pair", "corr").select(
-        F.split_part("_pair", F.lit("|"), F.lit(1)).alias("x"),
-        F.split_part("_pair", F.lit("|"), F.lit(2)).alias("y"),
-        "corr",
+    value = {name: F.coalesce(F.col(name).cast("double"), F.lit(0.0)) for name in columns}
+    bit = {name: 1 << place for place, name in enumerate(columns)}
+    known = F.lit(0)
+    for name in columns:
+        known = known + F.when(F.col(name).isNotNull(), bit[name]).otherwise(0)
+    products = [(x, y) for i, x in enumerate(columns) for y in columns[: i + 1]]
+    groups = clean.groupBy(known.alias("known")).agg(
+        F.count("*").cast("double").alias("n"),
+        *[F.sum(value[name]).alias(f"s_{name}") for name in columns],
+        *[F.sum(value[x] * value[y]).alias(f"s_{x}_{y}") for x, y in products],
+        *[F.min(name).cast("double").alias(f"lo_{name}") for name in columns],
+        *[F.max(name).cast("double").alias(f"hi_{name}") for name in columns],
     )
-
-
-def _pearson(x: str, y: str) -> Column:
-    x_of_pair = F.when(F.col(y).isNotNull(), F.col(x).cast("double"))
-    y_of_pair = F.when(F.col(x).isNotNull(), F.col(y).cast("double"))
-    spread = F.stddev_pop(x_of_pair) * F.stddev_pop(y_of_pair)
-    return F.covar_pop(F.col(x).cast("double"), F.col(y).cast("double")) / F.nullif(
-        spread, F.lit(0.0)
+    both = {(x, y): bit[x] | bit[y] for x, y in combinations(reversed(columns), 2)}
+    entries = [
+        F.struct(
+            F.lit(x).alias("x"),
+            F.lit(y).alias("y"),
+            (F.col("known").bitwiseAND(F.lit(bits)) == bits).alias("complete"),
+            F.col("n"),
+            F.col(f"s_{x}").alias("sx"),
+            F.col(f"s_{y}").alias("sy"),
+            F.col(f"s_{x}_{x}").alias("sxx"),
+            F.col(f"s_{y}_{y}").alias("syy"),
+            F.col(f"s_{x}_{y}").alias("sxy"),
+            F.col(f"lo_{x}").alias("x_lo"),
+            F.col(f"hi_{x}").alias("x_hi"),
+            F.col(f"lo_{y}").alias("y_lo"),
+            F.col(f"hi_{y}").alias("y_hi"),
+        )
+        for (x, y), bits in both.items()
+    ]
+    complete = F.col("complete")
+    totals = (
+        groups.select(F.inline(F.array(*entries)))
+        .groupBy("x", "y")
+        .agg(
+            *[
+                F.sum(F.when(complete, F.col(name))).alias(name)
+                for name in ("n", "sx", "sy", "sxx", "syy", "sxy")
+            ],
+            *[F.min(F.when(complete, F.col(name))).alias(name) for name in ("x_lo", "y_lo")],
+            *[F.max(F.when(complete, F.col(name))).alias(name) for name in ("x_hi", "y_hi")],
+        )
+    )
+    mean_x, mean_y = F.col("sx") / F.col("n"), F.col("sy") / F.col("n")
+    covariance = F.col("sxy") / F.col("n") - mean_x * mean_y
+    spread = F.sqrt(F.col("sxx") / F.col("n") - mean_x * mean_x) * F.sqrt(
+        F.col("syy") / F.col("n") - mean_y * mean_y
     )
+    varies = (F.col("x_lo") < F.col("x_hi")) & (F.col("y_lo") < F.col("y_hi"))
+    return totals.select("x", "y", F.when(varies, covariance / spread).alias("corr"))

@@ -1,5 +1,8 @@
 """Feature preparation, the train/test split and scaling statistics."""
 
+import math
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,8 +23,8 @@ from wardlight.fixed_values import (
 from wardlight.functions.flags import flag_at_least, flag_equal, flag_in, ratio_zero_as_null
 
 _TWO_32 = 1 << 32
-_MIX = 73244475
-_COARSE = 1 << 16
+_PRIME = 2147483647
+_FACTORS = (48271, 1664525)
 
 
 def model_features(encounters: DataFrame) -> DataFrame:
@@ -60,11 +63,14 @@ def model_frame(clean: DataFrame) -> DataFrame:
 
 
 def split_hash(encounter_id: Column, seed: int = SPLIT_SEED) -> Column:
-    """Pseudo-random number below 2**32 that depends on the encounter and seed only."""
-    value = F.pmod(encounter_id + F.lit(seed), F.lit(_TWO_32))
-    for _ in range(2):
-        value = F.pmod(value.bitwiseXOR(F.shiftright(value, 16)) * F.lit(_MIX), F.lit(_TWO_32))
-    return value.bitwiseXOR(F.shiftright(value, 16))
+    """Pseudo-random number below 2**32 that depends on the encounter and seed only.
+
+    Two multiplications modulo coprime numbers: no step needs the value twice, and
+    every product stays within 64 bits.
+    """
+    value = F.pmod(encounter_id + F.lit(seed), F.lit(_PRIME))
+    value = F.pmod(value * F.lit(_FACTORS[0]), F.lit(_PRIME))
+    return F.pmod(value * F.lit(_FACTORS[1]), F.lit(_TWO_32))
 
 
 def stratified_split(
@@ -80,88 +86,107 @@ def stratified_split(
     taken. Copies of one encounter share a hash and thus a side, so a quota can be
     passed by copies of its last encounter.
 
-    Which hash is the last one is found from counts alone: 2**16 coarse buckets
-    per label first, then the exact hashes of the one bucket the quota ends in.
-    No task ever ranks the encounters themselves.
+    Counting which hashes those are runs when the split is made; the returned
+    frame then compares a hash with one constant per label, without any join.
     """
-    hashed = frame.withColumn("_hash", split_hash(F.col("encounter_id"), seed))
-    limits = _hash_limits(hashed, label, test_share)
-    return (
-        hashed.join(F.broadcast(limits), F.col(label) == F.col("_label"), "left")
-        .withColumn("is_test", F.coalesce(F.col("_hash") <= F.col("_limit"), F.lit(False)).cast("int"))
-        .drop("_hash", "_label", "_limit")
-    )
+    return with_side(frame, split_limits(frame, label, test_share, seed), label, seed)
 
 
-def _hash_limits(hashed: DataFrame, label: str, test_share) -> DataFrame:
-    """One row per label: the largest hash that still belongs to the test side."""
-    slim = hashed.select(
-        F.col(label).alias("_label"),
-        F.floor(F.col("_hash") / _COARSE).alias("_bucket"),
-        F.pmod(F.col("_hash"), F.lit(_COARSE)).alias("_fine"),
-    )
-    # At most 2**16 rows per label from here on.
-    coarse = slim.groupBy("_label", "_bucket").agg(F.count("*").alias("_n"))
-    quotas = _test_quotas(
-        coarse.groupBy("_label").agg(F.sum("_n").alias("_rows")), test_share
-    )
-    ends_in = _first_reaching(coarse.join(F.broadcast(quotas), "_label"), "_bucket").select(
-        "_label", "_bucket", "_quota"
-    )
+def with_side(
+    frame: DataFrame, limits: dict, label: str = MODEL_TARGET, seed: int = SPLIT_SEED
+) -> DataFrame:
+    """The frame with `is_test` from limits found before."""
+    hashed = split_hash(F.col("encounter_id"), seed)
+    in_test = F.lit(False)
+    for value, limit in limits.items():
+        in_test = in_test | ((F.col(label) == value) & (hashed <= limit))
+    return frame.withColumn("is_test", F.coalesce(in_test, F.lit(False)).cast("int"))
+
+
+def split_limits(
+    frame: DataFrame,
+    label: str = MODEL_TARGET,
+    test_share=TEST_SHARE,
+    seed: int = SPLIT_SEED,
+) -> dict:
+    """Per label the largest hash that still belongs to the test side.
+
+    Found from counts alone: 2**16 coarse buckets per label first, then the exact
+    hashes of the one bucket the quota ends in. Encounters are never ranked, and
+    the driver sees one row per label.
+    """
+    hashed = frame.select(
+        F.col(label).alias("label"), split_hash(F.col("encounter_id"), seed).alias("h")
+    ).where(F.col("label").isNotNull() & F.col("h").isNotNull())
+    sizes = {row["label"]: row["count"] for row in hashed.groupBy("label").count().collect()}
+    quotas = _test_quotas(sizes, test_share)
+    if not quotas:
+        return {}
+    coarse = hashed.groupBy("label", F.shiftright("h", 16).alias("part")).count()
+    ends_in = {
+        row["label"]: (row["part"], row["open"])
+        for row in _first_reaching(coarse, _per_label(quotas)).collect()
+    }
+    last_bucket = _per_label({value: bucket for value, (bucket, _) in ends_in.items()})
     fine = (
-        slim.join(F.broadcast(ends_in), ["_label", "_bucket"])
-        .groupBy("_label", "_bucket", "_quota", "_fine")
-        .agg(F.count("*").alias("_n"))
-    )
-    return _first_reaching(fine, "_fine").select(
-        "_label", (F.col("_bucket") * _COARSE + F.col("_fine")).alias("_limit")
+        hashed.where(F.shiftright("h", 16) == last_bucket)
+        .groupBy("label", F.col("h").alias("part"))
+        .count()
     )
+    still_open = _per_label({value: remaining for value, (_, remaining) in ends_in.items()})
+    return {
+        row["label"]: row["part"] for row in _first_reaching(fine, still_open).collect()
+    }
+
+
+def _per_label(values: dict) -> Column:
+    """The value that belongs to the label of a row, as a constant expression."""
+    entries = iter(values.items())
+    value, constant = next(entries)
+    chosen = F.when(F.col("label") == value, F.lit(constant).cast("bigint"))
+    for value, constant in entries:
+        chosen = chosen.when(F.col("label") == value, F.lit(constant).cast("bigint"))
+    return chosen
 
 
-def _first_reaching(counts: DataFrame, key: str) -> DataFrame:
-    """Per label the first row, by key, whose running count reaches the quota.
+def _first_reaching(counts: DataFrame, quota: Column) -> DataFrame:
+    """Per label the first part whose running count reaches the quota.
 
-    The quota of that row becomes what is left of it for the row itself.
+    `open` is what the parts before it leave of the quota. The window covers at
+    most 2**16 counted parts per label.
     """
-    by_key = W.partitionBy("_label").orderBy(key)
-    before = F.coalesce(
-        F.sum("_n").over(by_key.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
+    before = F.sum("count").over(
+        W.partitionBy("label").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     )
     return (
-        counts.withColumn("_before", before)
-        .where((F.col("_before") < F.col("_quota")) & (F.col("_before") + F.col("_n") >= F.col("_quota")))
-        .withColumn("_quota", F.col("_quota") - F.col("_before"))
+        counts.withColumn("open", quota - F.coalesce(before, F.lit(0)))
+        .where((F.col("open") > 0) & (F.col("count") >= F.col("open")))
+        .select("label", "part", "open")
     )
 
 
-def _test_quotas(label_counts: DataFrame, test_share) -> DataFrame:
+def _test_quotas(sizes: dict, test_share) -> dict:
     """Test rows per label: the train side is apportioned, the rest is for testing."""
-    everyone = W.partitionBy()
-    total = F.sum("_rows").over(everyone)
-    train = total - F.ceil(total.cast("decimal(20,0)") * F.lit(test_share)).cast("bigint")
-    exact = (
-        label_counts.withColumns({"_total": total, "_train": train})
-        .withColumn("_whole", F.expr("_rows * cast(_train as decimal(20,0)) div _total"))
-        .withColumn(
-            "_remainder",
-            (F.col("_rows") * F.col("_train").cast("decimal(20,0)")) % F.col("_total"),
-        )
-    )
-    open_seats = F.col("_train") - F.sum("_whole").over(everyone)
-    seat = F.row_number().over(W.orderBy(F.desc("_remainder"), "_label"))
-    extra = (seat <= open_seats).cast("bigint")
-    return exact.select(
-        "_label", (F.col("_rows") - F.col("_whole") - extra).cast("bigint").alias("_quota")
-    ).where(F.col("_quota") > 0)
+    total = sum(sizes.values())
+    if total == 0:
+        return {}
+    train = total - math.ceil(Fraction(str(test_share)) * total)
+    seats = {label: size * train // total for label, size in sizes.items()}
+    by_remainder = sorted(sizes, key=lambda label: (-(sizes[label] * train % total), label))
+    for label in by_remainder[: train - sum(seats.values())]:
+        seats[label] += 1
+    return {label: sizes[label] - seats[label] for label in sizes if sizes[label] > seats[label]}
 
 
 def scaler_stats(split: DataFrame, features: tuple = MODEL_FEATURES) -> DataFrame:
     """Mean and population standard deviation of each feature on the training side.
 
-    A constant feature is only centred: its scale is 1.
+    A constant feature is only centred: its scale is 1. `train_rows` is the number
+    of rows the statistics rest on.
     """
     train = split.where(F.col("is_test") == 0)
     row = train.agg(
+        F.count("*").alias("|rows"),
         *[F.avg(name).alias(f"{name}|mean") for name in features],
         *[F.stddev_pop(name).alias(f"{name}|std") for name in features],
     )
@@ -170,6 +195,7 @@ def scaler_stats(split: DataFrame, features: tuple = MODEL_FEATURES) -> DataFram
             F.lit(name).alias("feature"),
             F.col(f"`{name}|mean`").alias("mean"),
             F.coalesce(F.nullif(F.col(f"`{name}|std`"), F.lit(0.0)), F.lit(1.0)).alias("scale"),
+            F.col("`|rows`").alias("train_rows"),
         )
         for name in features
     ]

@@ -18,9 +18,14 @@ from wardlight.fixed_values import (
     MODEL_TARGET,
 )
 from wardlight.functions.privacy import patient_token
-from wardlight.operators.features import scaler_stats, stratified_split
+from wardlight.operators.features import scaler_stats
 
-_REFINED = 1e-9
+# A Newton step this small leaves an error in the order of its square.
+_REFINED = 1e-5
+
+# Spark generates code for aggregates of up to 100 columns
+# (spark.sql.codegen.maxFields); wider ones are several times slower.
+_AGGREGATE_WIDTH = 60
 
 
 @dataclass(frozen=True)
@@ -87,6 +92,9 @@ def fit_risk_model(
     store it first when it is expensive to compute.
     """
     stats = {row["feature"]: row for row in scaler_stats(split, features).collect()}
+    train_rows = stats[features[0]]["train_rows"]
+    if train_rows == 0:
+        raise ValueError("no training rows with known features and target")
     unfitted = RiskModel(
         features=tuple(features),
         means=tuple(stats[name]["mean"] for name in features),
@@ -103,7 +111,7 @@ def fit_risk_model(
     fitted = LogisticRegression(
         featuresCol="features",
         labelCol="y",
-        regParam=1.0 / (inverse_penalty * max(train.count(), 1)),
+        regParam=1.0 / (inverse_penalty * train_rows),
         elasticNetParam=0.0,
         standardization=False,
         maxIter=max_iterations,
@@ -129,8 +137,8 @@ def _refine(
     """Newton steps from a solution that is nearly there.
 
     L-BFGS compares losses and cannot tell apart weights that differ by less than
-    about 1e-8, so where it stops depends on how the rows are partitioned. One or
-    two Newton steps, one aggregate each, remove that dependence.
+    about 1e-8, so where it stops depends on how the rows are partitioned. A Newton
+    step squares the distance that is left, so as a rule the first one is enough.
     """
     columns = [F.lit(1.0), *[F.col(name) for name in names]]
     size = len(columns)
@@ -140,12 +148,11 @@ def _refine(
         rated = train.withColumn("p", _probability(columns[1:], weights)).withColumn(
             "w", F.col("p") * (1 - F.col("p"))
         )
-        sums = rated.agg(
-            *[F.sum(F.col("w") * columns[i] * columns[j]) for i, j in upper],
-            *[F.sum((F.col("y") - F.col("p")) * column) for column in columns],
-        ).first()
-        if sums[0] is None:
-            return weights
+        measures = [F.sum(F.col("w") * columns[i] * columns[j]) for i, j in upper]
+        measures += [F.sum((F.col("y") - F.col("p")) * column) for column in columns]
+        sums = []
+        for start in range(0, len(measures), _AGGREGATE_WIDTH):
+            sums += rated.agg(*measures[start : start + _AGGREGATE_WIDTH]).first()
         curvature = np.zeros((size, size))
         for (i, j), value in zip(upper, sums):
             curvature[i, j] = curvature[j, i] = value
@@ -298,9 +305,3 @@ def risk_drivers(coefficient_table: DataFrame, top: int = 3) -> DataFrame:
         .select("effect", "effect_rank", "feature", "coefficient")
         .orderBy(F.desc("effect"), "effect_rank")
     )
-
-
-def split_and_fit(frame: DataFrame) -> tuple:
-    """The split frame and the model fitted on its training side."""
-    split = stratified_split(frame)
-    return split, fit_risk_model(split)

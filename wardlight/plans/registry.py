@@ -22,10 +22,11 @@ from wardlight.plans.order_encounters import (
     raw_encounters,
     table,
 )
-from wardlight.sources.shared import shared_table
 
 TOKEN_SECRET = "fixture"
 
+# Constants of a fit, per application and folder.
+_limits: dict[tuple, dict] = {}
 _fitted: dict[tuple, model.RiskModel] = {}
 
 
@@ -45,13 +46,12 @@ def flagged(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def split_frame(spark: SparkSession, folder: str) -> DataFrame:
-    """Model rows with their side; read by the fit and by every model report."""
-    return shared_table(
-        spark,
-        "model_split",
-        folder,
-        lambda: features.stratified_split(features.model_frame(clean(spark, folder))),
-    )
+    """Model rows with their side; the split is decided once per application."""
+    key = (spark.conf.get("spark.app.id", "application"), folder)
+    frame = features.model_frame(clean(spark, folder))
+    if key not in _limits:
+        _limits[key] = features.split_limits(frame)
+    return features.with_side(frame, _limits[key])
 
 
 def fitted(spark: SparkSession, folder: str) -> model.RiskModel:
@@ -95,7 +95,10 @@ def _split_strata(spark: SparkSession, folder: str) -> DataFrame:
 
 def _scaler_stats(spark: SparkSession, folder: str) -> DataFrame:
     return features.scaler_stats(split_frame(spark, folder)).select(
-        "feature", F.round("mean", 6).alias("mean"), F.round("scale", 6).alias("scale")
+        "feature",
+        F.round("mean", 6).alias("mean"),
+        F.round("scale", 6).alias("scale"),
+        "train_rows",
     )
 
 

@@ -65,9 +65,8 @@ def _cleaned(df: DataFrame, name: str, type_name: str) -> Column:
 def canonicalize(df: DataFrame) -> DataFrame:
     """Project a raw extract onto the canonical names and types.
 
-    The missing marker becomes NULL, columns outside the model are ignored, and
-    a raw extract without an encounter number simply has none. Any other absent
-    column is an error, raised here rather than in the middle of a report.
+    The missing marker becomes NULL and columns outside the model are ignored. An
+    absent column is an error, raised here rather than in the middle of a report.
     """
     present = set(df.columns)
     projected, absent = [], []
@@ -76,7 +75,7 @@ def canonicalize(df: DataFrame) -> DataFrame:
         if found:
             column = F.coalesce(*found) if len(found) > 1 else found[0]
             projected.append(column.alias(canonical))
-        elif canonical != "encounter_id":
+        else:
             absent.append(" or ".join(aliases))
     if absent:
         raise ValueError(f"raw extract lacks: {', '.join(absent)}")
