@@ -178,49 +178,37 @@ def correlation_pairs(clean: DataFrame, columns: tuple = CORRELATED_COLUMNS) ->
     keeps the aggregate over the encounters narrow enough for generated code, which
     a moment aggregate per pair is not.
     """
-    value = {name: F.coalesce(F.col(name).cast("double"), F.lit(0.0)) for name in columns}
     bit = {name: 1 << place for place, name in enumerate(columns)}
-    known = F.lit(0)
-    for name in columns:
-        known = known + F.when(F.col(name).isNotNull(), bit[name]).otherwise(0)
-    products = [(x, y) for i, x in enumerate(columns) for y in columns[: i + 1]]
-    groups = clean.groupBy(known.alias("known")).agg(
-        F.count("*").cast("double").alias("n"),
-        *[F.sum(value[name]).alias(f"s_{name}") for name in columns],
-        *[F.sum(value[x] * value[y]).alias(f"s_{x}_{y}") for x, y in products],
-        *[F.min(name).cast("double").alias(f"lo_{name}") for name in columns],
-        *[F.max(name).cast("double").alias(f"hi_{name}") for name in columns],
+    value = {name: f"coalesce(cast(`{name}` AS double), 0D)" for name in columns}
+    known = " + ".join(f"if(`{name}` IS NULL, 0, {bit[name]})" for name in columns)
+    sums = [f"sum({value[name]}) AS `s|{name}`" for name in columns]
+    sums += [
+        f"sum({value[x]} * {value[y]}) AS `s|{x}|{y}`"
+        for place, x in enumerate(columns)
+        for y in columns[: place + 1]
+    ]
+    bounds = [f"cast({f}(`{name}`) AS double) AS `{f}|{name}`" for f in ("min", "max") for name in columns]
+    groups = clean.groupBy(F.expr(known).alias("known")).agg(
+        *[F.expr(measure) for measure in ["cast(count(*) AS double) AS n", *sums, *bounds]]
     )
-    both = {(x, y): bit[x] | bit[y] for x, y in combinations(reversed(columns), 2)}
     entries = [
-        F.struct(
-            F.lit(x).alias("x"),
-            F.lit(y).alias("y"),
-            (F.col("known").bitwiseAND(F.lit(bits)) == bits).alias("complete"),
-            F.col("n"),
-            F.col(f"s_{x}").alias("sx"),
-            F.col(f"s_{y}").alias("sy"),
-            F.col(f"s_{x}_{x}").alias("sxx"),
-            F.col(f"s_{y}_{y}").alias("syy"),
-            F.col(f"s_{x}_{y}").alias("sxy"),
-            F.col(f"lo_{x}").alias("x_lo"),
-            F.col(f"hi_{x}").alias("x_hi"),
-            F.col(f"lo_{y}").alias("y_lo"),
-            F.col(f"hi_{y}").alias("y_hi"),
-        )
-        for (x, y), bits in both.items()
+        f"'{x}', '{y}', known & {bit[x] | bit[y]} = {bit[x] | bit[y]}, n, `s|{x}`, `s|{y}`, "
+        f"`s|{x}|{x}`, `s|{y}|{y}`, `s|{x}|{y}`, `min|{x}`, `max|{x}`, `min|{y}`, `max|{y}`"
+        for x, y in combinations(reversed(columns), 2)
     ]
-    complete = F.col("complete")
     totals = (
-        groups.select(F.inline(F.array(*entries)))
+        groups.selectExpr(
+            f"stack({len(entries)}, {', '.join(entries)}) AS "
+            "(x, y, complete, n, sx, sy, sxx, syy, sxy, x_min, x_max, y_min, y_max)"
+        )
         .groupBy("x", "y")
         .agg(
             *[
-                F.sum(F.when(complete, F.col(name))).alias(name)
+                F.expr(f"sum({name}) FILTER (WHERE complete) AS {name}")
                 for name in ("n", "sx", "sy", "sxx", "syy", "sxy")
             ],
-            *[F.min(F.when(complete, F.col(name))).alias(name) for name in ("x_lo", "y_lo")],
-            *[F.max(F.when(complete, F.col(name))).alias(name) for name in ("x_hi", "y_hi")],
+            F.expr("min(x_min) FILTER (WHERE complete) < max(x_max) FILTER (WHERE complete) AS x_varies"),
+            F.expr("min(y_min) FILTER (WHERE complete) < max(y_max) FILTER (WHERE complete) AS y_varies"),
         )
     )
     mean_x, mean_y = F.col("sx") / F.col("n"), F.col("sy") / F.col("n")
@@ -228,5 +216,5 @@ def correlation_pairs(clean: DataFrame, columns: tuple = CORRELATED_COLUMNS) ->
     spread = F.sqrt(F.col("sxx") / F.col("n") - mean_x * mean_x) * F.sqrt(
         F.col("syy") / F.col("n") - mean_y * mean_y
     )
-    varies = (F.col("x_lo") < F.col("x_hi")) & (F.col("y_lo") < F.col("y_hi"))
+    varies = F.col("x_varies") & F.col("y_varies")
     return totals.select("x", "y", F.when(varies, covariance / spread).alias("corr"))

@@ -24,8 +24,10 @@ from wardlight.functions.measures import (
     rounded_pct,
 )
 
-# Windows below only ever see aggregated rows: one per band, bin or outcome.
-_ALL_GROUPS = W.partitionBy()
+
+def _over_groups(total: Column) -> Column:
+    """A total over all groups. Only used on aggregates: one row per band or outcome."""
+    return total.over(W.partitionBy())
 
 
 def kpi_summary(encounters: DataFrame) -> DataFrame:
@@ -80,7 +82,7 @@ def readmission_distribution(clean: DataFrame) -> DataFrame:
         clean.groupBy("readmitted")
         .agg(F.count("*").alias("encounters"))
         .withColumn(
-            "share_pct", rate_pct(F.col("encounters"), F.sum("encounters").over(_ALL_GROUPS))
+            "share_pct", rate_pct(F.col("encounters"), _over_groups(F.sum("encounters")))
         )
         .where(F.col("readmitted").isNotNull())
         .orderBy(F.desc("encounters"), "readmitted")
@@ -148,8 +150,8 @@ def age_rate_panel(clean: DataFrame, alert: float = AGE_RATE_ALERT) -> DataFrame
         clean.groupBy("age_group")
         .agg(F.sum("readmitted_30d").alias("_readmitted"), F.count("*").alias("encounters"))
         .withColumn(
-            "_overall", _share(F.sum("_readmitted").over(_ALL_GROUPS),
-                               F.sum("encounters").over(_ALL_GROUPS))
+            "_overall",
+            _share(_over_groups(F.sum("_readmitted")), _over_groups(F.sum("encounters"))),
         )
     )
     rate = _share(F.col("_readmitted"), F.col("encounters"))
@@ -163,7 +165,7 @@ def age_rate_panel(clean: DataFrame, alert: float = AGE_RATE_ALERT) -> DataFrame
             rate.alias("rate"),
             "encounters",
             F.coalesce(rate > alert, F.lit(False)).cast("int").alias("above_alert"),
-            F.max("_overall").over(_ALL_GROUPS).alias("overall_rate"),
+            _over_groups(F.max("_overall")).alias("overall_rate"),
         )
         .orderBy("band_order")
     )
@@ -172,8 +174,9 @@ def age_rate_panel(clean: DataFrame, alert: float = AGE_RATE_ALERT) -> DataFrame
 def medication_curve(clean: DataFrame) -> DataFrame:
     """30-day rate per medication bin, empty bins included."""
     per_bin = (
-        clean.select(medication_bin(F.col("num_medications")).alias("medication_bin"),
-                     "readmitted_30d")
+        clean.select(
+            medication_bin(F.col("num_medications")).alias("medication_bin"), "readmitted_30d"
+        )
         .where(F.col("medication_bin").isNotNull())
         .groupBy("medication_bin")
         .agg(rate_pct(F.sum("readmitted_30d"), F.count("*")).alias("readmission_rate_pct"))

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -39,9 +39,9 @@ class RiskModel:
     intercept: float
 
     def scaled(self) -> list:
-        """The standardized features as columns."""
+        """The standardized features as SQL expressions."""
         return [
-            (F.col(name) - F.lit(mean)) / F.lit(scale)
+            f"((`{name}` - {mean!r}D) / {scale!r}D)"
             for name, mean, scale in zip(self.features, self.means, self.scales)
         ]
 
@@ -68,12 +68,11 @@ class RiskModel:
         )
 
 
-def _probability(scaled: list, weights: list) -> Column:
+def _probability(scaled: list, weights) -> str:
     """Logistic function of intercept (first weight) plus weighted features."""
-    linear = F.lit(float(weights[0]))
-    for column, weight in zip(scaled, weights[1:]):
-        linear = linear + column * F.lit(float(weight))
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-linear))
+    intercept, *slopes = [float(weight) for weight in weights]
+    terms = [f"{intercept!r}D", *[f"{x} * {slope!r}D" for x, slope in zip(scaled, slopes)]]
+    return f"1D / (1D + exp(-({' + '.join(terms)})))"
 
 
 def fit_risk_model(
@@ -103,9 +102,9 @@ def fit_risk_model(
         intercept=0.0,
     )
     names = [f"z{i}" for i in range(1, len(features) + 1)]
-    train = split.where(F.col("is_test") == 0).select(
-        F.col(target).cast("double").alias("y"),
-        *[column.alias(name) for column, name in zip(unfitted.scaled(), names)],
+    train = split.where(F.col("is_test") == 0).selectExpr(
+        f"cast(`{target}` AS double) AS y",
+        *[f"{expression} AS {name}" for expression, name in zip(unfitted.scaled(), names)],
     )
     assembled = VectorAssembler(inputCols=names, outputCol="features").transform(train)
     fitted = LogisticRegression(
@@ -140,19 +139,17 @@ def _refine(
     about 1e-8, so where it stops depends on how the rows are partitioned. A Newton
     step squares the distance that is left, so as a rule the first one is enough.
     """
-    columns = [F.lit(1.0), *[F.col(name) for name in names]]
-    size = len(columns)
+    inputs = ["1D", *names]
+    size = len(inputs)
     upper = [(i, j) for i in range(size) for j in range(i, size)]
     ridge = np.diag([0.0] + [penalty] * (size - 1))
     for _ in range(max_steps):
-        rated = train.withColumn("p", _probability(columns[1:], weights)).withColumn(
-            "w", F.col("p") * (1 - F.col("p"))
-        )
-        measures = [F.sum(F.col("w") * columns[i] * columns[j]) for i, j in upper]
-        measures += [F.sum((F.col("y") - F.col("p")) * column) for column in columns]
+        rated = train.selectExpr("*", f"{_probability(names, weights)} AS p")
+        measures = [f"sum(p * (1 - p) * {inputs[i]} * {inputs[j]})" for i, j in upper]
+        measures += [f"sum((y - p) * {x})" for x in inputs]
         sums = []
         for start in range(0, len(measures), _AGGREGATE_WIDTH):
-            sums += rated.agg(*measures[start : start + _AGGREGATE_WIDTH]).first()
+            sums += rated.selectExpr(*measures[start : start + _AGGREGATE_WIDTH]).first()
         curvature = np.zeros((size, size))
         for (i, j), value in zip(upper, sums):
             curvature[i, j] = curvature[j, i] = value
@@ -171,7 +168,7 @@ def score(model: RiskModel, frame: DataFrame) -> DataFrame:
     code and can follow any scan.
     """
     probability = _probability(model.scaled(), [model.intercept, *model.coefficients])
-    return frame.withColumn("risk_probability", probability).withColumn(
+    return frame.withColumn("risk_probability", F.expr(probability)).withColumn(
         "predicted_readmit", (F.col("risk_probability") > 0.5).cast("int")
     )
 

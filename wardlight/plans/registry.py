@@ -22,6 +22,7 @@ from wardlight.plans.order_encounters import (
     raw_encounters,
     table,
 )
+from wardlight.sources.shared import shared_table
 
 TOKEN_SECRET = "fixture"
 
@@ -30,10 +31,15 @@ _limits: dict[tuple, dict] = {}
 _fitted: dict[tuple, model.RiskModel] = {}
 
 
-def normalized(spark: SparkSession, folder: str) -> DataFrame:
+def normalize_raw(spark: SparkSession, folder: str) -> DataFrame:
     return normalize.normalize(raw_encounters(spark, folder))
 
 
+def normalized(spark: SparkSession, folder: str) -> DataFrame:
+    """The normalized frame, computed once and then read by the reports on it."""
+    return shared_table(spark, "normalized", folder, lambda: normalize_raw(spark, folder))
+
+
 def clean(spark: SparkSession, folder: str) -> DataFrame:
     return normalize.drop_incomplete(normalized(spark, folder))
 
@@ -130,7 +136,7 @@ def registered_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             encounters_with_defects, quality.scorecard, max_null_pct_by_column={"readmitted": 1.0}
         ),
         # Normalization
-        "norm_encounters": normalized,
+        "norm_encounters": normalize_raw,
         "norm_drop_critical": _on(normalized, normalize.drop_summary),
         # Descriptive
         "kpi_summary": _on(encounters, descriptive.kpi_summary),

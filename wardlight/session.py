@@ -27,11 +27,22 @@ def report_options(input_bytes: int, cores: int) -> dict:
 
 
 def build_session(
-    app_name: str, input_bytes: int = 0, cores: int = 8, master: str | None = None
+    app_name: str,
+    input_bytes: int = 0,
+    cores: int = 8,
+    master: str | None = None,
+    checkpoint_dir: str | None = None,
 ) -> SparkSession:
+    """A session with `report_options`.
+
+    `master` and `checkpoint_dir` are for local runs; on a cluster both come from
+    its own configuration.
+    """
     builder = SparkSession.builder.appName(app_name).config("spark.ui.enabled", "false")
     if master:
         builder = builder.master(master)
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     for key, value in report_options(input_bytes, cores).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
