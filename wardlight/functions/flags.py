@@ -4,6 +4,9 @@ Flags are integers because they get averaged and correlated. A missing input
 never makes a flag NULL.
 """
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,3 +41,8 @@ def ratio_zero_as_null(part: str, whole: str, digits: int = 2) -> Column:
     """Report variant of a ratio: NULL on a zero denominator, rounded half up."""
     denominator = F.nullif(F.col(whole), F.lit(0)).cast("decimal(10,0)")
     return F.round(F.col(part).cast("decimal(10,0)") / denominator, digits).cast("double")
+
+
+def all_known(columns) -> Column:
+    """Condition that no column is NULL, in a form Spark pushes into the scan."""
+    return reduce(and_, [F.col(name).isNotNull() for name in columns])

@@ -20,7 +20,7 @@ from wardlight.fixed_values import (
     SPLIT_SEED,
     TEST_SHARE,
 )
-from wardlight.functions.flags import flag_at_least, flag_equal, flag_in, ratio_zero_as_null
+from wardlight.functions.flags import all_known, flag_at_least, flag_equal, flag_in, ratio_zero_as_null
 
 _TWO_32 = 1 << 32
 _PRIME = 2147483647
@@ -59,7 +59,7 @@ def model_frame(clean: DataFrame) -> DataFrame:
     drive the split and the scores but are no features.
     """
     needed = [*MODEL_FEATURES, MODEL_TARGET]
-    return clean.select("encounter_id", "patient_id", *needed).dropna(subset=needed)
+    return clean.select("encounter_id", "patient_id", *needed).where(all_known(needed))
 
 
 def split_hash(encounter_id: Column, seed: int = SPLIT_SEED) -> Column:

@@ -15,6 +15,7 @@ from wardlight.fixed_values import (
 )
 from wardlight.functions.banding import age_midpoint
 from wardlight.functions.flags import (
+    all_known,
     flag_at_least,
     flag_equal,
     flag_known_and_not,
@@ -46,7 +47,7 @@ def normalize(raw: DataFrame) -> DataFrame:
 
 def drop_incomplete(normalized: DataFrame) -> DataFrame:
     """Only encounters whose critical columns are all known."""
-    return normalized.dropna(subset=list(CRITICAL_COLUMNS))
+    return normalized.where(all_known(CRITICAL_COLUMNS))
 
 
 def input_profile(raw: DataFrame) -> DataFrame:
@@ -61,9 +62,7 @@ def drop_summary(normalized: DataFrame) -> DataFrame:
 
     One pass: the kept rows are counted, not filtered and scanned again.
     """
-    kept = F.lit(True)
-    for name in CRITICAL_COLUMNS:
-        kept = kept & F.col(name).isNotNull()
+    kept = all_known(CRITICAL_COLUMNS)
     counted = normalized.agg(
         F.count("*").alias("records_before"),
         F.count_if(kept).alias("records_after"),

@@ -4,24 +4,30 @@ import math
 
 from pyspark.sql import SparkSession
 
-_TARGET_PARTITION_BYTES = 128 * 1024 * 1024
+_MB = 1024 * 1024
+_SMALLEST_SPLIT = 128 * _MB
+_LARGEST_SPLIT = 1024 * _MB
+_SHUFFLE_PARTITION = 256 * _MB
+_WAVES = 16
 
 
-def report_options(input_bytes: int, cores: int) -> dict:
+def report_options(input_bytes: int, cores: int, shuffled_share: float = 0.1) -> dict:
     """Spark settings for an input of this size.
 
-    The first shuffle gets partitions of about 128 MB even if nothing shrinks on
-    the way, and never fewer than there are cores; adaptive execution merges the
-    small ones and splits the skewed ones afterwards.
+    Splits grow with the input so that a scan takes some sixteen waves of tasks
+    and not hundreds of thousands of tiny ones. The first shuffle is sized for the
+    share of the input that reports really ship, a few columns after map-side
+    combining, at about 256 MB per partition and never fewer than there are cores.
+    Adaptive execution merges the small partitions and splits the skewed ones.
     """
-    partitions = max(cores, math.ceil(input_bytes / _TARGET_PARTITION_BYTES))
+    split = min(_LARGEST_SPLIT, max(_SMALLEST_SPLIT, input_bytes // (cores * _WAVES)))
+    partitions = max(cores, math.ceil(input_bytes * shuffled_share / _SHUFFLE_PARTITION))
     return {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(_TARGET_PARTITION_BYTES),
-        "spark.sql.files.maxPartitionBytes": str(_TARGET_PARTITION_BYTES),
+        "spark.sql.files.maxPartitionBytes": str(split),
         "spark.sql.shuffle.partitions": str(partitions),
     }
 
