@@ -565,8 +565,8 @@ scaling AS MATERIALIZED (
 )
 
 # Newton's method on the penalized likelihood, one elimination per step. It
-# converges quadratically, so eight steps are at rounding error.
-_NEWTON_STEPS = 8
+# converges quadratically, so twelve steps are at rounding error.
+_NEWTON_STEPS = 12
 
 
 def _newton() -> str:

@@ -130,6 +130,27 @@ def test_fit_does_not_depend_on_partitioning(split, fitted):
     assert np.allclose(other.coefficients, fitted.coefficients, atol=1e-11)
 
 
+def test_fit_reaches_the_optimum_despite_outliers(spark, split):
+    # One value dwarfs the others of its column, and then decides its scale.
+    wild = split.withColumn(
+        "num_lab_procedures",
+        F.when(F.col("encounter_id") % 500 == 1, 1e7).otherwise(F.col("num_lab_procedures")),
+    ).withColumn(
+        "labs_per_day",
+        F.when(F.col("encounter_id") % 400 == 3, 1e6).otherwise(F.col("labs_per_day")),
+    )
+    x, y = _arrays(wild.where("is_test = 0"))
+    scale = np.where(x.std(axis=0) == 0, 1, x.std(axis=0))
+    weights = _newton((x - x.mean(axis=0)) / scale, y)
+    found = model.fit_risk_model(wild)
+    assert np.allclose(found.coefficients, weights[1:], atol=1e-8)
+
+
+def test_fit_needs_both_outcomes(split):
+    with pytest.raises(ValueError, match="single outcome"):
+        model.fit_risk_model(split.withColumn("readmitted_30d", F.lit(0)))
+
+
 def test_fit_needs_rows(split):
     with pytest.raises(ValueError, match="training rows"):
         model.fit_risk_model(split.limit(0))

@@ -1,5 +1,6 @@
 """The readmission risk model: distributed logistic regression and its reports."""
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +27,7 @@ _REFINED = 1e-5
 # Spark generates code for aggregates of up to 100 columns
 # (spark.sql.codegen.maxFields); wider ones are several times slower.
 _AGGREGATE_WIDTH = 60
+_MAX_HALVINGS = 30
 
 
 @dataclass(frozen=True)
@@ -68,11 +70,15 @@ class RiskModel:
         )
 
 
-def _probability(scaled: list, weights) -> str:
-    """Logistic function of intercept (first weight) plus weighted features."""
+def _linear(scaled: list, weights) -> str:
+    """Intercept (first weight) plus weighted features, as a SQL expression."""
     intercept, *slopes = [float(weight) for weight in weights]
     terms = [f"{intercept!r}D", *[f"{x} * {slope!r}D" for x, slope in zip(scaled, slopes)]]
-    return f"1D / (1D + exp(-({' + '.join(terms)})))"
+    return f"({' + '.join(terms)})"
+
+
+def _logistic(linear: str) -> str:
+    return f"1D / (1D + exp(-{linear}))"
 
 
 def fit_risk_model(
@@ -115,12 +121,10 @@ def fit_risk_model(
         standardization=False,
         maxIter=max_iterations,
     ).fit(assembled.select("features", "y"))
-    weights = _refine(
-        train,
-        names,
-        np.array([fitted.intercept, *fitted.coefficients.toArray()]),
-        1.0 / inverse_penalty,
-    )
+    if math.isinf(fitted.intercept):
+        raise ValueError("the training rows have a single outcome")
+    start = np.array([fitted.intercept, *fitted.coefficients.toArray()])
+    weights = _refine(train, names, start, 1.0 / inverse_penalty, max_iterations)
     return RiskModel(
         features=unfitted.features,
         means=unfitted.means,
@@ -131,43 +135,64 @@ def fit_risk_model(
 
 
 def _refine(
-    train: DataFrame, names: list, weights: np.ndarray, penalty: float, max_steps: int = 10
+    train: DataFrame, names: list, weights: np.ndarray, penalty: float, max_steps: int
 ) -> np.ndarray:
     """Newton steps from a solution that is nearly there.
 
     L-BFGS compares losses and cannot tell apart weights that differ by less than
-    about 1e-8, so where it stops depends on how the rows are partitioned. A Newton
-    step squares the distance that is left, so as a rule the first one is enough.
+    about 1e-8, so where it stops depends on how the rows are partitioned; with
+    outliers it can stop well before the optimum. A Newton step squares the
+    distance that is left, so as a rule the first one, one aggregate, is enough.
+    A step that does not lower the loss is halved until it does.
     """
-    inputs = ["1D", *names]
-    size = len(inputs)
-    upper = [(i, j) for i in range(size) for j in range(i, size)]
-    ridge = np.diag([0.0] + [penalty] * (size - 1))
+    here = _loss_terms(train, names, weights, penalty)
     for _ in range(max_steps):
-        rated = train.selectExpr("*", f"{_probability(names, weights)} AS p")
-        measures = [f"sum(p * (1 - p) * {inputs[i]} * {inputs[j]})" for i, j in upper]
-        measures += [f"sum((y - p) * {x})" for x in inputs]
-        sums = []
-        for start in range(0, len(measures), _AGGREGATE_WIDTH):
-            sums += rated.selectExpr(*measures[start : start + _AGGREGATE_WIDTH]).first()
-        curvature = np.zeros((size, size))
-        for (i, j), value in zip(upper, sums):
-            curvature[i, j] = curvature[j, i] = value
-        gradient = np.array(sums[len(upper) :], dtype=float) - ridge @ weights
-        step = np.linalg.solve(curvature + ridge, gradient)
-        weights = weights + step
+        loss, gradient, curvature = here
+        step = np.linalg.solve(curvature, gradient)
         if np.abs(step).max() < _REFINED:
-            break
+            return weights + step
+        for halvings in range(_MAX_HALVINGS):
+            tried = weights + step / 2**halvings
+            there = _loss_terms(train, names, tried, penalty)
+            if there[0] < loss:
+                weights, here = tried, there
+                break
+        else:
+            return weights
     return weights
 
 
+def _loss_terms(train: DataFrame, names: list, weights: np.ndarray, penalty: float) -> tuple:
+    """Penalized loss, its negative gradient and its curvature at the weights."""
+    inputs = ["1D", *names]
+    size = len(inputs)
+    upper = [(i, j) for i in range(size) for j in range(i, size)]
+    linear = _linear(names, weights)
+    rated = train.selectExpr("*", f"{linear} AS m", f"{_logistic(linear)} AS p")
+    measures = ["sum(greatest(m, 0D) + log1p(exp(-abs(m))) - y * m)"]
+    measures += [f"sum((y - p) * {x})" for x in inputs]
+    measures += [f"sum(p * (1 - p) * {inputs[i]} * {inputs[j]})" for i, j in upper]
+    sums = []
+    for start in range(0, len(measures), _AGGREGATE_WIDTH):
+        sums += rated.selectExpr(*measures[start : start + _AGGREGATE_WIDTH]).first()
+    ridge = np.array([0.0] + [penalty] * (size - 1))
+    loss = sums[0] + 0.5 * float(ridge @ weights**2)
+    gradient = np.array(sums[1 : size + 1]) - ridge * weights
+    curvature = np.diag(ridge)
+    for (i, j), value in zip(upper, sums[size + 1 :]):
+        curvature[i, j] += value
+        if i != j:
+            curvature[j, i] += value
+    return loss, gradient, curvature
+
+
 def score(model: RiskModel, frame: DataFrame) -> DataFrame:
     """The frame with `risk_probability` and the predicted class at 0.5.
 
     A plain expression over the feature columns, so scoring stays inside generated
     code and can follow any scan.
     """
-    probability = _probability(model.scaled(), [model.intercept, *model.coefficients])
+    probability = _logistic(_linear(model.scaled(), [model.intercept, *model.coefficients]))
     return frame.withColumn("risk_probability", F.expr(probability)).withColumn(
         "predicted_readmit", (F.col("risk_probability") > 0.5).cast("int")
     )

@@ -22,7 +22,7 @@ from wardlight.plans.order_encounters import (
     raw_encounters,
     table,
 )
-from wardlight.sources.shared import shared_table
+from wardlight.sources.shared import build_lock, shared_table
 
 TOKEN_SECRET = "fixture"
 
@@ -55,16 +55,18 @@ def split_frame(spark: SparkSession, folder: str) -> DataFrame:
     """Model rows with their side; the split is decided once per application."""
     key = (spark.conf.get("spark.app.id", "application"), folder)
     frame = features.model_frame(clean(spark, folder))
-    if key not in _limits:
-        _limits[key] = features.split_limits(frame)
+    with build_lock:
+        if key not in _limits:
+            _limits[key] = features.split_limits(frame)
     return features.with_side(frame, _limits[key])
 
 
 def fitted(spark: SparkSession, folder: str) -> model.RiskModel:
     """The model of this application and folder; fitted when first asked for."""
     key = (spark.conf.get("spark.app.id", "application"), folder)
-    if key not in _fitted:
-        _fitted[key] = model.fit_risk_model(split_frame(spark, folder))
+    with build_lock:
+        if key not in _fitted:
+            _fitted[key] = model.fit_risk_model(split_frame(spark, folder))
     return _fitted[key]
 
 

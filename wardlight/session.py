@@ -29,6 +29,8 @@ def report_options(input_bytes: int, cores: int, shuffled_share: float = 0.1) ->
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.files.maxPartitionBytes": str(split),
         "spark.sql.shuffle.partitions": str(partitions),
+        # Recording the Python line of every column doubles the time a plan takes to build.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
 
 
@@ -38,17 +40,20 @@ def build_session(
     cores: int = 8,
     master: str | None = None,
     checkpoint_dir: str | None = None,
+    driver_memory: str | None = None,
 ) -> SparkSession:
     """A session with `report_options`.
 
-    `master` and `checkpoint_dir` are for local runs; on a cluster both come from
-    its own configuration.
+    The last three arguments are for local runs; on a cluster they come from its
+    own configuration.
     """
     builder = SparkSession.builder.appName(app_name).config("spark.ui.enabled", "false")
     if master:
         builder = builder.master(master)
     if checkpoint_dir:
         builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
+    if driver_memory:
+        builder = builder.config("spark.driver.memory", driver_memory)
     for key, value in report_options(input_bytes, cores).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

@@ -7,13 +7,17 @@ lineage and let every report read just its columns.
 
 import hashlib
 import tempfile
+import threading
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+# Reports may be started from several threads; building a table may ask for another.
+build_lock = threading.RLock()
+
 _written: dict[tuple, tuple] = {}
-_local_folder: list[str] = []
+_local_folder: list[tempfile.TemporaryDirectory] = []
 
 
 def shared_folder(spark: SparkSession) -> str | None:
@@ -28,8 +32,10 @@ def shared_folder(spark: SparkSession) -> str | None:
     if not spark.conf.get("spark.master", "").startswith("local"):
         return None
     if not _local_folder:
-        _local_folder.append(tempfile.mkdtemp(prefix="wardlight-"))
-    return _local_folder[0]
+        _local_folder.append(
+            tempfile.TemporaryDirectory(prefix="wardlight-", ignore_cleanup_errors=True)
+        )
+    return _local_folder[0].name
 
 
 def shared_table(
@@ -44,16 +50,17 @@ def shared_table(
         return build()
     application = spark.conf.get("spark.app.id", "application")
     key = (folder, application, name, source)
-    if key in _written:
-        path, schema = _written[key]
-        try:
-            return spark.read.schema(schema).parquet(path)
-        except AnalysisException:
-            # Someone cleaned the folder up; write the table again.
-            del _written[key]
-    digest = hashlib.sha256(source.encode()).hexdigest()[:16]
-    path = f"{folder}/wardlight/{application}/{name}-{digest}"
-    table = build()
-    table.write.mode("overwrite").parquet(path)
-    _written[key] = (path, table.schema)
-    return spark.read.schema(table.schema).parquet(path)
+    with build_lock:
+        if key in _written:
+            path, schema = _written[key]
+            try:
+                return spark.read.schema(schema).parquet(path)
+            except AnalysisException:
+                # Someone cleaned the folder up; write the table again.
+                del _written[key]
+        digest = hashlib.sha256(source.encode()).hexdigest()[:16]
+        path = f"{folder}/wardlight/{application}/{name}-{digest}"
+        table = build()
+        table.write.mode("overwrite").parquet(path)
+        _written[key] = (path, table.schema)
+        return spark.read.schema(table.schema).parquet(path)
