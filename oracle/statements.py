@@ -534,7 +534,7 @@ _SPLIT = (
     _MODEL_ROWS
     + """,
 mixed AS (
-  SELECT *, ((((encounter_id + 42) % 2147483647) * 48271) % 2147483647 * 1664525) % 4294967296 AS h
+  SELECT *, ((((encounter_id % 2147483647) + 42) * 48271) % 2147483647 * 1664525) % 4294967296 AS h
   FROM model_rows
 ),
 label_sizes AS (

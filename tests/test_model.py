@@ -168,6 +168,33 @@ def test_area_under_the_curve_by_rank_sum(split, fitted):
     assert metrics["test_records"] == len(rows)
 
 
+@pytest.mark.parametrize("ranges", [2, 7, 1024])
+def test_area_does_not_depend_on_the_ranges(spark, monkeypatch, ranges):
+    monkeypatch.setattr(model, "_SCORE_RANGES", ranges)
+    rng = np.random.default_rng(3)
+    # A third of the rows share one score.
+    rows = [
+        (0.5 if i % 3 == 0 else float(rng.integers(1, 40)) / 40, int(rng.random() < 0.4), 0)
+        for i in range(400)
+    ]
+    frame = spark.createDataFrame(
+        rows, "risk_probability double, readmitted_30d int, predicted_readmit int"
+    )
+    positive = [score for score, label, _ in rows if label]
+    negative = [score for score, label, _ in rows if not label]
+    wins = sum((p > n) + 0.5 * (p == n) for p in positive for n in negative)
+    metrics = model.model_metrics(frame.repartition(3)).first()
+    assert metrics["roc_auc"] == round(wins / len(positive) / len(negative), 6)
+    assert metrics["accuracy"] == len(negative) / 400
+
+
+def test_metrics_without_both_outcomes_or_rows(spark):
+    schema = "risk_probability double, readmitted_30d int, predicted_readmit int"
+    one_class = model.model_metrics(spark.createDataFrame([(0.2, 0, 0)], schema)).first()
+    assert tuple(one_class) == (None, 1, 1.0)
+    assert tuple(model.model_metrics(spark.createDataFrame([], schema)).first()) == (None, 0, None)
+
+
 def test_classification_report(spark):
     outcomes = [(0, 0)] * 6 + [(0, 1)] * 2 + [(1, 0)] + [(1, 1)] * 3
     frame = spark.createDataFrame(outcomes, "readmitted_30d int, predicted_readmit int")

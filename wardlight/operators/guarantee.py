@@ -15,7 +15,8 @@ from wardlight.functions.measures import rate_pct, readmissions_30d, rounded_mea
 
 def monthly_totals(encounters: DataFrame, densify: bool = False) -> DataFrame:
     """One row per admission month, and with `densify` also per month without any."""
-    month = F.date_trunc("month", F.col("admission_date")).cast("timestamp_ntz")
+    # Truncated as a date, so that no session time zone gets involved.
+    month = F.trunc(F.col("admission_date").cast("date"), "month").cast("timestamp_ntz")
     totals = encounters.groupBy(month.alias("report_month")).agg(
         F.count("*").alias("total_admissions"),
         readmissions_30d().alias("readmissions_30d"),
