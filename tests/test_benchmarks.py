@@ -33,7 +33,8 @@ def test_repeated_lookup_keys_do_not_multiply_encounters(spark):
 
 
 def test_lookup_without_match_keeps_encounters(spark):
-    frame = make_encounters(spark, {"discharge_disposition_id": 99}, {"discharge_disposition_id": None})
+    keys = (99, None)
+    frame = make_encounters(spark, *[{"discharge_disposition_id": key} for key in keys])
     row = benchmarks.disposition_impact(frame, _lookup(spark, "disposition_id", 1)).first()
     assert row["total_discharges"] == 2
 

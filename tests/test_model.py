@@ -103,6 +103,15 @@ def test_quotas(sizes, quotas):
     assert features._test_quotas(sizes, "0.2") == quotas
 
 
+def test_hash_covers_every_number(spark):
+    numbers = [(0,), (1,), (-1,), (2**63 - 1,), (-(2**63),)]
+    wide = spark.createDataFrame(numbers, "encounter_id bigint")
+    narrow = spark.createDataFrame([(2**31 - 1,)], "encounter_id int")
+    for frame in (wide, narrow):
+        for row in frame.select(features.split_hash(F.col("encounter_id")).alias("h")).collect():
+            assert 0 <= row["h"] < 2**32
+
+
 def test_split_of_nothing(synthetic):
     assert features.stratified_split(synthetic.limit(0)).count() == 0
 

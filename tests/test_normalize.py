@@ -84,7 +84,7 @@ def test_text_numbers_are_typed_and_markers_dropped(spark):
     raw = make_raw(spark, {}, {}, {})
     text = raw.withColumn(
         "num_medications",
-        F.when(F.col("encounter_id") == 1, "12").when(F.col("encounter_id") == 2, "?").otherwise("x"),
+        F.get(F.array(F.lit("12"), F.lit("?"), F.lit("x")), F.col("encounter_id").cast("int") - 1),
     )
     rows = rows_by(normalize(text), "encounter_id")
     assert [rows[i]["num_medications"] for i in (1, 2, 3)] == [12, None, None]

@@ -59,9 +59,8 @@ def test_scorecard_has_eight_checks(spark):
     assert len(card) == 8
     assert (card["null_patient_id"]["failed"], card["null_patient_id"]["passed"]) == (1, 0)
     assert (card["null_age"]["failed"], card["null_age"]["passed"]) == (0, 1)
-    assert (card["age_out_of_range"]["failed"], card["age_out_of_range"]["passed"]) == (1, 0)
-    assert (card["duplicate_encounters"]["failed"], card["duplicate_encounters"]["passed"]) == (1, 0)
-    assert (card["null_rate_thresholds"]["failed"], card["null_rate_thresholds"]["passed"]) == (1, 0)
+    for name in ("age_out_of_range", "duplicate_encounters", "null_rate_thresholds"):
+        assert (card[name]["failed"], card[name]["passed"]) == (1, 0)
 
 
 def test_scorecard_threshold_is_inclusive_and_per_column(spark):

@@ -40,7 +40,8 @@ def medication_bin(count: Column) -> Column:
 
 
 def medication_bin_dimension(spark: SparkSession) -> DataFrame:
-    return _dimension(spark, [label for *_, label in MEDICATION_BINS], "medication_bin", "bin_order")
+    labels = [label for *_, label in MEDICATION_BINS]
+    return _dimension(spark, labels, "medication_bin", "bin_order")
 
 
 def _dimension(spark: SparkSession, labels: list, name: str, order: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -187,7 +187,11 @@ def correlation_pairs(clean: DataFrame, columns: tuple = CORRELATED_COLUMNS) ->
         for place, x in enumerate(columns)
         for y in columns[: place + 1]
     ]
-    bounds = [f"cast({f}(`{name}`) AS double) AS `{f}|{name}`" for f in ("min", "max") for name in columns]
+    bounds = [
+        f"cast({bound}(`{name}`) AS double) AS `{bound}|{name}`"
+        for bound in ("min", "max")
+        for name in columns
+    ]
     groups = clean.groupBy(F.expr(known).alias("known")).agg(
         *[F.expr(measure) for measure in ["cast(count(*) AS double) AS n", *sums, *bounds]]
     )
@@ -207,8 +211,13 @@ def correlation_pairs(clean: DataFrame, columns: tuple = CORRELATED_COLUMNS) ->
                 F.expr(f"sum({name}) FILTER (WHERE complete) AS {name}")
                 for name in ("n", "sx", "sy", "sxx", "syy", "sxy")
             ],
-            F.expr("min(x_min) FILTER (WHERE complete) < max(x_max) FILTER (WHERE complete) AS x_varies"),
-            F.expr("min(y_min) FILTER (WHERE complete) < max(y_max) FILTER (WHERE complete) AS y_varies"),
+            *[
+                F.expr(
+                    f"min({name}_min) FILTER (WHERE complete) < "
+                    f"max({name}_max) FILTER (WHERE complete) AS {name}_varies"
+                )
+                for name in ("x", "y")
+            ],
         )
     )
     mean_x, mean_y = F.col("sx") / F.col("n"), F.col("sy") / F.col("n")

@@ -74,7 +74,7 @@ def split_hash(encounter_id: Column, seed: int = SPLIT_SEED) -> Column:
     Two multiplications modulo coprime numbers: no step needs the value twice, and
     every product stays within 64 bits.
     """
-    value = F.pmod(encounter_id, F.lit(_PRIME)) + F.lit(seed)
+    value = F.pmod(encounter_id.cast("bigint"), F.lit(_PRIME)) + F.lit(seed)
     value = F.pmod(value * F.lit(_FACTORS[0]), F.lit(_PRIME))
     return F.pmod(value * F.lit(_FACTORS[1]), F.lit(_TWO_32))
 

@@ -46,8 +46,8 @@ def top_diagnosis_share(clean: DataFrame, top: int = 5) -> DataFrame:
     totals = per_diagnosis.agg(F.sum("readmissions").alias("_all"))
     # Both branches read the same per-diagnosis exchange; the union is top + 1 rows.
     return (
-        leading.select(F.col("readmissions").alias("_top"), F.lit(None).cast("bigint").alias("_all"))
-        .unionByName(totals.select(F.lit(None).cast("bigint").alias("_top"), "_all"))
+        leading.select(F.col("readmissions").alias("_top"))
+        .unionByName(totals, allowMissingColumns=True)
         .agg(
             F.coalesce(F.sum("_top"), F.lit(0)).alias("top_readmissions"),
             F.coalesce(F.sum("_all"), F.lit(0)).alias("total_readmissions"),

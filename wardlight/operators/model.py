@@ -27,6 +27,7 @@ _REFINED = 1e-5
 # (spark.sql.codegen.maxFields); wider ones are several times slower.
 _AGGREGATE_WIDTH = 60
 _MAX_HALVINGS = 30
+_NO_GAIN = 1e-13
 _SCORE_RANGES = 1024
 
 
@@ -149,7 +150,8 @@ def _refine(
     for _ in range(max_steps):
         loss, gradient, curvature = here
         step = np.linalg.solve(curvature, gradient)
-        if np.abs(step).max() < _REFINED:
+        # Half of this product is what the step should gain.
+        if np.abs(step).max() < _REFINED or gradient @ step < _NO_GAIN * loss:
             return weights + step
         for halvings in range(_MAX_HALVINGS):
             tried = weights + step / 2**halvings
@@ -251,7 +253,10 @@ def model_metrics(scored_test: DataFrame, target: str = MODEL_TARGET) -> DataFra
     )
     lower_ranges = _sum_before("others", W.orderBy("_range"))
     totals = per_range.withColumn("wins", F.col("wins") + F.col("readmitted") * lower_ranges).agg(
-        *[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in ("readmitted", "others", "correct")],
+        *[
+            F.coalesce(F.sum(name), F.lit(0)).alias(name)
+            for name in ("readmitted", "others", "correct")
+        ],
         F.sum("wins").alias("wins"),
     )
     records = F.col("readmitted") + F.col("others")
