@@ -217,7 +217,14 @@ checks AS (
                   CAST(COUNT(*) FILTER (WHERE 100.0 * failed / total_rows > threshold_pct) = 0 AS INT)
                 FROM nulls, total""",
         ),
-        "norm_encounters": _with(_NORM, f"SELECT {', '.join(_NORM_COLUMNS)} FROM norm"),
+        "norm_encounters": _with(
+            _NORM,
+            f"""SELECT {', '.join(_NORM_COLUMNS)} FROM norm""".replace(
+                " age_numeric,", " CAST(age_numeric AS DOUBLE) AS age_numeric,"
+            ).replace(
+                " time_in_hospital,", " CAST(time_in_hospital AS DOUBLE) AS time_in_hospital,"
+            ),
+        ),
         "norm_drop_critical": _with(
             _CLEAN,
             f"""SELECT b.n AS records_before, b.n - a.n AS records_removed, a.n AS records_after,

@@ -84,6 +84,13 @@ def _on(frame: Callable, report: Callable, **options) -> Callable[[SparkSession,
     return lambda spark, folder: report(frame(spark, folder), **options)
 
 
+def _norm_encounters(spark: SparkSession, folder: str) -> DataFrame:
+    """The normalized frame; numbers that can be unknown show as doubles."""
+    return normalize_raw(spark, folder).withColumns(
+        {name: F.col(name).cast("double") for name in ("age_numeric", "time_in_hospital")}
+    )
+
+
 def _disposition_impact(spark: SparkSession, folder: str) -> DataFrame:
     dispositions = table(spark, folder, "nation").select(
         F.col("n_nationkey").alias("disposition_id")
@@ -138,7 +145,7 @@ def registered_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             encounters_with_defects, quality.scorecard, max_null_pct_by_column={"readmitted": 1.0}
         ),
         # Normalization
-        "norm_encounters": normalize_raw,
+        "norm_encounters": _norm_encounters,
         "norm_drop_critical": _on(normalized, normalize.drop_summary),
         # Descriptive
         "kpi_summary": _on(encounters, descriptive.kpi_summary),
