@@ -156,6 +156,18 @@ def test_top_diagnosis_share(spark):
     assert (row["top_readmissions"], row["total_readmissions"]) == (3 + 4 + 5 + 6 + 7, 30)
 
 
+def test_unknown_diagnosis_never_leads(spark):
+    frame = normalize(
+        make_raw(
+            spark,
+            *group(1, 5, primary_diagnosis="d1"),
+            *group(4, 5, primary_diagnosis="?"),
+        )
+    )
+    row = findings.top_diagnosis_share(frame).first()
+    assert (row["top_readmissions"], row["total_readmissions"]) == (1, 5)
+
+
 def test_disposition_ratio(spark):
     frame = make_encounters(
         spark,

@@ -79,6 +79,13 @@ def test_scorecard_ships_one_column_of_the_encounters(spark, small):
     assert plan.count("hashpartitioning") == 1
 
 
+def test_diagnosis_share_reads_the_encounters_once(spark, small):
+    share = registered_queries()["top5_diagnosis_share"](spark, small)
+    share.collect()
+    final = _plan(share).split("== Initial Plan ==")[0]
+    assert final.count("FileScan") == 1 and "ReusedExchange" in final
+
+
 @pytest.fixture(scope="module")
 def hot_tables(spark, small, tmp_path_factory):
     """The small tables with a third of the orders on one customer, day and part."""

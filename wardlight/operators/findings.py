@@ -38,15 +38,15 @@ def top_diagnosis_share(clean: DataFrame, top: int = 5) -> DataFrame:
     per_diagnosis = clean.groupBy("primary_diagnosis").agg(
         F.sum("readmitted_30d").alias("readmissions")
     )
-    leading = (
-        per_diagnosis.where(F.col("primary_diagnosis").isNotNull())
-        .orderBy(F.desc("readmissions"), "primary_diagnosis")
-        .limit(top)
-    )
+    # The unknown diagnosis sorts last instead of being filtered: a filter would move
+    # into the scan and make the two branches below read the encounters twice.
+    known = F.col("primary_diagnosis").isNotNull()
+    leading = per_diagnosis.orderBy(
+        F.desc(known), F.desc("readmissions"), "primary_diagnosis"
+    ).limit(top)
     totals = per_diagnosis.agg(F.sum("readmissions").alias("_all"))
-    # Both branches read the same per-diagnosis exchange; the union is top + 1 rows.
     return (
-        leading.select(F.col("readmissions").alias("_top"))
+        leading.select(F.when(known, F.col("readmissions")).alias("_top"))
         .unionByName(totals, allowMissingColumns=True)
         .agg(
             F.coalesce(F.sum("_top"), F.lit(0)).alias("top_readmissions"),
