@@ -1,11 +1,13 @@
-"""Every registered query against its SQL twin on the whole test tables."""
+"""Every registered report against its SQL twin on the whole test tables."""
 
 import pytest
 
 import __spark_entry__ as entry_points
 from oracle.compare import differences, open_tables
+from oracle.statements import oracle_statements
+from wardlight.plans.registry import registered_queries
 
-NAMES = sorted(entry_points.queries())
+NAMES = sorted(registered_queries())
 
 
 @pytest.fixture(scope="module")
@@ -13,8 +15,10 @@ def tables(medium):
     return open_tables(medium)
 
 
-def test_every_query_has_a_twin():
-    assert set(entry_points.queries()) == set(entry_points.oracle_sql())
+def test_every_report_has_a_twin():
+    assert set(registered_queries()) == set(oracle_statements())
+    assert set(registered_queries()) <= set(entry_points.queries())
+    assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
 
 
 @pytest.mark.parametrize("name", NAMES)
