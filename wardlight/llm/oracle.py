@@ -2,6 +2,37 @@
 
 from __future__ import annotations
 
+OP1_QUALITY_RULES = r"""
+WITH t AS (
+    SELECT doc_id, coalesce(text, '') AS text,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), lines AS (
+    SELECT doc_id, count(*) AS n_lines, count(DISTINCT line) AS n_distinct
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t)
+    WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), windows AS (
+    SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS k
+    FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM t WHERE len(ws) > 8)
+), repeated AS (
+    SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1
+), reach AS (
+    SELECT doc_id, least(8, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 8)) AS n FROM repeated
+), rep AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n FROM reach GROUP BY doc_id),
+c AS (
+    SELECT t.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+           length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+           length(text) - length(regexp_replace(text, '!', '', 'g')) AS n_bang,
+           length(text) - length(regexp_replace(text, '\p{Lu}', '', 'g')) AS n_capitals,
+           coalesce(n_lines, 0) AS n_lines, coalesce(n_lines - n_distinct, 0) AS n_dup_lines,
+           coalesce(rep.n, 0) AS n_repeat_words
+    FROM t LEFT JOIN lines ON lines.doc_id = t.doc_id LEFT JOIN rep ON rep.doc_id = t.doc_id
+), b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words
+            OR 10 * n_dup_lines > 3 * n_lines OR 5 * n_bang > n_words OR 10 * n_capitals > 3 * word_chars) AS kept
+FROM b
+"""
+
 OP4_WARC = """
 WITH p AS (
     SELECT DISTINCT page_id, sha256(coalesce(html, '')) AS d, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages
@@ -31,4 +62,4 @@ FROM e GROUP BY conv_id
 
 
 def llm_oracle():
-    return {"op4_warc": OP4_WARC, "op5_chat": OP5_CHAT}
+    return {"op1_quality_rules": OP1_QUALITY_RULES, "op4_warc": OP4_WARC, "op5_chat": OP5_CHAT}

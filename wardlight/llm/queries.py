@@ -5,10 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.llm import chat, warc
+from wardlight.llm import chat, quality_rules, warc
 from wardlight.llm.common import new_folder, read_table, stored
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = quality_rules.counts(docs)
+    base_failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    # The base condition comes first, so texts it fails skip the cascade.
+    rules = [
+        quality_rules.Rule(r.name, ~base_failed & r.rejects, r.units, r.unit_cost)
+        for r in quality_rules.standard_rules()
+    ]
+    return quality_rules.cascade(counted, rules).select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        base_failed.alias("base_failed"),
+        (~base_failed & F.col("failed_rule").isNull()).alias("kept"),
+    )
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to a content-addressed archive and read back."""
     folder = new_folder(spark, "warc")
@@ -52,4 +74,4 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries():
-    return {"op4_warc": op4_warc, "op5_chat": op5_chat}
+    return {"op1_quality_rules": op1_quality_rules, "op4_warc": op4_warc, "op5_chat": op5_chat}
