@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,3 +53,20 @@ def stored(frame: DataFrame, label: str) -> DataFrame:
 def let(value: Column, body) -> Column:
     """body(value) with value computed once: a lambda variable is never inlined."""
     return F.transform(F.array(value), body)[0]
+
+
+def held_out(doc_id: Column) -> Column:
+    """True for the quarter of the documents that no model learns from."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+
+
+def text_blocks(texts: list[str], most_chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about `most_chars` characters together; a longer text stands alone."""
+    start = total = 0
+    for i, text in enumerate(texts):
+        if i > start and total + len(text) > most_chars:
+            yield start, i
+            start, total = i, 0
+        total += len(text)
+    if start < len(texts):
+        yield start, len(texts)

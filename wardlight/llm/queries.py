@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.llm import chat, quality_rules, warc
-from wardlight.llm.common import new_folder, read_table, stored
+from wardlight.llm import chat, language_id, quality_rules, warc
+from wardlight.llm.common import held_out, new_folder, read_table, stored
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,5 +73,19 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from three quarters of them."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs.where(~held_out(F.col("doc_id"))))
+    found = language_id.identify(docs, model)
+    return found.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        held_out(F.col("doc_id")).alias("held_out"),
+        "lang_pred",
+        "score",
+        "rejected",
+    )
+
+
 def llm_queries():
-    return {"op1_quality_rules": op1_quality_rules, "op4_warc": op4_warc, "op5_chat": op5_chat}
+    return {"op1_quality_rules": op1_quality_rules, "op4_warc": op4_warc, "op5_chat": op5_chat, "op6_language_id": op6_language_id}
