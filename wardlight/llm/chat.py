@@ -146,14 +146,18 @@ def paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
         )
         if branches is not None:
             chosen = chosen.where(F.col("branch_rank") <= branches)
-    found = chosen.select(
-        "tree_id", "leaf_id", "branch_rank", F.lit(0).cast("long").alias("step"), F.col("leaf_id").alias("message_id")
+    found = stored(
+        chosen.select(
+            "tree_id", "leaf_id", "branch_rank", F.lit(0).cast("long").alias("step"), F.col("leaf_id").alias("message_id")
+        ),
+        "chat-paths",
     )
     for k, pointers in reversed(list(enumerate(rounds))):
         jumped = found.join(pointers, ["tree_id", "message_id"]).select(
             "tree_id", "leaf_id", "branch_rank", (F.col("step") + 2**k).alias("step"), F.col("up").alias("message_id")
         )
-        found = found.unionByName(jumped)
+        # Stored, as the union names the rows so far twice.
+        found = stored(found.unionByName(jumped), "chat-paths")
     return found
 
 
