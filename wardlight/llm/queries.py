@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.llm import chat, language_id, quality_rules, warc
+from wardlight.llm import chat, language_id, quality_classifier, quality_rules, warc
 from wardlight.llm.common import held_out, new_folder, read_table, stored
 
 
@@ -31,6 +31,20 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document, learned from three quarters of the labels."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
+    training = docs.join(labels.where(~held_out(F.col("doc_id"))), "doc_id")
+    model = quality_classifier.fit(training)
+    return quality_classifier.score(docs, model).select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to a content-addressed archive and read back."""
     folder = new_folder(spark, "warc")
@@ -88,4 +102,4 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries():
-    return {"op1_quality_rules": op1_quality_rules, "op4_warc": op4_warc, "op5_chat": op5_chat, "op6_language_id": op6_language_id}
+    return {"op1_quality_rules": op1_quality_rules, "op2_quality_classifier": op2_quality_classifier, "op4_warc": op4_warc, "op5_chat": op5_chat, "op6_language_id": op6_language_id}
