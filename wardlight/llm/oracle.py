@@ -61,5 +61,36 @@ FROM e GROUP BY conv_id
 """
 
 
+OP7_MINHASH = r"""
+WITH RECURSIVE t AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g
+    FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM t WHERE len(ws) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+classes AS (
+    SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS rep
+    FROM (SELECT doc_id, md5(string_agg(g, chr(10) ORDER BY g)) AS k FROM s GROUP BY doc_id)
+), r AS (SELECT s.doc_id, g, n FROM s JOIN n USING (doc_id) JOIN classes USING (doc_id) WHERE rep = doc_id),
+common AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c, any_value(a.n) AS xn, any_value(b.n) AS yn
+    FROM r a JOIN r b ON a.g = b.g AND a.doc_id < b.doc_id
+        AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY 1, 2
+), e AS (
+    SELECT x, y FROM common WHERE 100 * c >= 85 * (xn + yn - c)
+), both_ways AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+reach AS (
+    SELECT x AS node, x AS seen FROM both_ways
+    UNION SELECT reach.node, both_ways.y FROM reach JOIN both_ways ON both_ways.x = reach.seen
+), comp AS (SELECT node, min(seen) AS component FROM reach GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles,
+       coalesce(comp.component, classes.rep, d.doc_id) AS component_id,
+       d.doc_id = coalesce(comp.component, classes.rep, d.doc_id) AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN classes ON classes.doc_id = d.doc_id
+LEFT JOIN comp ON comp.node = classes.rep
+"""
+
+
 def llm_oracle():
-    return {"op1_quality_rules": OP1_QUALITY_RULES, "op4_warc": OP4_WARC, "op5_chat": OP5_CHAT}
+    return {"op1_quality_rules": OP1_QUALITY_RULES, "op4_warc": OP4_WARC, "op7_minhash": OP7_MINHASH, "op5_chat": OP5_CHAT}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.llm import chat, language_id, quality_classifier, quality_rules, warc
+from wardlight.llm import chat, language_id, minhash, quality_classifier, quality_rules, warc
 from wardlight.llm.common import held_out, new_folder, read_table, stored
 
 
@@ -101,5 +101,16 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate group of every document."""
+    found = minhash.groups(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        "n_shingles",
+        F.col("component_id").cast("long").alias("component_id"),
+        (F.col("doc_id") == F.col("component_id")).alias("kept"),
+    )
+
+
 def llm_queries():
-    return {"op1_quality_rules": op1_quality_rules, "op2_quality_classifier": op2_quality_classifier, "op4_warc": op4_warc, "op5_chat": op5_chat, "op6_language_id": op6_language_id}
+    return {"op1_quality_rules": op1_quality_rules, "op2_quality_classifier": op2_quality_classifier, "op4_warc": op4_warc, "op5_chat": op5_chat, "op6_language_id": op6_language_id, "op7_minhash": op7_minhash}
