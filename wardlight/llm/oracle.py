@@ -92,5 +92,24 @@ LEFT JOIN comp ON comp.node = classes.rep
 """
 
 
+OP8_RECOMPRESSION = r"""
+WITH t AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), win AS (
+    SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k
+    FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM t WHERE len(ws) >= 13)
+), repeated AS (SELECT doc_id, i FROM win QUALIFY min(doc_id) OVER (PARTITION BY k) < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM repeated),
+word AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM t),
+kept AS (
+    SELECT word.doc_id, string_agg(w, ' ' ORDER BY i) AS left_text, count(*) AS n
+    FROM word ANTI JOIN gone ON word.doc_id = gone.doc_id AND word.i = gone.i GROUP BY word.doc_id
+)
+SELECT t.doc_id, len(ws) AS n_words, len(ws) - coalesce(kept.n, 0) AS n_removed,
+       sha256(coalesce(left_text, '')) AS kept_sha256
+FROM t LEFT JOIN kept ON kept.doc_id = t.doc_id
+"""
+
+
 def llm_oracle():
-    return {"op1_quality_rules": OP1_QUALITY_RULES, "op4_warc": OP4_WARC, "op7_minhash": OP7_MINHASH, "op5_chat": OP5_CHAT}
+    return {"op1_quality_rules": OP1_QUALITY_RULES, "op4_warc": OP4_WARC, "op7_minhash": OP7_MINHASH, "op8_recompression": OP8_RECOMPRESSION, "op5_chat": OP5_CHAT}

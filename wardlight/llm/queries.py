@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.llm import chat, language_id, minhash, quality_classifier, quality_rules, warc
+from wardlight.llm import chat, language_id, minhash, quality_classifier, quality_rules, recompression, warc
 from wardlight.llm.common import held_out, new_folder, read_table, stored
 
 
@@ -112,5 +112,13 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 13-word windows that earlier documents hold."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return recompression.remove_repeats(docs, with_text=False).select(
+        F.col("doc_id").cast("long").alias("doc_id"), "n_words", "n_removed", "kept_sha256"
+    )
+
+
 def llm_queries():
-    return {"op1_quality_rules": op1_quality_rules, "op2_quality_classifier": op2_quality_classifier, "op4_warc": op4_warc, "op5_chat": op5_chat, "op6_language_id": op6_language_id, "op7_minhash": op7_minhash}
+    return {"op1_quality_rules": op1_quality_rules, "op2_quality_classifier": op2_quality_classifier, "op4_warc": op4_warc, "op5_chat": op5_chat, "op6_language_id": op6_language_id, "op7_minhash": op7_minhash, "op8_recompression": op8_recompression}
