@@ -106,6 +106,7 @@ def climb(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
             )
         if longest > 2 * count:
             raise ValueError("the messages contain a cycle of replies")
+        # Rows that have reached their root stay as they are and are not joined again.
         above = state.select(
             "tree_id",
             F.col("message_id").alias("up"),
@@ -113,16 +114,14 @@ def climb(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
             F.col("steps").alias("more_steps"),
             F.col("sum_score").alias("more_score"),
         )
-        state = stored(
-            state.join(above, ["tree_id", "up"], "left").select(
-                "tree_id",
-                "message_id",
-                F.col("next_up").alias("up"),
-                (F.col("steps") + F.coalesce("more_steps", F.lit(0))).alias("steps"),
-                (F.col("sum_score") + F.coalesce("more_score", F.lit(0.0))).alias("sum_score"),
-            ),
-            "chat-up",
+        climbed = state.where("up IS NOT NULL").join(above, ["tree_id", "up"]).select(
+            "tree_id",
+            "message_id",
+            F.col("next_up").alias("up"),
+            (F.col("steps") + F.col("more_steps")).alias("steps"),
+            (F.col("sum_score") + F.col("more_score")).alias("sum_score"),
         )
+        state = stored(state.where("up IS NULL").unionByName(climbed), "chat-up")
 
 
 def paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
