@@ -33,6 +33,33 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
+OP3_SUFFIX_DEDUP = r"""
+WITH t AS (
+    SELECT doc_id, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS x FROM documents
+), win AS (
+    SELECT doc_id, i, md5_number(substr(x, 2 * i + 1, 200)) AS k
+    FROM (SELECT doc_id, x, unnest(range(0, n - 99)) AS i FROM t WHERE n >= 100)
+), hit AS (
+    SELECT doc_id, i FROM win QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1
+), flagged AS (
+    SELECT doc_id, i, CASE WHEN i <= lag(i) OVER w + 100 THEN 0 ELSE 1 END AS fresh
+    FROM hit WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), numbered AS (
+    SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM flagged
+), span AS (SELECT doc_id, span, min(i) AS s, max(i) + 100 AS e FROM numbered GROUP BY doc_id, span),
+cuts AS (
+    SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS a, s AS b FROM span
+    UNION ALL SELECT t.doc_id, coalesce(m.e, 0), t.n FROM t LEFT JOIN
+        (SELECT doc_id, max(e) AS e FROM span GROUP BY doc_id) m ON m.doc_id = t.doc_id
+), kept AS (
+    SELECT cuts.doc_id, string_agg(substr(x, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS x, sum(b - a) AS n
+    FROM cuts JOIN t ON t.doc_id = cuts.doc_id GROUP BY cuts.doc_id
+), spans AS (SELECT doc_id, count(*) AS c FROM span GROUP BY doc_id)
+SELECT t.doc_id, t.n AS n_bytes, CAST(t.n - kept.n AS BIGINT) AS n_removed,
+       coalesce(spans.c, 0) AS n_spans, sha256(unhex(kept.x)) AS kept_sha256
+FROM t JOIN kept ON kept.doc_id = t.doc_id LEFT JOIN spans ON spans.doc_id = t.doc_id
+"""
+
 OP4_WARC = """
 WITH p AS (
     SELECT DISTINCT page_id, sha256(coalesce(html, '')) AS d, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages
@@ -112,4 +139,4 @@ FROM t LEFT JOIN kept ON kept.doc_id = t.doc_id
 
 
 def llm_oracle():
-    return {"op1_quality_rules": OP1_QUALITY_RULES, "op4_warc": OP4_WARC, "op7_minhash": OP7_MINHASH, "op8_recompression": OP8_RECOMPRESSION, "op5_chat": OP5_CHAT}
+    return {"op1_quality_rules": OP1_QUALITY_RULES, "op3_suffix_dedup": OP3_SUFFIX_DEDUP, "op4_warc": OP4_WARC, "op7_minhash": OP7_MINHASH, "op8_recompression": OP8_RECOMPRESSION, "op5_chat": OP5_CHAT}

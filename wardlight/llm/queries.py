@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.llm import chat, language_id, minhash, quality_classifier, quality_rules, recompression, warc
+from wardlight.llm import chat, language_id, minhash, quality_classifier, quality_rules, recompression, suffix_dedup, warc
 from wardlight.llm.common import held_out, new_folder, read_table, stored
 
 
@@ -45,6 +45,14 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 100-byte strings that occur earlier."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.remove_repeats(docs, with_bytes=False).select(
+        F.col("doc_id").cast("long").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256"
+    )
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to a content-addressed archive and read back."""
     folder = new_folder(spark, "warc")
@@ -121,4 +129,4 @@ def op8_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries():
-    return {"op1_quality_rules": op1_quality_rules, "op2_quality_classifier": op2_quality_classifier, "op4_warc": op4_warc, "op5_chat": op5_chat, "op6_language_id": op6_language_id, "op7_minhash": op7_minhash, "op8_recompression": op8_recompression}
+    return {"op1_quality_rules": op1_quality_rules, "op2_quality_classifier": op2_quality_classifier, "op3_suffix_dedup": op3_suffix_dedup, "op4_warc": op4_warc, "op5_chat": op5_chat, "op6_language_id": op6_language_id, "op7_minhash": op7_minhash, "op8_recompression": op8_recompression}

@@ -24,7 +24,7 @@ def odd_constants(count: int, seed: int) -> np.ndarray:
     return mixed(np.arange(1, count + 1, dtype=np.uint64) + np.uint64(seed << 32)) | np.uint64(1)
 
 
-def _power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64, kept between blocks."""
     if len(_powers.get("up", ())) < size:
         inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -60,7 +60,7 @@ def tokenise(texts: list[str], lower: bool = False) -> Words:
     space = (data == 32) | ((data >= 9) & (data <= 13))
     edge = np.flatnonzero(np.diff(space.astype(np.int8), prepend=1, append=1))
     starts, ends = edge[0::2], edge[1::2]
-    up, down = _power_tables(len(data))
+    up, down = power_tables(len(data))
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
