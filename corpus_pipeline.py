@@ -1,10 +1,71 @@
-"""From raw documents to packed training sequences, stage by stage."""
+"""From raw documents to packed training sequences, stage by stage.
+
+Each stage takes the documents that its predecessor kept, stored as Parquet, and
+returns the documents it keeps with all their columns; the last one returns the
+packed pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wardlight.llm import decontamination, language_id, minhash, packing, recompression
+from wardlight.llm.common import held_out, read_table, stored
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; `lang` stays as it came."""
+    model = language_id.fit(docs.where(~held_out(F.col("doc_id"))))
+    rejected = language_id.identify(docs, model).where("rejected").select(F.col("doc_id").alias("rejected_id"))
+    return docs.join(rejected, F.col("doc_id") == F.col("rejected_id"), "left_anti")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group, the one with the least id."""
+    dropped = minhash.groups(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("dropped_id"))
+    return docs.join(dropped, F.col("doc_id") == F.col("dropped_id"), "left_anti")
+
+
+def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that earlier ones hold; texts that lose nothing stay as they are.
+
+    A document that loses every word goes.
+    """
+    left = recompression.remove_repeats(docs).where("n_removed > 0").select(
+        F.col("doc_id").alias("cut_id"), F.col("kept_text"), (F.col("n_removed") == F.col("n_words")).alias("emptied")
+    )
+    text = F.when(F.col("cut_id").isNotNull(), F.col("kept_text")).otherwise(F.col("text")).alias("text")
+    columns = [
+        text if name == "text" else F.char_length(text).cast("long").alias(name) if name == "n_chars" else F.col(name)
+        for name in docs.columns
+    ]
+    return (
+        docs.join(left, F.col("doc_id") == F.col("cut_id"), "left")
+        .where("emptied IS NULL OR NOT emptied")
+        .select(*columns)
+    )
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    found = decontamination.leaks(docs, read_table(spark, sf_dir, "benchmark"))
+    leaking = found.select(F.col("doc_id").alias("leak_id")).distinct()
+    return docs.join(leaking, F.col("doc_id") == F.col("leak_id"), "left_anti")
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token pieces of all documents left, packed into sequences."""
+    return packing.pack(docs.withColumn("doc_id", F.col("doc_id").cast("long")))
+
 
-STAGES: list = []
+STAGES = [
+    ("language_id", identify_language),
+    ("minhash", drop_near_duplicates),
+    ("substring_dedup", remove_passages),
+    ("decontamination", decontaminate),
+    ("packing", pack_sequences),
+]
 
 #: Language models and tokenization have no SQL form; tests hold the rows against brute force.
 ORACLE_SQL = None
@@ -12,4 +73,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; each result is stored and read again."""
-    raise NotImplementedError
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.llm import chat, language_id, minhash, packing, quality_classifier, quality_rules, recompression, suffix_dedup, warc
+from wardlight.llm import (
+    chat,
+    decontamination,
+    language_id,
+    minhash,
+    packing,
+    quality_classifier,
+    quality_rules,
+    recompression,
+    suffix_dedup,
+    warc,
+)
 from wardlight.llm.common import held_out, new_folder, read_table, stored
 
 
@@ -128,6 +139,12 @@ def op8_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that documents hold."""
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return decontamination.leaks(docs, read_table(spark, sf_dir, "benchmark"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token pieces, packed into sequences."""
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -135,4 +152,17 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries():
-    return {"op1_quality_rules": op1_quality_rules, "op2_quality_classifier": op2_quality_classifier, "op3_suffix_dedup": op3_suffix_dedup, "op4_warc": op4_warc, "op5_chat": op5_chat, "op6_language_id": op6_language_id, "op7_minhash": op7_minhash, "op8_recompression": op8_recompression, "op10_packing": op10_packing}
+    """The queries by name."""
+    found = (
+        op1_quality_rules,
+        op2_quality_classifier,
+        op3_suffix_dedup,
+        op4_warc,
+        op5_chat,
+        op6_language_id,
+        op7_minhash,
+        op8_recompression,
+        op9_decontamination,
+        op10_packing,
+    )
+    return {query.__name__: query for query in found}
