@@ -334,7 +334,7 @@ def _plan(histogram: dict[int, int], capacity: int, groups: int, large_share: fl
 
 
 def _assign(segments: list[tuple[int, int, int, int, int]]):
-    """Gives each (length, rank) its sequence and offset."""
+    """Gives each (row, length, rank) its sequence and offset."""
     rows = np.array(sorted(segments), np.int64).reshape(-1, 5)
     size, rank, _, first, offset = rows.T
     heads = np.flatnonzero(np.r_[True, size[1:] != size[:-1]]) if len(size) else np.empty(0, np.int64)
@@ -350,14 +350,10 @@ def _assign(segments: list[tuple[int, int, int, int, int]]):
                 high = np.searchsorted(size, length, side="right")
                 mine = lengths == length
                 at[mine] = low + np.searchsorted(rank[low:high], ranks[mine], side="right") - 1
+            kept = [name for name in batch.schema.names if name != "rank"]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    *(batch.column(name) for name in ("piece", "start", "length", "ids_crc32")),
-                    pa.array(first[at] + ranks - rank[at]),
-                    pa.array(offset[at]),
-                ],
-                names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
+                [*(batch.column(name) for name in kept), pa.array(first[at] + ranks - rank[at]), pa.array(offset[at])],
+                names=[*kept, "sequence_id", "offset"],
             )
 
     return run
@@ -389,10 +385,12 @@ def pack(
     ranked = (
         placed.withColumn("local", local)
         .join(offsets, ["length", "shard"])
-        .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("skipped") + F.col("local") - 1).alias("rank"))
+        .select(*placed.columns[:-1], (F.col("skipped") + F.col("local") - 1).alias("rank"))
     )
     histogram = {row["length"]: row["n"] for row in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    found = ranked.mapInArrow(_assign(plan(histogram, capacity, groups)), columns + ", sequence_id long, offset long")
+    found = ranked.mapInArrow(
+        _assign(plan(histogram, capacity, groups)), columns + ", row long, sequence_id long, offset long"
+    )
     if with_ids:
-        found = found.join(pieces.select("doc_id", "piece", "ids"), ["doc_id", "piece"])
-    return found
+        found = found.join(pieces.select("row", "ids"), "row")
+    return found.drop("row")

@@ -148,6 +148,8 @@ def ordered(rules: list[Rule], docs: DataFrame, sample_texts: int = SAMPLE_TEXTS
 
     Equal ratios keep the given order, as an empty table does.
     """
+    if not rules:
+        return []
     total = docs.count()
     part = docs if total <= sample_texts else docs.sample(fraction=sample_texts / total, seed=7)
     row = part.agg(
