@@ -105,13 +105,13 @@ def window_keys(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
     rank = (bytes_long << np.uint64(48)) | (names >> np.uint64(16))
     low = np.searchsorted(first, firsts + margin)
     high = np.searchsorted(last, firsts + window - margin, side="right")
-    best = low.copy()
+    best = np.minimum(low, len(rank) - 1)
     for step in range(1, int((high - low).max(initial=1))):
         other = np.minimum(low + step, len(rank) - 1)
         best = np.where((low + step < high) & (rank[other] > rank[best]), other, best)
     direct = _squares(words, 2 ** max(rounds - 1, 0), window)[firsts] | (high <= low)
     whole = window_hashes(words.hashes, window, seed=31)[firsts]
-    return firsts, np.where(direct, whole, names[np.minimum(best, len(names) - 1)])
+    return firsts, np.where(direct, whole, names[best])
 
 
 def _sign(window: int):
