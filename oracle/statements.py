@@ -166,11 +166,32 @@ def _quality() -> dict:
         f"SELECT '{c}' AS column_name, COUNT(*) - COUNT({c}) AS null_count, COUNT(*) AS n FROM norm"
         for c in _NORM_COLUMNS
     )
+    counted = {
+        "encounter_id": ("encounter_id", "FALSE"),
+        "patient_id": ("patient_id", "FALSE"),
+        "age_group": ("age_group", "FALSE"),
+        "time_in_hospital": ("time_in_hospital", "encounter_id % 83 = 0 AND encounter_id % 13 <> 0"),
+        "num_lab_procedures": ("num_lab_procedures", "FALSE"),
+        "num_procedures": ("num_procedures", "FALSE"),
+        "num_medications": ("num_medications", "encounter_id % 97 = 0"),
+        "num_diagnoses": ("num_diagnoses", "FALSE"),
+        "primary_diagnosis": ("primary_diagnosis", "FALSE"),
+        "a1c_result": ("a1c_result", "FALSE"),
+        "change": ("change", "FALSE"),
+        "diabetesMed": ("diabetesMed", "FALSE"),
+        "readmitted": ("readmitted", "FALSE"),
+    }
+    unreadable = " UNION ALL ".join(
+        f"SELECT '{name}' AS column_name, COUNT({column}) AS given_values, "
+        f"COUNT(*) FILTER (WHERE {column} IS NOT NULL AND {odd}) AS unreadable_values FROM known"
+        for name, (column, odd) in counted.items()
+    )
     failures = " UNION ALL ".join(
         f"SELECT '{name}' AS check_name, COUNT(*) - COUNT({column}) AS failed, {limits[name]} AS threshold_pct FROM dirty"
         for name, column in checks.items()
     )
     return {
+        "dq_unreadable_values": _with(_NORM, unreadable),
         "input_profile": _with(
             _ENCOUNTERS, "SELECT COUNT(*) AS records, 13 AS features FROM encounters"
         ),
@@ -370,7 +391,8 @@ def _cohorts() -> dict:
             + f""",
 cohorts AS (
   SELECT dimension, cohort, COUNT(*) AS n, {_R30} AS hits
-  FROM ({dimensions}) WHERE cohort IS NOT NULL GROUP BY dimension, cohort HAVING COUNT(*) >= 100
+  FROM ({dimensions}) WHERE cohort IS NOT NULL GROUP BY dimension, cohort
+  HAVING dimension <> 'primary_diagnosis' OR COUNT(*) >= 100
 )""",
             f"""SELECT dimension,
                   CAST(RANK() OVER (PARTITION BY dimension ORDER BY {_pct('hits', 'n')} DESC) AS INT)
@@ -393,15 +415,16 @@ cohorts AS (
         "medication_tiers": _with(
             _ENCOUNTERS
             + """,
-tiers(low, high, medication_tier) AS (VALUES
-  (-1, 5, '1-4 medications'), (5, 10, '5-9 medications'), (10, 15, '10-14 medications'),
-  (15, 20, '15-19 medications'), (20, 1000000, '20+ medications')
+tiered AS (
+  SELECT *, CASE WHEN num_medications < 5 THEN '1-4 medications' WHEN num_medications < 10 THEN '5-9 medications'
+                 WHEN num_medications < 15 THEN '10-14 medications' WHEN num_medications < 20 THEN '15-19 medications'
+                 ELSE '20+ medications' END AS medication_tier
+  FROM encounters
 )""",
             f"""SELECT medication_tier, COUNT(*) AS patient_count, {_mean2('time_in_hospital')} AS avg_los,
                   {_mean2('num_diagnoses')} AS avg_diagnoses, {_R30} AS readmissions_30d,
                   {_pct2(_R30, 'COUNT(*)')} AS readmission_rate_pct
-                FROM encounters JOIN tiers ON num_medications >= low AND num_medications < high
-                GROUP BY medication_tier""",
+                FROM tiered GROUP BY medication_tier""",
         ),
         "disposition_impact": _with(
             _ENCOUNTERS
@@ -481,6 +504,16 @@ numbered AS (
                   AVG(time_in_hospital) AS avg_length_of_stay, AVG(num_medications) AS avg_medications
                 FROM clean""",
         ),
+        "quarter_guarantee": _with(
+            _ENCOUNTERS,
+            f"""SELECT 'Q2 1996' AS period,
+                  {_pct(_R30, 'COUNT(*)')} AS readmission_rate_30day_pct,
+                  CAST(11 AS DOUBLE) AS target_rate_pct,
+                  CASE WHEN 100 * {_R30} <= 11 * COUNT(*) THEN '{met}' ELSE '{missed}' END AS status,
+                  {_pct("COUNT(*) FILTER (WHERE readmitted IS DISTINCT FROM 'NO')", 'COUNT(*)')} AS readmission_rate_any_pct,
+                  AVG(time_in_hospital) AS avg_length_of_stay, AVG(num_medications) AS avg_medications
+                FROM encounters WHERE admission_date >= DATE '1996-04-01' AND admission_date < DATE '1996-07-01'""",
+        ),
         "polypharmacy_ratio": _with(
             _CLEAN,
             f"""SELECT COUNT(*) FILTER (WHERE num_medications >= 20) AS polypharmacy_encounters,
@@ -541,8 +574,10 @@ _SPLIT = (
     _MODEL_ROWS
     + """,
 mixed AS (
-  SELECT *, ((((encounter_id % 2147483647) + 42) * 48271) % 2147483647 * 1664525) % 4294967296 AS h
-  FROM model_rows
+  SELECT *, ((low * 48271 + high * 69621 + 42) % 2147483647 * 1664525) % 4294967296 * 2147483648
+         + (low * 16807 + high * 40692 + 42) % 2147483647 AS h
+  FROM (SELECT *, encounter_id % 2147483647 AS low, encounter_id // 2147483647 % 2147483647 AS high
+        FROM model_rows)
 ),
 label_sizes AS (
   SELECT readmitted_30d AS label, COUNT(*) AS n, SUM(COUNT(*)) OVER () AS total
@@ -651,7 +686,10 @@ def _model() -> dict:
         for n in MODEL_FEATURES
     )
     ratio = "CAST(({s} * CAST({a} AS BIGINT) * 2 + {b}) // (2 * NULLIF({b}, 0)) AS DOUBLE) / {s}"
-    token = "SHA256('fixture:' || CAST(patient_id AS VARCHAR)) AS patient_token"
+    # HMAC-SHA256 under the fixture's key, which is not a secret.
+    inner, outer = (bytes(b ^ pad for b in b"fixture".ljust(64, b"\0")).hex() for pad in (0x36, 0x5C))
+    digest = f"SHA256(UNHEX('{inner}') || ENCODE(CAST(patient_id AS VARCHAR)))"
+    token = f"SHA256(UNHEX('{outer}') || UNHEX({digest})) AS patient_token"
     report = """,
 cells AS (
   SELECT COUNT(*) FILTER (WHERE y = 0) AS s0, COUNT(*) FILTER (WHERE y = 1) AS s1,
@@ -677,11 +715,11 @@ rated AS (
                   {ratio.format(a='num_lab_procedures', b='time_in_hospital', s=100)} AS labs_per_day,
                   {ratio.format(a='num_medications', b='num_diagnoses', s=100)} AS meds_per_diagnosis,
                   CAST(gender = 'Female' AS INT) AS is_female,
-                  CAST(a1c_result <> 'None' AS INT) AS has_a1c_result,
+                  CAST(a1c_result IN ('Norm', '>7', '>8') AS INT) AS has_a1c_result,
                   CAST(change = 'Ch' AS INT) AS medication_changed,
                   CAST(diabetesMed = 'Yes' AS INT) AS on_diabetes_med,
-                  CAST(num_diagnoses > 4 AS INT) AS complex_patient,
-                  CAST(num_medications > 14 AS INT) AS polypharmacy_flag,
+                  CAST(num_diagnoses >= 5 AS INT) AS complex_patient,
+                  CAST(num_medications >= 15 AS INT) AS polypharmacy_flag,
                   CAST(readmitted = '<30' AS INT) AS readmitted_30d
                 FROM encounters""",
         ),

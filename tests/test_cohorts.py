@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tests.helpers import group, make_encounters, make_raw, rows_by
 from wardlight.fixed_values import CORRELATED_COLUMNS, RISK_FLAGS, RISK_LEVELS
@@ -194,3 +195,11 @@ def test_leading_age_bands_keep_ties(spark):
         "[80-90)": 2,
         "[60-70)": 2,
     }
+
+
+def test_correlation_far_from_zero(spark):
+    frame = spark.range(1000).selectExpr("1e9 + id % 7 AS a", "1e9 + 2 * (id % 7) AS b", "1e9 AS c", "id % 5 AS d")
+    found = {(r["x"], r["y"]): r["corr"] for r in cohorts.correlation_pairs(frame, ("a", "b", "c", "d")).collect()}
+    assert found["b", "a"] == pytest.approx(frame.select(F.corr("a", "b")).first()[0])
+    assert found["d", "a"] == pytest.approx(frame.select(F.corr("a", "d")).first()[0])
+    assert found["c", "a"] is None and found["d", "c"] is None

@@ -9,6 +9,7 @@ from tests.helpers import make_encounters
 from wardlight.operators.model import RiskModel
 from wardlight.plans import pipeline
 from wardlight.plans.order_encounters import encounters, raw_encounters, table
+from wardlight.sources.encounters import read_encounters, write_encounters
 
 PERIOD = "all admissions"
 
@@ -68,13 +69,43 @@ def test_warehouse_run(spark, small, tmp_path):
     names = pipeline.run_warehouse(
         encounters(spark, small), *_lookups(spark, small), str(tmp_path)
     )
-    assert len(names) == 14
+    assert len(names) == 18
     assert all((tmp_path / name / "_SUCCESS").exists() for name in names)
     stored = spark.read.parquet(str(tmp_path / "monthly_scorecard")).drop("month")
     statement = oracle_statements()["monthly_scorecard"]
     assert differences(stored, open_tables(small), statement) == []
 
 
+def test_warehouse_run_of_a_quarter_on_the_stored_table(spark, small, tmp_path):
+    write_encounters(encounters(spark, small), str(tmp_path / "table"))
+    stored = read_encounters(spark, str(tmp_path / "table"))
+    names = pipeline.run_warehouse(
+        stored, *_lookups(spark, small), str(tmp_path / "out"), period="Q2 1996", compared_dispositions=("O", "F")
+    )
+    assert "disposition_ratio" in names
+    report = spark.read.parquet(str(tmp_path / "out" / "period_guarantee"))
+    assert differences(report, open_tables(small), oracle_statements()["quarter_guarantee"]) == []
+
+
+def test_extract_of_a_quarter(spark, small, tmp_path):
+    dated = raw_encounters(spark, small).withColumn(
+        "admission_date", F.when(F.col("encounter_id") % 2 == 0, "2024-11-05 08:00:00").otherwise("2024-01-05")
+    )
+    dated.write.csv(str(tmp_path / "csv"), header=True, nullValue="?")
+    pipeline.run_extract(spark, str(tmp_path / "csv"), str(tmp_path / "out"), "Q4 2024", token_secret="fixture")
+    even = dated.where("encounter_id % 2 = 0").count()
+    kpis = {r[0]: r[1] for r in spark.read.parquet(str(tmp_path / "out" / "kpi_long")).collect()}
+    assert 0 < int(float(str(kpis["Total Encounters"]).replace(",", ""))) <= even
+    assert spark.read.parquet(str(tmp_path / "out" / "normalized")).count() == dated.count()
+
+
+def test_a_quarter_needs_dates(spark, small, tmp_path):
+    raw_encounters(spark, small).write.csv(str(tmp_path / "csv"), header=True, nullValue="?")
+    with pytest.raises(ValueError, match="no admission_date"):
+        pipeline.run_extract(spark, str(tmp_path / "csv"), str(tmp_path / "out"), "Q4 2024", token_secret="x")
+    assert not (tmp_path / "out").exists()
+
+
 def test_failed_checks_stop_the_reports(spark, small, tmp_path):
     frame = make_encounters(spark, {"encounter_id": 5, "times": 2}, {"patient_id": None})
     with pytest.raises(pipeline.QualityCheckFailed, match="duplicate_encounters"):

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from oracle.compare import differences, open_tables
 from oracle.statements import oracle_statements
 from wardlight.operators import benchmarks, cohorts, descriptive, guarantee, quality
+from wardlight.operators.normalize import drop_incomplete
 from wardlight.plans.order_encounters import build_encounters, encounters, table
-from wardlight.plans.registry import clean, registered_queries
+from wardlight.plans.registry import clean, normalized, registered_queries
 
 DRIVER_TABLES = {"lr_coefficients", "risk_drivers"}
 
@@ -60,8 +61,11 @@ def test_monthly_report_reads_its_columns_only(spark, small):
     }
 
 
-def test_critical_columns_are_filtered_in_the_scan(spark, small):
-    plan = _details(descriptive.medication_curve(clean(spark, small)))
+def test_critical_columns_are_filtered_in_the_scan(spark, small, tmp_path):
+    # The extract run stores the normalized frame; the registry makes it as it reads.
+    normalized(spark, small).write.parquet(str(tmp_path / "normalized"))
+    stored = drop_incomplete(spark.read.parquet(str(tmp_path / "normalized")))
+    plan = _details(descriptive.medication_curve(stored))
     assert "IsNotNull(age_numeric)" in plan and "IsNotNull(time_in_hospital)" in plan
 
 

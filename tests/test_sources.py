@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from tests.helpers import make_encounters, make_raw
 from wardlight.operators.normalize import normalize
-from wardlight.plans.order_encounters import raw_encounters
+from wardlight.plans.order_encounters import build_encounters, raw_encounters
+from wardlight.schema import ENCOUNTER_SCHEMA, canonicalize, unreadable_mask, unreadable_values
 from wardlight.session import report_options
 from wardlight.sources import shared
 from wardlight.sources.encounters import read_encounters, read_raw_csv, write_encounters
@@ -24,6 +25,45 @@ def test_csv_gives_the_same_encounters(spark, small, tmp_path):
     assert read.exceptAll(expected).count() == 0 and expected.exceptAll(read).count() == 0
 
 
+def test_files_with_other_column_orders(spark, tmp_path):
+    path = tmp_path / "extract"
+    path.mkdir()
+    table = make_raw(spark, {"time_in_hospital": 7, "num_medications": 3}).toPandas().astype(str)
+    table.to_csv(path / "a.csv", index=False)
+    table[list(reversed(table.columns))].to_csv(path / "b.csv", index=False)
+    rows = normalize(read_raw_csv(spark, str(path))).collect()
+    assert [(r["time_in_hospital"], r["num_medications"]) for r in rows] == [(7, 3)] * 2
+
+
+def test_numbers_written_with_a_fraction_and_unreadable_ones(spark):
+    raw = make_raw(spark, {"times": 5}).withColumn(
+        "time_in_hospital",
+        F.element_at(F.array(*map(F.lit, ("7.0", "3 days", "?", "2.5", "8"))), F.col("encounter_id").cast("int")),
+    )
+    frame = canonicalize(raw, unreadable_mask(raw).alias("unreadable"))
+    assert [r["time_in_hospital"] for r in frame.orderBy("encounter_id").collect()] == [7, None, None, None, 8]
+    found = {r["column_name"]: (r["given_values"], r["unreadable_values"]) for r in unreadable_values(frame).collect()}
+    assert found["time_in_hospital"] == (4, 2) and found["num_medications"] == (5, 0)
+
+
+def test_reading_a_stored_table_leaves_the_schema_alone(spark, small, tmp_path):
+    fields = list(ENCOUNTER_SCHEMA.fields)
+    write_encounters(make_encounters(spark, {}), str(tmp_path / "table"))
+    for _ in range(2):
+        assert read_encounters(spark, str(tmp_path / "table")).count() == 1
+        assert build_encounters(spark, small).columns == [field.name for field in fields]
+    assert ENCOUNTER_SCHEMA.fields == fields
+
+
+def test_rewritten_input_is_derived_again(spark, tmp_path, monkeypatch):
+    source = str(tmp_path / "in")
+    for n in (1, 2):
+        spark.range(n).write.mode("overwrite").parquet(f"{source}/t.parquet")
+        (tmp_path / "in" / f"marker{n}").write_text("x" * n)
+        table = shared.shared_table(spark, "probe", source, lambda: spark.read.parquet(f"{source}/t.parquet"))
+        assert table.count() == n
+
+
 def test_text_none_is_not_missing(spark, tmp_path):
     path = str(tmp_path / "extract")
     make_raw(spark, {"a1c_result": "None"}).write.csv(path, header=True)
@@ -69,7 +109,7 @@ def test_shared_table_is_built_once_and_again_when_gone(spark, tmp_path):
     for _ in range(2):
         assert shared.shared_table(spark, "numbers", source, build).count() == 5
     assert len(built) == 1
-    key = next(key for key in shared._written if key[3] == source)
+    key = next(key for key in shared._written if key[3].startswith(source))
     shared._written[key] = (str(tmp_path / "gone"), shared._written[key][1])
     assert shared.shared_table(spark, "numbers", source, build).count() == 5
     assert len(built) == 2

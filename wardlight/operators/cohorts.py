@@ -90,21 +90,25 @@ def diagnosis_stats(
 def service_opportunities(
     encounters: DataFrame,
     threshold_pct: float = OPPORTUNITY_RATE_PCT,
-    min_cases: int = MIN_DIAGNOSIS_CASES,
+    min_cases: dict[str, int] | None = None,
     dimensions: tuple = ("primary_diagnosis", "age_group", "discharge_disposition"),
     flagged_only: bool = False,
 ) -> DataFrame:
     """Cohorts ranked by 30-day rate within each dimension, flagged at a threshold.
 
-    All dimensions come from one scan: each encounter is unpivoted to one row per
+    `min_cases` is the least size of a cohort by dimension; by default diagnoses alone
+    have one. All dimensions come from one scan: each encounter is unpivoted to one row per
     dimension and combined map-side, so only cohort totals are shuffled.
     """
+    least = F.lit(0)
+    for dimension, cases in (min_cases or {"primary_diagnosis": MIN_DIAGNOSIS_CASES}).items():
+        least = F.when(F.col("dimension") == dimension, F.lit(cases)).otherwise(least)
     cohorts = (
         encounters.unpivot("readmitted", list(dimensions), "dimension", "cohort")
         .where(F.col("cohort").isNotNull())
         .groupBy("dimension", "cohort")
         .agg(F.count("*").alias("total_cases"), readmissions_30d().alias("readmissions_30d"))
-        .where(F.col("total_cases") >= min_cases)
+        .where(F.col("total_cases") >= least)
         .withColumn("_rate", rate_pct(F.col("readmissions_30d"), F.col("total_cases")))
     )
     if flagged_only:
@@ -170,8 +174,11 @@ def medication_tiers(encounters: DataFrame) -> DataFrame:
 def correlation_pairs(clean: DataFrame, columns: tuple = CORRELATED_COLUMNS) -> DataFrame:
     """Pearson correlation of every pair of columns, each pair over its complete rows.
 
-    The lower triangle of the matrix as (x, y, corr) rows, from a single scan. A
-    column that is constant on a pair's rows has no correlation (NULL).
+    The lower triangle of the matrix as (x, y, corr) rows. A column that is constant
+    on a pair's rows has no correlation (NULL); the result is never NaN.
+
+    A first narrow scan finds the mean of every column. The sums are taken around it,
+    as sums of the plain values would cancel where a column is far from zero.
 
     Rows are grouped by which columns they know, a handful of groups, with one sum
     per column and product; a pair then adds up the groups that know both. That
@@ -179,7 +186,9 @@ def correlation_pairs(clean: DataFrame, columns: tuple = CORRELATED_COLUMNS) ->
     a moment aggregate per pair is not.
     """
     bit = {name: 1 << place for place, name in enumerate(columns)}
-    value = {name: f"coalesce(cast(`{name}` AS double), 0D)" for name in columns}
+    means = clean.agg(*[F.avg(name).alias(name) for name in columns]).first()
+    centre = {name: float(means[name] or 0.0) for name in columns}
+    value = {name: f"coalesce(cast(`{name}` AS double) - {centre[name]!r}D, 0D)" for name in columns}
     known = " + ".join(f"if(`{name}` IS NULL, 0, {bit[name]})" for name in columns)
     sums = [f"sum({value[name]}) AS `s|{name}`" for name in columns]
     sums += [
@@ -222,8 +231,10 @@ def correlation_pairs(clean: DataFrame, columns: tuple = CORRELATED_COLUMNS) ->
     )
     mean_x, mean_y = F.col("sx") / F.col("n"), F.col("sy") / F.col("n")
     covariance = F.col("sxy") / F.col("n") - mean_x * mean_y
-    spread = F.sqrt(F.col("sxx") / F.col("n") - mean_x * mean_x) * F.sqrt(
-        F.col("syy") / F.col("n") - mean_y * mean_y
+    nothing = F.lit(0.0)
+    spread = F.sqrt(F.greatest(F.col("sxx") / F.col("n") - mean_x * mean_x, nothing)) * F.sqrt(
+        F.greatest(F.col("syy") / F.col("n") - mean_y * mean_y, nothing)
     )
     varies = F.col("x_varies") & F.col("y_varies")
-    return totals.select("x", "y", F.when(varies, covariance / spread).alias("corr"))
+    corr = F.when(varies, covariance / F.nullif(spread, nothing))
+    return totals.select("x", "y", corr.alias("corr"))

@@ -30,7 +30,10 @@ from wardlight.functions.flags import (
 
 _TWO_32 = 1 << 32
 _PRIME = 2147483647
-_FACTORS = (48271, 1664525)
+_FACTORS = (48271, 69621, 16807, 40692)
+_SPREAD = 1664525
+# The coarse buckets are the first 16 of 63 bits.
+_COARSE_SHIFT = 47
 
 
 def model_features(encounters: DataFrame) -> DataFrame:
@@ -69,14 +72,21 @@ def model_frame(clean: DataFrame) -> DataFrame:
 
 
 def split_hash(encounter_id: Column, seed: int = SPLIT_SEED) -> Column:
-    """Pseudo-random number below 2**32 that depends on the encounter and seed only.
+    """Pseudo-random number below 2**63 that depends on the encounter and seed only.
 
-    Two multiplications modulo coprime numbers: no step needs the value twice, and
-    every product stays within 64 bits.
+    The number is split into a quotient and a remainder by a prime. Two independent
+    linear forms of them modulo that prime make the upper and the lower half, so
+    different encounters get different hashes (up to the square of the prime, about
+    4.6e18). Every product stays within 64 bits.
     """
-    value = F.pmod(encounter_id.cast("bigint"), F.lit(_PRIME)) + F.lit(seed)
-    value = F.pmod(value * F.lit(_FACTORS[0]), F.lit(_PRIME))
-    return F.pmod(value * F.lit(_FACTORS[1]), F.lit(_TWO_32))
+    number = encounter_id.cast("bigint")
+    prime = F.lit(_PRIME)
+    low = F.pmod(number, prime)
+    floored = F.call_function("div", number, prime) - (number % prime < 0).cast("bigint")
+    high = F.pmod(floored, prime)
+    upper = F.pmod(low * F.lit(_FACTORS[0]) + high * F.lit(_FACTORS[1]) + F.lit(seed), prime)
+    lower = F.pmod(low * F.lit(_FACTORS[2]) + high * F.lit(_FACTORS[3]) + F.lit(seed), prime)
+    return F.pmod(upper * F.lit(_SPREAD), F.lit(_TWO_32)) * F.lit(1 << 31) + lower
 
 
 def stratified_split(
@@ -117,25 +127,31 @@ def split_limits(
 ) -> dict:
     """Per label the largest hash that still belongs to the test side.
 
-    Found from counts alone: 2**16 coarse buckets per label first, then the exact
-    hashes of the one bucket the quota ends in. Encounters are never ranked, and
-    the driver sees one row per label.
+    Found from counts alone, in two scans: 2**16 coarse buckets per label first,
+    which also give the sizes of the labels, then the exact hashes of the one bucket
+    the quota ends in, about 1/65536 of the label's rows. The driver sees one row per
+    label.
     """
     hashed = frame.select(
         F.col(label).alias("label"), split_hash(F.col("encounter_id"), seed).alias("h")
     ).where(F.col("label").isNotNull() & F.col("h").isNotNull())
-    sizes = {row["label"]: row["count"] for row in hashed.groupBy("label").count().collect()}
+    coarse = hashed.groupBy("label", F.shiftright("h", _COARSE_SHIFT).alias("part")).count().persist()
+    sizes = {
+        row["label"]: row["count"]
+        for row in coarse.groupBy("label").agg(F.sum("count").alias("count")).collect()
+    }
     quotas = _test_quotas(sizes, test_share)
     if not quotas:
+        coarse.unpersist()
         return {}
-    coarse = hashed.groupBy("label", F.shiftright("h", 16).alias("part")).count()
     ends_in = {
         row["label"]: (row["part"], row["open"])
         for row in _first_reaching(coarse, _per_label(quotas)).collect()
     }
+    coarse.unpersist()
     last_bucket = _per_label({value: bucket for value, (bucket, _) in ends_in.items()})
     fine = (
-        hashed.where(F.shiftright("h", 16) == last_bucket)
+        hashed.where(F.shiftright("h", _COARSE_SHIFT) == last_bucket)
         .groupBy("label", F.col("h").alias("part"))
         .count()
     )

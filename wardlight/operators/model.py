@@ -5,10 +5,12 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import Bucketizer, VectorAssembler
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from wardlight.fixed_values import (
     CLASS_NAMES,
@@ -28,7 +30,11 @@ _REFINED = 1e-5
 _AGGREGATE_WIDTH = 60
 _MAX_HALVINGS = 30
 _NO_GAIN = 1e-13
-_SCORE_RANGES = 1024
+_TOLERANCE = 1e-10
+
+
+class NotConverged(Exception):
+    """The fit ran out of steps before the optimum."""
 
 
 @dataclass(frozen=True)
@@ -94,8 +100,9 @@ def fit_risk_model(
     An L2 penalty of `inverse_penalty` C on the summed loss is 1 / (C * rows) on
     Spark's mean loss. The features are standardized here, with the population
     deviation, so Spark must not do it again. The driver sees one row of scaling
-    statistics and one gradient per iteration. `split` is read several times:
-    store it first when it is expensive to compute.
+    statistics and one gradient per iteration. `split` is read twice, for the
+    scaling and to keep the narrow scaled frame that all steps of the fit read.
+    Raises NotConverged rather than returning weights short of the optimum.
     """
     stats = {row["feature"]: row for row in scaler_stats(split, features).collect()}
     train_rows = stats[features[0]]["train_rows"]
@@ -113,19 +120,24 @@ def fit_risk_model(
         f"cast(`{target}` AS double) AS y",
         *[f"{expression} AS {name}" for expression, name in zip(unfitted.scaled(), names)],
     )
-    assembled = VectorAssembler(inputCols=names, outputCol="features").transform(train)
-    fitted = LogisticRegression(
-        featuresCol="features",
-        labelCol="y",
-        regParam=1.0 / (inverse_penalty * train_rows),
-        elasticNetParam=0.0,
-        standardization=False,
-        maxIter=max_iterations,
-    ).fit(assembled.select("features", "y"))
-    if math.isinf(fitted.intercept):
-        raise ValueError("the training rows have a single outcome")
-    start = np.array([fitted.intercept, *fitted.coefficients.toArray()])
-    weights = _refine(train, names, start, 1.0 / inverse_penalty, max_iterations)
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        assembled = VectorAssembler(inputCols=names, outputCol="features").transform(train)
+        fitted = LogisticRegression(
+            featuresCol="features",
+            labelCol="y",
+            regParam=1.0 / (inverse_penalty * train_rows),
+            elasticNetParam=0.0,
+            standardization=False,
+            maxIter=max_iterations,
+            tol=_TOLERANCE,
+        ).fit(assembled.select("features", "y"))
+        if math.isinf(fitted.intercept):
+            raise ValueError("the training rows have a single outcome")
+        start = np.array([fitted.intercept, *fitted.coefficients.toArray()])
+        weights = _refine(train, names, start, 1.0 / inverse_penalty, max_iterations)
+    finally:
+        train.unpersist()
     return RiskModel(
         features=unfitted.features,
         means=unfitted.means,
@@ -144,24 +156,32 @@ def _refine(
     about 1e-8, so where it stops depends on how the rows are partitioned; with
     outliers it can stop well before the optimum. A Newton step squares the
     distance that is left, so as a rule the first one, one aggregate, is enough.
-    A step that does not lower the loss is halved until it does.
+    A step that does not lower the loss is halved until it does; a trial computes
+    the loss alone.
     """
-    here = _loss_terms(train, names, weights, penalty)
     for _ in range(max_steps):
-        loss, gradient, curvature = here
+        loss, gradient, curvature = _loss_terms(train, names, weights, penalty)
         step = np.linalg.solve(curvature, gradient)
         # Half of this product is what the step should gain.
         if np.abs(step).max() < _REFINED or gradient @ step < _NO_GAIN * loss:
             return weights + step
         for halvings in range(_MAX_HALVINGS):
             tried = weights + step / 2**halvings
-            there = _loss_terms(train, names, tried, penalty)
-            if there[0] < loss:
-                weights, here = tried, there
+            if _loss(train, names, tried, penalty) < loss:
+                weights = tried
                 break
         else:
-            return weights
-    return weights
+            raise NotConverged("no step along the Newton direction lowers the loss")
+    raise NotConverged(f"the fit has not converged after {max_steps} Newton steps")
+
+
+_ROW_LOSS = "sum(greatest(m, 0D) + log1p(exp(-abs(m))) - y * m)"
+
+
+def _loss(train: DataFrame, names: list, weights: np.ndarray, penalty: float) -> float:
+    """Penalized loss at the weights."""
+    row = train.selectExpr("y", f"{_linear(names, weights)} AS m").selectExpr(_ROW_LOSS).first()
+    return row[0] + 0.5 * penalty * float(weights[1:] @ weights[1:])
 
 
 def _loss_terms(train: DataFrame, names: list, weights: np.ndarray, penalty: float) -> tuple:
@@ -171,7 +191,7 @@ def _loss_terms(train: DataFrame, names: list, weights: np.ndarray, penalty: flo
     upper = [(i, j) for i in range(size) for j in range(i, size)]
     linear = _linear(names, weights)
     rated = train.selectExpr("*", f"{linear} AS m", f"{_logistic(linear)} AS p")
-    measures = ["sum(greatest(m, 0D) + log1p(exp(-abs(m))) - y * m)"]
+    measures = [_ROW_LOSS]
     measures += [f"sum((y - p) * {x})" for x in inputs]
     measures += [f"sum(p * (1 - p) * {inputs[i]} * {inputs[j]})" for i, j in upper]
     sums = []
@@ -230,60 +250,25 @@ def patient_risk(scored: DataFrame, secret: str) -> DataFrame:
 def model_metrics(scored_test: DataFrame, target: str = MODEL_TARGET) -> DataFrame:
     """Exact ROC-AUC, accuracy and size of the test side.
 
-    The area is the chance that a readmitted encounter scores above another one,
-    ties counting half. Equal scores are combined first; the distinct ones are then
-    ranked within score ranges of similar size, and only the totals of those ranges
-    are put in one sequence.
+    The area under every distinct score, ties counting half; NULL when the test side
+    has a single outcome. It is computed when the report is built.
     """
-    by_score = scored_test.groupBy("risk_probability").agg(
-        F.count_if(F.col(target) == 1).alias("readmitted"),
-        F.count_if(F.col(target) == 0).alias("others"),
+    known = scored_test.where(F.col(target).isin(0, 1) & F.col("risk_probability").isNotNull())
+    counted = known.agg(
+        F.count("*").alias("test_records"),
         F.count_if(F.col("predicted_readmit") == F.col(target)).alias("correct"),
     )
-    within = W.partitionBy("_range").orderBy("risk_probability")
-    per_range = (
-        _score_ranges(scored_test)
-        .transform(by_score)
-        .withColumn("outranked", _sum_before("others", within) + F.col("others") / 2)
-        .groupBy("_range")
-        .agg(
-            *[F.sum(name).alias(name) for name in ("readmitted", "others", "correct")],
-            F.sum(F.col("readmitted") * F.col("outranked")).alias("wins"),
+    area = F.lit(None).cast("double")
+    if known.select(target).distinct().count() == 2:
+        evaluator = BinaryClassificationEvaluator(
+            rawPredictionCol="risk_probability", labelCol=target, metricName="areaUnderROC", numBins=0
         )
+        area = F.lit(evaluator.evaluate(known))
+    return counted.select(
+        F.round(area, 6).alias("roc_auc"),
+        "test_records",
+        (F.col("correct").cast("double") / F.nullif(F.col("test_records"), F.lit(0))).alias("accuracy"),
     )
-    lower_ranges = _sum_before("others", W.orderBy("_range"))
-    totals = per_range.withColumn("wins", F.col("wins") + F.col("readmitted") * lower_ranges).agg(
-        *[
-            F.coalesce(F.sum(name), F.lit(0)).alias(name)
-            for name in ("readmitted", "others", "correct")
-        ],
-        F.sum("wins").alias("wins"),
-    )
-    records = F.col("readmitted") + F.col("others")
-    pairs = F.col("readmitted").cast("double") * F.col("others")
-    return totals.select(
-        F.round(F.col("wins") / F.nullif(pairs, F.lit(0.0)), 6).alias("roc_auc"),
-        records.alias("test_records"),
-        (F.col("correct").cast("double") / F.nullif(records, F.lit(0))).alias("accuracy"),
-    )
-
-
-def _score_ranges(scored: DataFrame) -> Bucketizer:
-    """Ranges that hold about as many rows each, from a quantile sketch.
-
-    Where exactly they end has no influence on the result.
-    """
-    shares = [place / _SCORE_RANGES for place in range(1, _SCORE_RANGES)]
-    quantiles = scored.approxQuantile("risk_probability", shares, 0.25 / _SCORE_RANGES)
-    inner = sorted(set(quantiles)) or [0.5]
-    return Bucketizer(
-        splits=[-math.inf, *inner, math.inf], inputCol="risk_probability", outputCol="_range"
-    )
-
-
-def _sum_before(name: str, window) -> Column:
-    earlier = window.rowsBetween(W.unboundedPreceding, -1)
-    return F.coalesce(F.sum(name).over(earlier), F.lit(0))
 
 
 def classification_report(scored_test: DataFrame, target: str = MODEL_TARGET) -> DataFrame:

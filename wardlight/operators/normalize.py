@@ -1,6 +1,6 @@
 """Normalization of a raw extract into analysable encounters."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlight.fixed_values import (
@@ -26,9 +26,12 @@ from wardlight.functions.measures import rate_pct
 from wardlight.schema import canonicalize
 
 
-def normalize(raw: DataFrame) -> DataFrame:
-    """Canonical names and types plus every derived column; keeps all rows."""
-    return canonicalize(raw).withColumns(
+def normalize(raw: DataFrame, *extra: Column) -> DataFrame:
+    """Canonical names and types plus every derived column; keeps all rows.
+
+    `extra` columns of the raw extract are carried along.
+    """
+    return canonicalize(raw, *extra).withColumns(
         {
             "age_numeric": age_midpoint(F.col("age_group")),
             "readmitted_30d": flag_equal("readmitted", READMITTED_WITHIN_30),
@@ -50,11 +53,13 @@ def drop_incomplete(normalized: DataFrame) -> DataFrame:
     return normalized.where(all_known(CRITICAL_COLUMNS))
 
 
-def input_profile(raw: DataFrame) -> DataFrame:
-    """Size of the input: records and columns."""
-    return raw.agg(F.count("*").alias("records")).withColumn(
-        "features", F.lit(len(raw.columns))
-    )
+def input_profile(raw: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Size of the input: records and columns.
+
+    A frame that holds every row of the extract, where given, is counted in its place.
+    """
+    counted = raw if stored is None else stored
+    return counted.agg(F.count("*").alias("records")).withColumn("features", F.lit(len(raw.columns)))
 
 
 def drop_summary(normalized: DataFrame) -> DataFrame:

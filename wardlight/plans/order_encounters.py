@@ -145,6 +145,20 @@ def encounters_with_defects(spark: SparkSession, folder: str) -> DataFrame:
     return defective.unionByName(clean.where(_every(97)))
 
 
+def raw_text_encounters(spark: SparkSession, folder: str) -> DataFrame:
+    """The raw extract as text, with whole numbers written as decimals and unreadable ones."""
+    raw = raw_encounters(spark, folder)
+    stay, drugs = F.col("time_in_hospital").cast("string"), F.col("num_medications").cast("string")
+    return raw.select(*[F.col(name).cast("string").alias(name) for name in raw.columns]).withColumns(
+        {
+            "time_in_hospital": F.when(_every(13), F.concat(stay, F.lit(".0")))
+            .when(_every(83), F.concat(stay, F.lit(" days")))
+            .otherwise(stay),
+            "num_medications": F.when(_every(97), F.concat(drugs, F.lit(".5"))).otherwise(drugs),
+        }
+    )
+
+
 def raw_encounters(spark: SparkSession, folder: str) -> DataFrame:
     """Encounters in the shape of a raw extract, with missing markers and odd counts."""
     missing = F.lit(MISSING_MARKER)

@@ -6,6 +6,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardlight.fixed_values import NOT_READMITTED, READMITTED_WITHIN_30
+from wardlight.functions.flags import flag_equal, flag_not_equal
 from wardlight.operators import (
     benchmarks,
     cohorts,
@@ -17,10 +19,15 @@ from wardlight.operators import (
     normalize,
     quality,
 )
+from wardlight.schema import unreadable_mask, unreadable_values
 from wardlight.sources.encounters import read_raw_csv
 from wardlight.sources.sinks import write_report
 
 
+#: The name of the period of a run that is not restricted to one.
+ALL_ADMISSIONS = "all admissions"
+
+
 class QualityCheckFailed(Exception):
     """A data-quality check did not pass; the reports were not written."""
 
@@ -42,11 +49,59 @@ def frame_reports(clean: DataFrame, period: str) -> dict[str, DataFrame]:
     }
 
 
+def with_outcomes(encounters: DataFrame) -> DataFrame:
+    """The fact table with the outcome flags of the normalized frame."""
+    return encounters.withColumns(
+        {
+            "readmitted_30d": flag_equal("readmitted", READMITTED_WITHIN_30),
+            "readmitted_any": flag_not_equal("readmitted", NOT_READMITTED),
+        }
+    )
+
+
+def of_period(frame: DataFrame, period: str) -> DataFrame:
+    """The rows of a quarter such as "Q4 2024", or all of them for ALL_ADMISSIONS.
+
+    A frame without admission dates cannot be restricted, so a quarter is refused.
+    """
+    if period == ALL_ADMISSIONS:
+        return frame
+    if "admission_date" not in frame.columns:
+        raise ValueError(f"cannot report on {period!r}: the extract has no admission_date")
+    return in_quarter(frame, period)
+
+
+def finding_reports(
+    encounters: DataFrame, period: str, compared_dispositions: tuple[str, str] | None = None
+) -> dict[str, DataFrame]:
+    """Contract summary and findings of a period on the fact table, by name."""
+    flagged = of_period(with_outcomes(encounters), period)
+    found = {
+        "period_guarantee": guarantee.period_guarantee(flagged, period),
+        "polypharmacy_ratio": findings.polypharmacy_ratio(flagged),
+        "top5_diagnosis_share": findings.top_diagnosis_share(flagged),
+        "leading_age_bands": findings.leading_age_bands(flagged),
+    }
+    if compared_dispositions:
+        first, second = compared_dispositions
+        found["disposition_ratio"] = findings.disposition_ratio(flagged, disposition=first, compared_with=second)
+    return found
+
+
 def warehouse_reports(
-    encounters: DataFrame, dispositions: DataFrame, specialties: DataFrame, sources: DataFrame
+    encounters: DataFrame,
+    dispositions: DataFrame,
+    specialties: DataFrame,
+    sources: DataFrame,
+    period: str = ALL_ADMISSIONS,
+    compared_dispositions: tuple[str, str] | None = None,
 ) -> dict[str, DataFrame]:
-    """Every report on the fact table and its dimensions, by name."""
+    """Every report on the fact table and its dimensions, by name.
+
+    `period` restricts the contract summary and the findings; trends show every month.
+    """
     return {
+        **finding_reports(encounters, period, compared_dispositions),
         "dq_null_counts": quality.null_counts(encounters),
         "dq_age_out_of_range": quality.implausible_ages(encounters),
         "dq_duplicate_encounters": quality.duplicate_encounters(encounters),
@@ -75,22 +130,28 @@ def run_extract(
 ) -> model.RiskModel:
     """Raw CSV extract to normalized frame, reports, risk model and risk scores.
 
-    Normalization runs once: the frame is stored and all later steps read only the
-    columns they need from it. Returns the fitted model.
+    The CSV is parsed once: the normalized frame is stored and all later steps read
+    only the columns they need from it. `period` is a quarter such as "Q4 2024", which
+    needs an admission_date in the extract, or ALL_ADMISSIONS; it restricts the reports,
+    not the training of the model. Returns the fitted model.
     """
 
     def store(name: str, report: DataFrame) -> None:
         write_report(report, f"{out_path}/{name}", file_format)
 
     raw = read_raw_csv(spark, csv_path)
-    write_report(normalize.normalize(raw), f"{out_path}/normalized")
-    normalized = spark.read.parquet(f"{out_path}/normalized")
-    store("input_profile", normalize.input_profile(raw))
+    marked = normalize.normalize(raw, unreadable_mask(raw).alias("unreadable"))
+    of_period(marked, period)  # refused before anything is written
+    write_report(marked, f"{out_path}/normalized")
+    marked = spark.read.parquet(f"{out_path}/normalized")
+    normalized = marked.drop("unreadable")
+    store("input_profile", normalize.input_profile(raw, normalized))
+    store("dq_unreadable_values", unreadable_values(marked))
     store("dq_null_profile", quality.null_profile(normalized))
     store("norm_drop_critical", normalize.drop_summary(normalized))
 
     clean = normalize.drop_incomplete(normalized)
-    for name, report in frame_reports(clean, period).items():
+    for name, report in frame_reports(of_period(clean, period), period).items():
         store(name, report)
 
     split = features.stratified_split(features.model_frame(clean))
@@ -117,9 +178,15 @@ def run_warehouse(
     file_format: str = "parquet",
     max_null_pct: float = 5.0,
     max_failed_pct: float = 0.0,
+    period: str = ALL_ADMISSIONS,
+    compared_dispositions: tuple[str, str] | None = None,
 ) -> list[str]:
     """Checks, then every report on the fact table. Returns the names written.
 
+    The fact table may be the one `write_encounters` stored, read by `read_encounters`;
+    a period then reads its months' folders only. `max_failed_pct` is the share of
+    surplus or implausible rows that is accepted, none by default.
+
     The scorecard of the checks is always written; when one of them fails, nothing
     else is.
     """
@@ -132,7 +199,7 @@ def run_warehouse(
     failed = [row["check_name"] for row in checks.where(F.col("passed") == 0).collect()]
     if failed:
         raise QualityCheckFailed(f"failed checks: {', '.join(sorted(failed))}")
-    reports = warehouse_reports(encounters, dispositions, specialties, sources)
+    reports = warehouse_reports(encounters, dispositions, specialties, sources, period, compared_dispositions)
     for name, report in reports.items():
         if name == "monthly_scorecard":
             # One folder per month, so that a dashboard reads the months it shows.

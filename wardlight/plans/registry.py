@@ -20,10 +20,14 @@ from wardlight.plans.order_encounters import (
     encounters,
     encounters_with_defects,
     raw_encounters,
+    raw_text_encounters,
     table,
 )
-from wardlight.sources.shared import build_lock, shared_table
+from wardlight.plans.pipeline import finding_reports
+from wardlight.schema import canonicalize, unreadable_mask, unreadable_values
+from wardlight.sources.shared import build_lock, source_state
 
+# The key of the test tables' tokens; not a secret.
 TOKEN_SECRET = "fixture"
 
 # Constants of a fit, per application and folder.
@@ -36,14 +40,24 @@ def normalize_raw(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def normalized(spark: SparkSession, folder: str) -> DataFrame:
-    """The normalized frame, computed once and then read by the reports on it."""
-    return shared_table(spark, "normalized", folder, lambda: normalize_raw(spark, folder))
+    """The normalized frame: row-wise expressions on the stored encounters, made as they are read."""
+    return normalize_raw(spark, folder)
 
 
 def clean(spark: SparkSession, folder: str) -> DataFrame:
     return normalize.drop_incomplete(normalized(spark, folder))
 
 
+def _unreadable_values(spark: SparkSession, folder: str) -> DataFrame:
+    raw = raw_text_encounters(spark, folder)
+    return unreadable_values(canonicalize(raw, unreadable_mask(raw).alias("unreadable")))
+
+
+def _quarter_guarantee(spark: SparkSession, folder: str) -> DataFrame:
+    quarter = "Q2 1996"
+    return finding_reports(encounters(spark, folder), quarter)["period_guarantee"]
+
+
 def flagged(spark: SparkSession, folder: str) -> DataFrame:
     """The fact table with the 30-day flag the findings average."""
     return encounters(spark, folder).withColumn(
@@ -53,7 +67,7 @@ def flagged(spark: SparkSession, folder: str) -> DataFrame:
 
 def split_frame(spark: SparkSession, folder: str) -> DataFrame:
     """Model rows with their side; the split is decided once per application."""
-    key = (spark.conf.get("spark.app.id", "application"), folder)
+    key = (spark.conf.get("spark.app.id", "application"), source_state(spark, folder))
     frame = features.model_frame(clean(spark, folder))
     with build_lock:
         if key not in _limits:
@@ -63,7 +77,7 @@ def split_frame(spark: SparkSession, folder: str) -> DataFrame:
 
 def fitted(spark: SparkSession, folder: str) -> model.RiskModel:
     """The model of this application and folder; fitted when first asked for."""
-    key = (spark.conf.get("spark.app.id", "application"), folder)
+    key = (spark.conf.get("spark.app.id", "application"), source_state(spark, folder))
     with build_lock:
         if key not in _fitted:
             _fitted[key] = model.fit_risk_model(split_frame(spark, folder))
@@ -140,6 +154,7 @@ def registered_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dq_null_counts": _on(encounters_with_defects, quality.null_counts),
         "dq_age_out_of_range": _on(encounters_with_defects, quality.implausible_ages),
         "dq_duplicate_encounters": _on(encounters_with_defects, quality.duplicate_encounters),
+        "dq_unreadable_values": _unreadable_values,
         "dq_null_profile": _on(normalized, quality.null_profile),
         "dq_scorecard": _on(
             encounters_with_defects, quality.scorecard, max_null_pct_by_column={"readmitted": 1.0}
@@ -179,6 +194,7 @@ def registered_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # Contract reports and findings
         "monthly_scorecard": _on(encounters, guarantee.monthly_scorecard),
         "period_guarantee": _on(clean, guarantee.period_guarantee, period="all admissions"),
+        "quarter_guarantee": _quarter_guarantee,
         "polypharmacy_ratio": _on(clean, findings.polypharmacy_ratio),
         "top5_diagnosis_share": _on(clean, findings.top_diagnosis_share),
         "disposition_ratio": _on(

@@ -53,30 +53,93 @@ RAW_COLUMNS = (
 )
 
 
-def _cleaned(df: DataFrame, name: str, type_name: str) -> Column:
+# Columns a raw extract may carry; reports on a period need them.
+OPTIONAL_COLUMNS = (("admission_date", ("admission_date",), "timestamp_ntz"),)
+
+
+def _marked(df: DataFrame, name: str) -> Column:
+    """The raw value, NULL where the extract marks it as missing."""
     column = F.col(f"`{name}`")
     if isinstance(df.schema[name].dataType, T.StringType):
         column = F.nullif(column, F.lit(MISSING_MARKER))
-        if type_name != "string":
-            column = column.try_cast(type_name)
-    return column.cast(type_name)
+    return column
 
 
-def canonicalize(df: DataFrame) -> DataFrame:
-    """Project a raw extract onto the canonical names and types.
+def _cleaned(df: DataFrame, name: str, type_name: str) -> Column:
+    """The typed value, NULL where it is missing or cannot be read.
 
-    The missing marker becomes NULL and columns outside the model are ignored. An
-    absent column is an error, raised here rather than in the middle of a report.
+    Whole numbers may be written with a fraction of zeros: tools that hold a column
+    with missing values as floating point write 7 as `7.0`.
     """
-    present = set(df.columns)
-    projected, absent = [], []
-    for canonical, aliases, type_name in RAW_COLUMNS:
-        found = [_cleaned(df, alias, type_name) for alias in aliases if alias in present]
-        if found:
-            column = F.coalesce(*found) if len(found) > 1 else found[0]
-            projected.append(column.alias(canonical))
+    column = _marked(df, name)
+    if isinstance(df.schema[name].dataType, T.StringType) and type_name != "string":
+        if type_name in ("int", "bigint"):
+            number = column.try_cast("decimal(38,9)")
+            column = F.when(number == F.floor(number), number).try_cast(type_name)
         else:
-            absent.append(" or ".join(aliases))
+            column = column.try_cast(type_name)
+    return column.cast(type_name)
+
+
+def _columns(df: DataFrame) -> list[tuple[str, list[str], str]]:
+    """Canonical name, names found in the extract and type of every column of the model."""
+    present = set(df.columns)
+    columns = [
+        (canonical, [alias for alias in aliases if alias in present], type_name)
+        for canonical, aliases, type_name in (*RAW_COLUMNS, *OPTIONAL_COLUMNS)
+    ]
+    optional = {canonical for canonical, _, _ in OPTIONAL_COLUMNS}
+    absent = [
+        " or ".join(aliases)
+        for (canonical, found, _), (_, aliases, _) in zip(columns, (*RAW_COLUMNS, *OPTIONAL_COLUMNS), strict=True)
+        if not found and canonical not in optional
+    ]
     if absent:
         raise ValueError(f"raw extract lacks: {', '.join(absent)}")
-    return df.select(*projected)
+    return [column for column in columns if column[1]]
+
+
+def _value(df: DataFrame, found: list[str], type_name: str) -> Column:
+    values = [_cleaned(df, alias, type_name) for alias in found]
+    return F.coalesce(*values) if len(values) > 1 else values[0]
+
+
+def unreadable_mask(df: DataFrame) -> Column:
+    """One bit per column of the model: the extract has a value there that cannot be read."""
+    bits = F.lit(0).cast("bigint")
+    for place, (_, found, type_name) in enumerate(_columns(df)):
+        given = F.coalesce(*[_marked(df, alias).cast("string") for alias in found]).isNotNull()
+        lost = given & _value(df, found, type_name).isNull()
+        bits = bits.bitwiseOR(F.when(lost, F.lit(1 << place)).otherwise(F.lit(0)).cast("bigint"))
+    return bits
+
+
+def unreadable_values(canonical: DataFrame, mask: str = "unreadable") -> DataFrame:
+    """Per column of the model the values given and the unreadable ones among them.
+
+    Unreadable values are NULL in the canonical frame, which alone would not tell
+    them from missing ones; the frame carries their `unreadable_mask`.
+    """
+    names = [field for field, _, _ in (*RAW_COLUMNS, *OPTIONAL_COLUMNS) if field in canonical.columns]
+    lost = [F.count_if(F.col(mask).bitwiseAND(F.lit(1 << i)) != 0).alias(f"{n}|lost") for i, n in enumerate(names)]
+    row = canonical.agg(*[F.count(name).alias(f"{name}|read") for name in names], *lost)
+    entries = [
+        F.struct(
+            F.lit(name).alias("column_name"),
+            (F.col(f"`{name}|read`") + F.col(f"`{name}|lost`")).alias("given_values"),
+            F.col(f"`{name}|lost`").alias("unreadable_values"),
+        )
+        for name in names
+    ]
+    return row.select(F.inline(F.array(*entries)))
+
+
+def canonicalize(df: DataFrame, *extra: Column) -> DataFrame:
+    """Project a raw extract onto the canonical names and types, and `extra` columns.
+
+    The missing marker becomes NULL and columns outside the model are ignored. An
+    absent column is an error, raised here rather than in the middle of a report;
+    the admission date alone may be absent.
+    """
+    projected = [_value(df, found, type_name).alias(canonical) for canonical, found, type_name in _columns(df)]
+    return df.select(*projected, *extra)

@@ -47,6 +47,11 @@ def build_session(
     The last three arguments are for local runs; on a cluster they come from its
     own configuration.
     """
+    # Without a known size a cluster keeps its own partition counts.
+    options = report_options(input_bytes, cores)
+    if not input_bytes and not master:
+        for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.shuffle.partitions"):
+            del options[key]
     builder = SparkSession.builder.appName(app_name).config("spark.ui.enabled", "false")
     if master:
         builder = builder.master(master)
@@ -54,6 +59,6 @@ def build_session(
         builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     if driver_memory:
         builder = builder.config("spark.driver.memory", driver_memory)
-    for key, value in report_options(input_bytes, cores).items():
+    for key, value in options.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

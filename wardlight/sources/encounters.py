@@ -1,25 +1,50 @@
 """Reading encounters: raw CSV extracts and stored tables."""
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardlight.fixed_values import MISSING_MARKER
 from wardlight.schema import ENCOUNTER_SCHEMA
 
 
 def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A raw extract with a header row; the missing marker reads as NULL.
+    """A raw extract with a header row per file; the missing marker reads as NULL.
 
     Columns are taken by name and typed during normalization, so there is no
-    inference pass over the data, the column order does not matter and unused
-    columns are never parsed.
+    inference pass over the data and unused columns are never parsed. Spark binds
+    CSV columns by position, so files are read together only if their headers
+    agree; files with other column orders are read apart and united by name.
+    Finding out takes the first line of every file.
     """
-    return spark.read.options(header=True, nullValue=MISSING_MARKER).csv(path)
+    reader = spark.read.options(header=True, nullValue=MISSING_MARKER)
+    files = sorted(reader.text(path).inputFiles())
+    if len(files) < 2:
+        return reader.csv(path)
+    with ThreadPoolExecutor(16) as pool:
+        headers = list(pool.map(lambda file: tuple(spark.read.options(header=True).csv(file).columns), files))
+    alike: dict[tuple, list] = {}
+    for file, header in zip(files, headers, strict=True):
+        if header:
+            alike.setdefault(header, []).append(file)
+    if len(alike) == 1:
+        return reader.csv(path)
+    parts = [
+        spark.read.options(header=True, nullValue=MISSING_MARKER)
+        .schema(T.StructType([T.StructField(name, T.StringType()) for name in header]))
+        .csv(own)
+        for header, own in alike.items()
+    ]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def read_encounters(spark: SparkSession, path: str) -> DataFrame:
     """The stored fact table; filters on `admission_month` prune its folders."""
-    return spark.read.schema(ENCOUNTER_SCHEMA.add("admission_month", "date")).parquet(path)
+    month = T.StructField("admission_month", T.DateType())
+    return spark.read.schema(T.StructType([*ENCOUNTER_SCHEMA.fields, month])).parquet(path)
 
 
 def write_encounters(encounters: DataFrame, path: str) -> None:

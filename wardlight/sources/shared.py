@@ -38,6 +38,26 @@ def shared_folder(spark: SparkSession) -> str | None:
     return _local_folder[0].name
 
 
+def source_state(spark: SparkSession, source: str) -> str:
+    """The folder's name with size and time of its files, which change when it is rewritten.
+
+    Tables that are folders show the time of the folder.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(source)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    parts = sorted(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in files)
+    return f"{source}#{hashlib.sha256('|'.join(parts).encode()).hexdigest()[:16]}"
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the tables this application has stored in the shared folder."""
+    application = spark.conf.get("spark.app.id", "application")
+    with build_lock:
+        for key in [key for key in _written if key[1] == application]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop(key)[0])
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shared_table(
     spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame]
 ) -> DataFrame:
@@ -49,6 +69,7 @@ def shared_table(
     if folder is None:
         return build()
     application = spark.conf.get("spark.app.id", "application")
+    source = source_state(spark, source)
     key = (folder, application, name, source)
     with build_lock:
         if key in _written:
