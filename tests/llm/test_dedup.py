@@ -28,6 +28,7 @@ def test_links_between_members_that_miss_the_first_pivot(spark, make_docs):
         texts[first], texts[first + 1] = " ".join(own), " ".join([*own[:-1], "z"])
     docs = make_docs(texts)
     members = docs.select(F.lit(7).cast("long").alias("key"), F.col("doc_id").alias("rep"), F.lit(46).cast("long").alias("n"))
+    members = members.withColumn("c", F.col("n"))
     sets = docs.mapInArrow(minhash._sets, "doc_id long, shingles array<long>")
     found = {r.node: r.component for r in minhash._merged(members, sets, 85).collect()}
     assert found == {1: 1, 2: 1, 3: 3, 4: 3}

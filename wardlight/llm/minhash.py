@@ -7,12 +7,17 @@ which lowers the variance, and the walk of a set stops once no later rank can
 improve any slot. Signatures are cut into bands; documents that share a band
 are candidates, and every link is confirmed on the full shingle sets.
 
-Equal sets are one class from the start. Within a bucket of candidates, never
-all pairs are formed: pivots are compared with the members that other components
-hold, links merge components (union-find by hooking and pointer jumping), and a
-pivot that has met everyone leaves the bucket. The number of pivots doubles per
-round until every bucket holds one component, so each pair of candidates is either
-in one component already or has been compared.
+Equal sets are one class from the start. All pairs of a bucket are never formed. First
+every bucket's pivot, the set with the fewest shingles that no other candidate has, is
+compared with the members, and links merge components (union-find by hooking and
+pointer jumping). Buckets that then hold several components are resolved by an
+exact index: linked sets share one of the rarest shingles of either, so each remaining
+set is listed under its rarest ones, as many as the threshold asks for, with a bound on
+what it can share from there on. Under each shingle, members that cannot reach the
+threshold with any other one leave, pivots are compared with the members that
+other components hold, and a pivot that has met everyone leaves. The number of
+pivots per list grows by `PIVOT_GROWTH` until every list holds one component. So each pair of
+candidates is in one component already, cannot be a link, or has been compared.
 
 With 32 bands of 6 slots a pair at the threshold of 0.85 shares no band with a
 probability of 3 in 10 million, and less above it.
@@ -28,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardlight.llm.common import stored, text_blocks
@@ -38,6 +43,8 @@ BANDS = 32
 BAND_SLOTS = 6
 SHINGLE = 5
 THRESHOLD_PERCENT = 85
+#: Factor by which the pivots per list grow from round to round.
+PIVOT_GROWTH = 8
 
 
 def superminhash(sets: list[np.ndarray], slots: int) -> np.ndarray:
@@ -194,6 +201,18 @@ def groups(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
         ),
         "minhash-sets",
     )
+    own = (
+        sets.select("doc_id", F.explode("shingles").alias("shingle"))
+        .groupBy("shingle")
+        .agg(F.count("*").alias("holders"), F.min("doc_id").alias("rep"))
+        .where("holders = 1")
+        .groupBy("rep")
+        .agg(F.count("*").alias("own"))
+    )
+    members = stored(
+        members.join(own, "rep", "left").select("key", "rep", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("c")),
+        "minhash-members",
+    )
     labels = _merged(members, sets, percent)
     by_class = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         "set_key", F.coalesce("component", "rep").alias("class_component")
@@ -207,46 +226,101 @@ def groups(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     )
 
 
-def _merged(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, component) after comparing pivots with the members of every bucket (key, rep, n)."""
-    nothing = members.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
-    links, labels = nothing, nothing.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    pivots_per_key = 1
+def _reach(n: Column, c: Column, other_n: Column, other_c: Column, percent: int) -> Column:
+    """Whether sets of n and other_n shingles, c and other_c of them shared with anyone, can be linked."""
+    most = F.least(c, other_c)
+    return 100 * most >= percent * F.greatest(n + other_n - most, n, other_n)
+
+
+def _compared(
+    members: DataFrame, sets: DataFrame, links: DataFrame, labels: DataFrame, percent: int, rounds: int | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links, labels and open members after comparing pivots with the members of every list.
+
+    members: (key, rep, n shingles, c of which can be shared under this key). Runs until
+    every list is resolved, or for so many rounds.
+    """
+    pivots_per_key, tested = 1, links.limit(0)
     while True:
         labelled = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-            "key", "rep", "n", F.coalesce("component", "rep").alias("component")
+            "key", "rep", "n", "c", F.coalesce("component", "rep").alias("component")
         )
-        open_keys = labelled.groupBy("key").agg(
-            F.min("component").alias("least"), F.max("component").alias("most")
-        ).where("least < most").select("key")
-        alive = stored(labelled.join(open_keys, "key", "left_semi"), "minhash-alive")
-        if alive.isEmpty():
-            return labels
-        # The first pivot is the least member, so that bands agree on it; later ones are drawn.
+        keys = labelled.groupBy("key").agg(
+            F.min("component").alias("least"),
+            F.max("component").alias("most"),
+            F.min("n").alias("least_n"),
+            F.max("c").alias("most_c"),
+        )
+        reaches = _reach(F.col("n"), F.col("c"), F.col("least_n"), F.col("most_c"), percent)
+        alive = stored(
+            labelled.join(keys.where("least < most"), "key")
+            .where(reaches)
+            .select("key", "rep", "n", "c", "component"),
+            "minhash-alive",
+        )
+        if rounds == 0 or alive.isEmpty():
+            return links, labels, alive
+        rounds = None if rounds is None else rounds - 1
+        # Lists agree on the first pivot, the set that can share most; later ones are drawn.
         share = F.pmod(F.xxhash64("rep"), F.lit(pivots_per_key))
-        first = F.col("rep") if pivots_per_key == 1 else F.xxhash64("rep", F.lit(pivots_per_key))
-        pivots = alive.groupBy("key", share.alias("share")).agg(
-            F.min(F.struct(first.alias("first"), "rep", "n", "component")).alias("pivot")
-        ).select(
-            "key",
-            F.col("pivot.rep").alias("a"),
-            F.col("pivot.n").alias("a_n"),
-            F.col("pivot.component").alias("a_component"),
+        first = (F.col("n") - F.col("c")) if pivots_per_key == 1 else F.xxhash64("rep", F.lit(pivots_per_key))
+        pivots = stored(
+            alive.groupBy("key", share.alias("share"))
+            .agg(F.min(F.struct(first.alias("first"), "rep", "n", "c", "component")).alias("pivot"))
+            .select(
+                "key",
+                F.col("pivot.rep").alias("a"),
+                F.col("pivot.n").alias("a_n"),
+                F.col("pivot.c").alias("a_c"),
+                F.col("pivot.component").alias("a_component"),
+            ),
+            "minhash-pivots",
         )
-        pivots = stored(pivots, "minhash-pivots")
-        near_size = 100 * F.least("n", "a_n") >= percent * F.greatest("n", "a_n")
-        pairs = (
-            alive.join(pivots, "key")
-            .where((F.col("component") != F.col("a_component")) & near_size)
+        reaches = _reach(F.col("n"), F.col("c"), F.col("a_n"), F.col("a_c"), percent)
+        apart = F.col("component") != F.col("a_component")
+        pairs = stored(
+            alive.join(pivots, (alive["key"] == pivots["key"]) & apart & reaches)
             .select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b"))
             .distinct()
+            .join(tested, ["a", "b"], "left_anti"),
+            "minhash-pairs",
         )
-        links = stored(links.unionByName(confirmed(pairs, sets, percent)), "minhash-links")
-        labels = components(links)
-        members = stored(
-            alive.select("key", "rep", "n").join(
-                pivots.select("key", F.col("a").alias("rep")), ["key", "rep"], "left_anti"
-            ),
-            "minhash-members",
+        found = stored(confirmed(pairs, sets, percent), "minhash-links")
+        tested = tested.unionByName(pairs)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            labels = components(links)
+        members = alive.select("key", "rep", "n", "c").join(
+            pivots.select("key", F.col("a").alias("rep")), ["key", "rep"], "left_anti"
         )
-        pivots_per_key *= 2
+        pivots_per_key *= PIVOT_GROWTH
+
+
+def _rare_lists(reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The sets under their rarest shingles: (key, rep, n, c), c counting from that shingle on.
+
+    Two linked sets of n and m shingles share at least percent * n / 100 of the first,
+    so one of the first n - that + 1 in any common order is shared; the first
+    shared one bounds what they share by the shingles from it on.
+    """
+    shingles = sets.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(
+        F.col("doc_id").alias("rep"), F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("key")
+    )
+    frequency = shingles.groupBy("key").agg(F.count("*").alias("holders"))
+    order = Window.partitionBy("rep").orderBy("holders", "key")
+    listed = shingles.join(frequency, "key").withColumn("before", F.row_number().over(order).cast("long") - 1)
+    return listed.where(
+        (F.col("before") <= F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100)) & (F.col("holders") > 1)
+    ).select("key", "rep", "n", (F.col("n") - F.col("before")).alias("c"))
+
+
+def _merged(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of the buckets' members (key, rep, n, c)."""
+    links = members.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
+    labels = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    links, labels, left = _compared(members, sets, links, labels, percent, rounds=1)
+    reps = stored(left.select("rep").distinct(), "minhash-left")
+    if reps.isEmpty():
+        return labels
+    lists = stored(_rare_lists(reps, sets, percent), "minhash-lists")
+    return _compared(lists, sets, links, labels, percent)[1]
