@@ -14,44 +14,54 @@ from wardlight.llm import decontamination, language_id, minhash, packing, recomp
 from wardlight.llm.common import held_out, read_table, stored
 
 
+#: The name under which ids are joined, apart from any column of the documents.
+_ID = "__pipeline_id"
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose id is not among the ids."""
+    gone = ids.select(F.col("doc_id").alias(_ID)).distinct()
+    return docs.join(gone, docs["doc_id"] == gone[_ID], "left_anti")
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; `lang` stays as it came."""
     model = language_id.fit(docs.where(~held_out(F.col("doc_id"))))
-    rejected = language_id.identify(docs, model).where("rejected").select(F.col("doc_id").alias("rejected_id"))
-    return docs.join(rejected, F.col("doc_id") == F.col("rejected_id"), "left_anti")
+    return _without(docs, language_id.identify(docs, model).where("rejected"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, the one with the least id."""
-    dropped = minhash.groups(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("dropped_id"))
-    return docs.join(dropped, F.col("doc_id") == F.col("dropped_id"), "left_anti")
+    return _without(docs, minhash.groups(docs).where("doc_id <> component_id"))
 
 
 def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that earlier ones hold; texts that lose nothing stay as they are.
 
-    A document that loses every word goes.
+    A document that loses every word goes, and `n_chars` follows the text.
     """
-    left = recompression.remove_repeats(docs).where("n_removed > 0").select(
-        F.col("doc_id").alias("cut_id"), F.col("kept_text"), (F.col("n_removed") == F.col("n_words")).alias("emptied")
+    left = (
+        recompression.remove_repeats(docs)
+        .where("n_removed > 0")
+        .select(
+            F.col("doc_id").alias(_ID),
+            F.col("kept_text").alias("__pipeline_text"),
+            (F.col("n_removed") == F.col("n_words")).alias("__pipeline_empty"),
+        )
+        .dropDuplicates([_ID])
     )
-    text = F.when(F.col("cut_id").isNotNull(), F.col("kept_text")).otherwise(F.col("text")).alias("text")
-    columns = [
-        text if name == "text" else F.char_length(text).cast("long").alias(name) if name == "n_chars" else F.col(name)
-        for name in docs.columns
-    ]
+    text = F.when(F.col(_ID).isNotNull(), F.col("__pipeline_text")).otherwise(docs["text"])
+    new = {"text": text.alias("text"), "n_chars": F.char_length(text).cast("long").alias("n_chars")}
     return (
-        docs.join(left, F.col("doc_id") == F.col("cut_id"), "left")
-        .where("emptied IS NULL OR NOT emptied")
-        .select(*columns)
+        docs.join(left, docs["doc_id"] == left[_ID], "left")
+        .where("__pipeline_empty IS NULL OR NOT __pipeline_empty")
+        .select(*[new.get(name, docs[name]) for name in docs.columns])
     )
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = decontamination.leaks(docs, read_table(spark, sf_dir, "benchmark"))
-    leaking = found.select(F.col("doc_id").alias("leak_id")).distinct()
-    return docs.join(leaking, F.col("doc_id") == F.col("leak_id"), "left_anti")
+    return _without(docs, decontamination.leaks(docs, read_table(spark, sf_dir, "benchmark")))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from oracle.compare import differences, open_tables
 from tests.llm import brute
-from wardlight.llm import decontamination, language_id, packing
+from wardlight.llm import decontamination, language_id, packing, quality_rules
 from wardlight.llm.common import held_out
 from wardlight.llm.oracle import llm_oracle
 from wardlight.llm.queries import llm_queries
@@ -56,7 +56,16 @@ def test_pipeline(spark, small):
     assert {(r.doc_id, r.piece, r.start, r.length) for r in rows} == expected and len(rows) == len(expected)
 
 
-def test_stages_keep_the_columns(spark, make_docs, tangled, small):
-    docs = make_docs(tangled).withColumn("key", F.lit("clash"))
+def test_stages_keep_columns_and_rows_of_any_kind(spark, make_docs, tangled, small):
+    clashing = ("key", "n_words", "kept_text", "component_id", "rejected", "item_id", "length", "row")
+    rows = [*tangled.items(), (7, tangled[7]), (None, "some words of no document")]
+    docs = make_docs(rows).withColumns({name: F.lit("own") for name in clashing})
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, small).columns == docs.columns, name
+        found = stage(spark, docs, small)
+        assert found.columns == docs.columns, name
+        assert found.where("doc_id = 7").count() == 2, name
+        assert found.where("doc_id IS NULL AND key = 'own'").count() == 1, name
+        assert stage(spark, docs.limit(0), small).count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, small).count() >= len(rows)
+    counted = quality_rules.counts(docs)
+    assert counted.where("doc_id = 3 AND n_words = 1").count() == 1

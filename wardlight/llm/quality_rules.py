@@ -109,7 +109,10 @@ def repeat_words(words: Column) -> Column:
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """The texts with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words."""
+    """The texts with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words.
+
+    Columns of these names in the input are replaced.
+    """
     text = whole_text(F.col("text"))
 
     def measured(ws):
@@ -121,7 +124,9 @@ def counts(docs: DataFrame) -> DataFrame:
             repeat_words(ws).alias("n_repeat_words"),
         )
 
-    return docs.withColumn("_counts", let(words_of(text), measured)).select(*docs.columns, "_counts.*")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    kept = [name for name in docs.columns if name not in names]
+    return docs.withColumn("__counts", let(words_of(text), measured)).select(*kept, "__counts.*")
 
 
 def standard_rules() -> list[Rule]:
