@@ -45,9 +45,22 @@ def stored(frame: DataFrame, label: str) -> DataFrame:
     This cuts the lineage and survives lost executors; columns that a later
     step does not need are not read again.
     """
-    folder = new_folder(frame.sparkSession, label)
+    spark = frame.sparkSession
+    folder = new_folder(spark, label)
     frame.write.option("compression", "zstd").parquet(folder)
-    return frame.sparkSession.read.schema(frame.schema).parquet(folder)
+    # Spark deletes the shuffle files of finished steps once the driver's collector finds
+    # them unreachable; without a request that can be long after the disks are full.
+    spark._jvm.System.gc()
+    return spark.read.schema(frame.schema).parquet(folder)
+
+
+def released(*frames: DataFrame) -> None:
+    """Deletes the files of stored frames that nothing will read again."""
+    for frame in frames:
+        spark = frame.sparkSession
+        for folder in {file.rpartition("/")[0] for file in frame.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def let(value: Column, body) -> Column:

@@ -10,7 +10,7 @@ Not every byte needs a suffix. Each `length`-byte window chooses the 24-byte str
 with the least hash in it (its anchor), so equal windows choose the same one. Spark counts
 the anchors of all texts; windows of an anchor that occurs once are unique.
 The context of an anchor is everything a window that chose it can reach. Equal contexts
-form a class, found by two hashes in an aggregate: all but its first member are repeats
+form a class, found in an aggregate by the hashes of anchor and context: all but its first member are repeats
 entirely. The first members of an anchor's classes differ near an edge, and only they
 are sorted, forwards and backwards from the anchor, in bounded buckets; the
 common extensions to both sides give the windows they share. An anchor with more classes than
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import in_several, stored, text_blocks
+from wardlight.llm.common import in_several, released, stored, text_blocks
 from wardlight.llm.words import mixed, odd_constants, power_tables
 
 LENGTH = 100
@@ -123,7 +123,7 @@ def _sign(length: int):
 
 
 def _contexts(length: int):
-    """The context of every shared anchor: two hashes, its place, and its reach."""
+    """The context of every shared anchor: its hash, its place, and its reach."""
     reach = length - ANCHOR
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,23 +139,19 @@ def _contexts(length: int):
                 before = np.minimum(places - starts[text], reach)
                 after = np.minimum(ends[text] - places, length)
                 data = np.frombuffer(b"".join(own), np.uint8)
-                digests = []
-                for seed in (0, 17):
-                    sums, down = _prefix_sums(data, seed)
-                    span = (sums[places + after] - sums[places - before]) * down[places - before]
-                    shape = (before * 1000 + after).astype(np.uint64)
-                    digests.append(mixed(span + mixed(shape + np.uint64(seed + 1))).view(np.int64))
+                sums, down = _prefix_sums(data, seed=17)
+                span = (sums[places + after] - sums[places - before]) * down[places - before]
+                digest = mixed(span + mixed((before * 1000 + after).astype(np.uint64)))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(start, end - start).take(pa.array(text)),
                         pa.array(keys.view(np.int64)),
-                        pa.array(digests[0]),
-                        pa.array(digests[1]),
+                        pa.array(digest.view(np.int64)),
                         pa.array(places - starts[text]),
                         pa.array(before.astype(np.int32)),
                         pa.array(after.astype(np.int32)),
                     ],
-                    names=["doc_id", "key", "high", "low", "place", "before", "after"],
+                    names=["doc_id", "key", "context", "place", "before", "after"],
                 )
 
     return run
@@ -350,25 +346,28 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(rows: DataFrame, kind: str, keys: DataFrame, length: int, group_limit: int) -> DataFrame:
     """Spans (doc_id, start, end) of rows (doc_id, body) that occur earlier; they may overlap."""
-    shared = in_several(keys, across=False)
+    shared = stored(in_several(keys, across=False), "suffix-shared")
     contexts = stored(
         rows.join(shared, "doc_id").mapInArrow(
             _contexts(length),
-            f"doc_id {kind}, key long, high long, low long, place long, before int, after int",
+            f"doc_id {kind}, key long, context long, place long, before int, after int",
         ),
         "suffix-contexts",
     )
+    released(shared)
     classes = stored(
-        contexts.groupBy("key", "high", "low").agg(
+        contexts.groupBy("key", "context").agg(
             F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n")
         ),
         "suffix-classes",
     )
-    whole = (
-        contexts.join(classes.where("n > 1").drop("n"), ["key", "high", "low"])
+    whole = stored(
+        contexts.join(classes.where("n > 1").drop("n"), ["key", "context"])
         .where("struct(doc_id, place) <> first")
-        .selectExpr("doc_id", "place - before AS start", "place + after AS end")
+        .selectExpr("doc_id", "place - before AS start", "place + after AS end"),
+        "suffix-whole",
     )
+    released(contexts)
     sizes = classes.groupBy("key").agg(F.count("*").alias("n_classes")).where("n_classes > 1")
     listed = (
         classes.select("key", "first.doc_id", "first.place")
@@ -434,8 +433,11 @@ def remove_repeats(
         .join(owners.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
         .select("doc_id", F.explode("keys").alias("key"))
     )
-    spans = repeated_spans(rows, kind, keys, length, group_limit).groupBy("doc_id").agg(
-        F.collect_list(F.struct("start", "end")).alias("spans")
+    spans = stored(
+        repeated_spans(rows, kind, keys, length, group_limit)
+        .groupBy("doc_id")
+        .agg(F.collect_list(F.struct("start", "end")).alias("spans")),
+        "suffix-spans",
     )
     cut = rows.join(spans, "doc_id").mapInArrow(
         _remove, f"doc_id {kind}, n_cut long, n_runs long, left_sha256 string, left_bytes binary"
