@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 SPACES = r"\x20\x09-\x0D"
 
 
+_own_folder: list[str] = []
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, through Spark's reader only."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -27,11 +30,11 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.split("[")[0] == "local":
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="wardlight-llm-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not _own_folder:
+        _own_folder.append(tempfile.mkdtemp(prefix="wardlight-llm-"))
+    return _own_folder[0]
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
