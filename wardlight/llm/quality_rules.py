@@ -13,6 +13,7 @@ Repeated rows are judged one by one, columns of the input are kept.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -148,16 +149,22 @@ def standard_rules() -> list[Rule]:
     ]
 
 
-def ordered(rules: list[Rule], docs: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> list[Rule]:
+def ordered(
+    rules: list[Rule],
+    docs: DataFrame,
+    sample_texts: int = SAMPLE_TEXTS,
+    prepare: Callable[[DataFrame], DataFrame] | None = None,
+) -> list[Rule]:
     """The rules by rejections per cost, measured on about `sample_texts` texts.
 
-    Equal ratios keep the given order, as an empty table does.
+    `prepare` adds the columns that rules read, to the sampled rows only. Equal ratios
+    keep the given order, as an empty table does.
     """
     if not rules:
         return []
     total = docs.count()
     part = docs if total <= sample_texts else docs.sample(fraction=sample_texts / total, seed=7)
-    row = part.agg(
+    row = (prepare(part) if prepare else part).agg(
         *[F.avg(F.coalesce(r.rejects, F.lit(False)).cast("double")).alias(f"r{i}") for i, r in enumerate(rules)],
         *[F.avg(r.units * r.unit_cost).alias(f"c{i}") for i, r in enumerate(rules)],
     ).first()
@@ -165,16 +172,21 @@ def ordered(rules: list[Rule], docs: DataFrame, sample_texts: int = SAMPLE_TEXTS
     return [rules[i] for i in sorted(range(len(rules)), key=lambda i: -gain[i])]
 
 
-def cascade(docs: DataFrame, rules: list[Rule], sample_texts: int = SAMPLE_TEXTS) -> DataFrame:
-    """The rows with `failed_rule`, the first rule that rejects the text, null if none does.
+def cascade(
+    docs: DataFrame,
+    rules: list[Rule],
+    sample_texts: int = SAMPLE_TEXTS,
+    prepare: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """The rows, prepared, with `failed_rule`, the first rule that rejects the text, null if none does.
 
     A CASE expression stops at its first true branch, so later rules are not
     evaluated for rejected texts.
     """
     verdict = None
-    for rule in ordered(rules, docs, sample_texts):
+    for rule in ordered(rules, docs, sample_texts, prepare):
         condition = F.coalesce(rule.rejects, F.lit(False))
         verdict = (F if verdict is None else verdict).when(condition, F.lit(rule.name))
     if verdict is None:
         verdict = F.lit(None).cast("string")
-    return docs.withColumn("failed_rule", verdict)
+    return (prepare(docs) if prepare else docs).withColumn("failed_rule", verdict)

@@ -23,14 +23,13 @@ from wardlight.llm.common import held_out, new_folder, read_table, stored
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    counted = quality_rules.counts(docs)
     base_failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     # The base condition comes first, so texts it fails skip the cascade.
     rules = [
         quality_rules.Rule(r.name, ~base_failed & r.rejects, r.units, r.unit_cost)
         for r in quality_rules.standard_rules()
     ]
-    return quality_rules.cascade(counted, rules).select(
+    return quality_rules.cascade(docs, rules, prepare=quality_rules.counts).select(
         F.col("doc_id").cast("long").alias("doc_id"),
         "n_words",
         "word_chars",
