@@ -10,11 +10,14 @@ that `rounds_for` allows, a window still holds a symbol that every copy of the
 window holds too.
 
 Each window chooses one of its consistent symbols (the longest in bytes, then by
-name). Spark counts the chosen symbols; a window whose symbol occurs in one document
-only is unique. Windows that hold a square (x x with x up to the size of a symbol)
-choose themselves instead, as runs would reach beyond them. The windows of
-shared symbols are verified by two independent 64-bit hashes of their words: the
-least document per window decides what later documents lose.
+name). All windows that chose a symbol hold the margin beside it as well, so symbol and
+margin are the key that Spark counts; a window whose key occurs in one document only is
+unique. Windows that hold a square (x x with x up to the size of a symbol)
+choose themselves instead, as runs would reach beyond them. The context of a chosen
+symbol is everything its windows can reach. Equal contexts form a class, verified by two
+hashes beside the key: documents after its least one lose the context. Only where
+a key has several classes, the windows of the least documents' contexts are
+compared one by one, by two independent 64-bit hashes.
 
 Documents with equal words form a class first; all but the least lose every word
 if they hold a window at all. Null texts have no words. A null doc_id or a repeated
@@ -32,8 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import in_several, stored, text_blocks
-from wardlight.llm.words import Words, mixed, odd_constants, tokenise, window_hashes
+from wardlight.llm.common import in_several, released, stored, text_blocks
+from wardlight.llm.words import Words, mixed, odd_constants, power_tables, tokenise, window_hashes
 
 WINDOW = 13
 
@@ -89,14 +92,22 @@ def _squares(words: Words, longest: int, window: int) -> np.ndarray:
     return found
 
 
-def window_keys(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first words of all windows and the key each window chooses."""
+def _spans(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the words from each start to its end."""
+    up, down = power_tables(len(hashes) + 1)
+    sums = np.r_[np.uint64(0), np.cumsum(hashes * up[: len(hashes)])]
+    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def choices(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What the windows chose: keys, and the first word and the end of each context."""
+    empty = np.empty(0, np.int64)
     firsts = np.concatenate(
         [np.arange(f, f + c - window + 1) for f, c in zip(words.firsts.tolist(), words.counts.tolist(), strict=True) if c >= window]
-        or [np.empty(0, np.int64)]
+        or [empty]
     )
     if not len(firsts):
-        return firsts, np.empty(0, np.uint64)
+        return empty.astype(np.uint64), empty, empty
     rounds = rounds_for(window)
     names, first, size = recompress(words, rounds)
     margin = 2 ** (rounds + 1) - 2
@@ -110,8 +121,18 @@ def window_keys(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
         other = np.minimum(low + step, len(rank) - 1)
         best = np.where((low + step < high) & (rank[other] > rank[best]), other, best)
     direct = _squares(words, 2 ** max(rounds - 1, 0), window)[firsts] | (high <= low)
-    whole = window_hashes(words.hashes, window, seed=31)[firsts]
-    return firsts, np.where(direct, whole, names[best])
+    chosen, alone = np.unique(best[~direct]), firsts[direct]
+    text = words.text_of()[first[chosen]]
+    start = np.maximum(last[chosen] - window + margin, words.firsts[text])
+    end = np.minimum(first[chosen] - margin + window, (words.firsts + words.counts)[text])
+    # All windows that chose a symbol hold the margin on both sides of it too.
+    reach = (first[chosen] - margin, last[chosen] + margin)
+    named = mixed(_spans(words.hashes, *reach) + names[chosen])
+    whole = window_hashes(words.hashes, window, seed=31)[alone]
+    keys = np.concatenate([named, whole])
+    starts, ends = np.concatenate([start, alone]), np.concatenate([end, alone + window])
+    order = np.argsort(starts, kind="stable")
+    return keys[order], starts[order], ends[order]
 
 
 def _sign(window: int):
@@ -126,8 +147,8 @@ def _sign(window: int):
                     hashlib.sha256(b" ".join(text.encode("utf-8", "replace").split())).hexdigest()
                     for text in texts[start:end]
                 ]
-                firsts, keys = window_keys(words, window)
-                cuts = np.searchsorted(firsts, words.firsts + words.counts)
+                keys, starts, _ = choices(words, window)
+                cuts = np.searchsorted(starts, words.firsts + words.counts)
                 lists = [np.unique(part) for part in np.split(keys, cuts[:-1])]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -145,62 +166,92 @@ def _sign(window: int):
     return run
 
 
-def _windows(window: int):
-    """The windows (two hashes, first word) of each text that chose one of its shared keys."""
+def _contexts(window: int):
+    """The contexts of each text's shared keys: two hashes, first word and end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [text or "" for text in batch.column("text").to_pylist()]
             shared = batch.column("keys")
-            for start, end in text_blocks(texts):
-                words = tokenise(texts[start:end])
-                firsts, keys = window_keys(words, window)
-                wanted = shared.slice(start, end - start).flatten().to_numpy().view(np.uint64)
-                firsts = firsts[np.isin(keys, wanted)]
-                text = np.searchsorted(words.firsts + words.counts, firsts, side="right")
+            for begin, stop in text_blocks(texts):
+                words = tokenise(texts[begin:stop])
+                keys, starts, ends = choices(words, window)
+                wanted = shared.slice(begin, stop - begin).flatten().to_numpy().view(np.uint64)
+                hit = np.isin(keys, wanted)
+                keys, starts, ends = keys[hit], starts[hit], ends[hit]
+                text = np.searchsorted(words.firsts + words.counts, starts, side="right")
+                hashes = [_spans(source, starts, ends) for source in (words.hashes, mixed(words.hashes))]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(start, end - start).take(pa.array(text)),
-                        pa.array(window_hashes(words.hashes, window, seed=31)[firsts].view(np.int64)),
-                        pa.array(window_hashes(mixed(words.hashes), window, seed=32)[firsts].view(np.int64)),
-                        pa.array((firsts - words.firsts[text]).astype(np.int32)),
+                        batch.column("doc_id").slice(begin, stop - begin).take(pa.array(text)),
+                        pa.array(keys.view(np.int64)),
+                        pa.array(hashes[0].view(np.int64)),
+                        pa.array((hashes[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
+                        pa.array((starts - words.firsts[text]).astype(np.int32)),
+                        pa.array((ends - words.firsts[text]).astype(np.int32)),
                     ],
-                    names=["doc_id", "high", "low", "first"],
+                    names=["doc_id", "key", "high", "low", "start", "end"],
                 )
 
     return run
 
 
-def _cut(window: int):
-    """What is left of each text after its repeated windows."""
+def _windows(window: int):
+    """The windows (two hashes, first word) of the contexts listed for each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            removed, kept = [], []
             texts = [text or "" for text in batch.column("text").to_pylist()]
-            repeats = batch.column("firsts")
-            for number, text in enumerate(texts):
-                words = text.encode("utf-8", "replace").split()
-                depth = np.zeros(len(words) + 1, np.int64)
-                own = repeats[number].values.to_numpy()
-                np.add.at(depth, own, 1)
-                np.add.at(depth, np.minimum(own + window, len(words)), -1)
-                stay = np.cumsum(depth)[:-1] == 0
-                removed.append(int(len(words) - stay.sum()))
-                kept.append(b" ".join([words[i] for i in np.flatnonzero(stay)]))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array(removed, pa.int64()),
-                    pa.array([k.decode("utf-8", "replace") for k in kept], pa.string()),
-                    pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
-                ],
-                names=["doc_id", "n_cut", "left_text", "left_sha256"],
-            )
+            listed = batch.column("spans")
+            for begin, stop in text_blocks(texts):
+                words = tokenise(texts[begin:stop])
+                wanted = np.zeros(len(words.hashes) + 1, bool)
+                for number in range(begin, stop):
+                    own = listed[number].values
+                    base = words.firsts[number - begin]
+                    for start, end in zip(own.field("start").to_pylist(), own.field("end").to_pylist(), strict=True):
+                        wanted[base + start : base + end - window + 1] = True
+                firsts = np.flatnonzero(wanted)
+                text = np.searchsorted(words.firsts + words.counts, firsts, side="right")
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").slice(begin, stop - begin).take(pa.array(text)),
+                        pa.array(window_hashes(words.hashes, window, seed=31)[firsts].view(np.int64)),
+                        pa.array(window_hashes(mixed(words.hashes), window, seed=32)[firsts].view(np.int64)),
+                        pa.array((firsts - words.firsts[text]).astype(np.int32)),
+                    ],
+                    names=["doc_id", "high", "low", "start"],
+                )
 
     return run
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What is left of each text outside its spans."""
+    for batch in batches:
+        removed, kept = [], []
+        texts = [text or "" for text in batch.column("text").to_pylist()]
+        spans = batch.column("spans")
+        for number, text in enumerate(texts):
+            words = text.encode("utf-8", "replace").split()
+            depth = np.zeros(len(words) + 1, np.int64)
+            own = spans[number].values
+            np.add.at(depth, np.minimum(own.field("start").to_numpy(), len(words)), 1)
+            np.add.at(depth, np.minimum(own.field("end").to_numpy(), len(words)), -1)
+            stay = np.cumsum(depth)[:-1] == 0
+            removed.append(int(len(words) - stay.sum()))
+            kept.append(b" ".join([words[i] for i in np.flatnonzero(stay)]))
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc_id"),
+                pa.array(removed, pa.int64()),
+                pa.array([k.decode("utf-8", "replace") for k in kept], pa.string()),
+                pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
+            ],
+            names=["doc_id", "n_cut", "left_text", "left_sha256"],
+        )
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True) -> DataFrame:
     """Per row of docs (doc_id, text): n_words, n_removed, kept_sha256 and kept_text.
 
@@ -221,25 +272,54 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True
         .join(owners.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
         .select("doc_id", F.explode("keys").alias("key"))
     )
-    shared = in_several(keys, across=True)
-    found = rows.join(shared, "doc_id").mapInArrow(
-        _windows(window), f"doc_id {kind}, high long, low long, first int"
+    shared = stored(in_several(keys, across=True), "recompression-shared")
+    contexts = stored(
+        rows.join(shared, "doc_id").mapInArrow(
+            _contexts(window), f"doc_id {kind}, key long, high long, low int, start int, end int"
+        ),
+        "recompression-contexts",
+    )
+    released(shared)
+    classes = stored(
+        contexts.groupBy("key", "high", "low").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")),
+        "recompression-contexts-least",
+    )
+    several = classes.groupBy("key").agg(F.count("*").alias("n_classes")).where("n_classes > 1")
+    wanted = classes.join(several, "key", "left").where("least < most OR n_classes IS NOT NULL")
+    decided = stored(
+        contexts.join(wanted, ["key", "high", "low"])
+        .where("doc_id > least OR n_classes IS NOT NULL")
+        .select("doc_id", "start", "end", (F.col("doc_id") > F.col("least")).alias("gone")),
+        "recompression-decided",
+    )
+    released(contexts, classes)
+    listed = decided.where("NOT gone").groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    windows = stored(
+        rows.join(listed, "doc_id").mapInArrow(_windows(window), f"doc_id {kind}, high long, low long, start int"),
+        "recompression-windows",
     )
-    windows = stored(found, "recompression-windows")
     earliest = (
         windows.groupBy("high", "low")
         .agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
         .where("least < most")
         .select("high", "low", "least")
     )
-    repeats = (
+    single = (
         windows.join(earliest, ["high", "low"])
         .where("doc_id > least")
+        .select("doc_id", "start", (F.col("start") + window).alias("end"))
+    )
+    repeats = stored(
+        decided.where("gone")
+        .select("doc_id", "start", "end")
+        .unionByName(single)
         .groupBy("doc_id")
-        .agg(F.collect_list("first").alias("firsts"))
+        .agg(F.collect_list(F.struct("start", "end")).alias("spans")),
+        "recompression-repeats",
     )
+    released(decided, windows)
     cut = rows.join(repeats, "doc_id").mapInArrow(
-        _cut(window), f"doc_id {kind}, n_cut long, left_text string, left_sha256 string"
+        _cut, f"doc_id {kind}, n_cut long, left_text string, left_sha256 string"
     )
     if not with_text:
         cut = cut.drop("left_text")
