@@ -88,15 +88,12 @@ def text_blocks(texts: list[str], most_chars: int = 1 << 20) -> Iterator[tuple[i
         yield start, len(texts)
 
 
-def in_several(keys: DataFrame, across: bool) -> DataFrame:
-    """(doc_id, keys): of the rows (doc_id, key), the keys found more than once, by document.
+def in_several(keys: DataFrame) -> DataFrame:
+    """(doc_id, keys): of the rows (doc_id, key), the keys of more than one row, by document.
 
-    `across` asks for two different documents. Counting combines map-side, and the
-    join back may be split by Spark where one key is frequent.
+    Counting combines map-side, and the join back may be split by Spark where one key
+    is frequent. The keys are stored in between, so that the shuffles of counting are
+    gone before those of the join come.
     """
-    if across:
-        seen = keys.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-        shared = seen.where("least < most").select("key")
-    else:
-        shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    shared = stored(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared-keys")
     return keys.join(shared, "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))

@@ -272,7 +272,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True
         .join(owners.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
         .select("doc_id", F.explode("keys").alias("key"))
     )
-    shared = stored(in_several(keys, across=True), "recompression-shared")
+    # A document lists a key once, so a key of several rows is one of several documents.
+    shared = stored(in_several(keys), "recompression-shared")
     contexts = stored(
         rows.join(shared, "doc_id").mapInArrow(
             _contexts(window), f"doc_id {kind}, key long, high long, low int, start int, end int"

@@ -346,7 +346,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(rows: DataFrame, kind: str, keys: DataFrame, length: int, group_limit: int) -> DataFrame:
     """Spans (doc_id, start, end) of rows (doc_id, body) that occur earlier; they may overlap."""
-    shared = stored(in_several(keys, across=False), "suffix-shared")
+    shared = stored(in_several(keys), "suffix-shared")
     contexts = stored(
         rows.join(shared, "doc_id").mapInArrow(
             _contexts(length),
