@@ -61,8 +61,9 @@ def test_quality_of_held_out_documents(spark, medium):
 
 
 def test_quality_without_labels(spark, make_docs):
-    empty = spark.createDataFrame([], "doc_id long, text string, quality int")
-    rows = quality_classifier.score(make_docs({1: None, 2: "words"}), quality_classifier.fit(empty)).collect()
+    docs = make_docs({1: None, 2: "words"})
+    empty = spark.createDataFrame([], "doc_id long, quality int")
+    rows = quality_classifier.score(docs, quality_classifier.fit(docs, empty)).collect()
     assert [r.score for r in rows] == [0.5, 0.5]
 
 

@@ -7,8 +7,8 @@ low for text that resembles the good dictionary. A logistic curve fitted on
 other labelled texts turns the difference, damped for short texts and beside the
 packed density, into a score from 0 to 1.
 
-Training looks at bounded samples (`PIECES` pieces per dictionary, and
-`CALIBRATION_TEXTS` texts), chosen by a hash of the document id. Every row is scored, whole.
+Training looks at bounded samples (`PIECES` pieces per dictionary, from
+`CALIBRATION_TEXTS` texts, and as many to calibrate), chosen by a hash of the document id. Every row is scored, whole.
 
 Null and empty texts, and every text while one class has no labelled text, get the
 share of good texts in the calibration sample.
@@ -25,14 +25,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardlight.llm.common import stored
+
 #: Characters of a piece.
 PIECE_CHARS = 512
 #: Pieces from which each dictionary is trained, at most.
 PIECES = 6000
 DICTIONARY_BYTES = 112_640
-#: Labelled texts that calibrate the score, at most.
+#: Labelled texts for each dictionary, and for the calibration, at most about.
 CALIBRATION_TEXTS = 6000
 LEVEL = 3
+#: Steps of the shares that are drawn.
+_DRAWS = 1 << 20
 
 
 def _features(measured: np.ndarray) -> np.ndarray:
@@ -103,37 +107,44 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50
     return weights
 
 
-def fit(labelled: DataFrame, pieces: int = PIECES, calibration_texts: int = CALIBRATION_TEXTS) -> QualityModel:
-    """A model from rows (doc_id, text, quality 0 or 1); nulls and other labels teach nothing.
+def fit(
+    docs: DataFrame, labels: DataFrame, pieces: int = PIECES, sample_texts: int = CALIBRATION_TEXTS
+) -> QualityModel:
+    """A model from docs (doc_id, text) and labels (doc_id, quality 0 or 1); other labels teach nothing.
 
-    Half of the documents, by a hash of their id, build the dictionaries, the
-    other half calibrates.
+    Half of the labelled documents, by a hash of their id, build the dictionaries, the
+    other half calibrates. The documents are drawn from the labels alone, at most about
+    `sample_texts` for each dictionary and for the calibration, so that the ids that
+    meet the documents are few whatever the corpus, and no text is shuffled.
     """
-    rows = labelled.select(
-        F.col("text").cast("string").alias("text"),
-        F.col("quality").cast("int").alias("quality"),
-        F.xxhash64("doc_id").alias("draw"),
-    ).where("text <> '' AND quality IN (0, 1)")
+    known = (
+        labels.select("doc_id", F.col("quality").cast("int").alias("quality"), F.xxhash64("doc_id").alias("draw"))
+        .where("quality IN (0, 1) AND doc_id IS NOT NULL")
+        .withColumn("part", F.pmod("draw", F.lit(2)))
+    )
+    counts = {(r["part"], r["quality"]): r["count"] for r in known.groupBy("part", "quality").count().collect()}
+    calibrating = sum(n for (part, _), n in counts.items() if part == 1)
+    limit = F.lit(0)
+    for (part, quality), n in counts.items():
+        share = min(1.0, sample_texts / (n if part == 0 else calibrating))
+        limit = F.when(
+            (F.col("part") == part) & (F.col("quality") == quality), F.lit(int(share * _DRAWS))
+        ).otherwise(limit)
+    chosen = known.where(F.pmod(F.xxhash64("draw"), F.lit(_DRAWS)) < limit)
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text <> ''")
+    rows = stored(
+        texts.join(F.broadcast(chosen), "doc_id").select("text", "quality", "draw", "part"), "quality-training"
+    )
     cut = F.sequence(F.lit(0), F.floor((F.char_length("text") - 1) / PIECE_CHARS).cast("int"))
-    for_dictionaries = rows.where("draw % 2 = 0").select("text", "quality", "draw", F.explode(cut).alias("at"))
     samples = {}
     for label in (0, 1):
-        part = (
-            for_dictionaries.where(F.col("quality") == label)
-            .select(
-                F.xxhash64("draw", "at").alias("order"),
-                F.substring("text", F.col("at") * PIECE_CHARS + 1, F.lit(PIECE_CHARS)).alias("piece"),
-            )
-            .orderBy("order", "piece")
-            .limit(pieces)
-        )
-        samples[label] = [row["piece"].encode() for row in part.collect()]
-    calibration = rows.where("draw % 2 <> 0").select("text", "quality", F.xxhash64("draw").alias("order"))
-    total = calibration.count()
-    if total > calibration_texts:
-        calibration = calibration.where(
-            F.pmod("order", F.lit(1 << 20)) < int((1 << 20) * calibration_texts / total)
+        cuts = rows.where(f"part = 0 AND quality = {label}").select("text", "draw", F.explode(cut).alias("at"))
+        share = min(1.0, pieces / max(cuts.count(), 1))
+        part = cuts.where(F.pmod(F.xxhash64("draw", "at"), F.lit(_DRAWS)) < int(share * _DRAWS)).select(
+            F.substring("text", F.col("at") * PIECE_CHARS + 1, F.lit(PIECE_CHARS)).alias("piece")
         )
+        samples[label] = sorted(row["piece"].encode() for row in part.collect())
+    calibration = rows.where("part = 1").select("text", "quality")
     share = calibration.agg(F.avg("quality")).first()[0]
     model = QualityModel(b"", b"", np.zeros(0), 0.5 if share is None else float(share))
     if len(samples[0]) < 8 or len(samples[1]) < 8 or share in (None, 0.0, 1.0):

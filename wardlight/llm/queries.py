@@ -45,8 +45,7 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality score of every document, learned from three quarters of the labels."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
-    training = docs.join(labels.where(~held_out(F.col("doc_id"))), "doc_id")
-    model = quality_classifier.fit(training)
+    model = quality_classifier.fit(docs, labels.where(~held_out(F.col("doc_id"))))
     return quality_classifier.score(docs, model).select(
         F.col("doc_id").cast("long").alias("doc_id"),
         held_out(F.col("doc_id")).alias("held_out"),
