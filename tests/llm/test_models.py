@@ -46,6 +46,34 @@ def test_probabilities_sum_to_one(spark):
     assert 0.9 < total < 1.1
 
 
+def test_rare_ngrams_count_when_only_frequent_ones_are_sent(spark, small, make_docs):
+    """The same result wherever an n-gram is held, and probabilities that sum to one."""
+    import numpy as np
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").where("n_chars < 3000")
+    training = docs.select("text", "lang").limit(60)
+    odd = make_docs({-1: None, -2: "12", -3: "zqxj éß жя " * 9, -4: "a"})
+    both = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    whole = language_id.fit(training, prune=0)
+    split = language_id.fit(training, prune=1e-3)
+    assert 0 < len(split.grams[0]) < len(whole.grams[0]) / 10
+    expected = {r.doc_id: r for r in language_id.identify(both, whole).collect()}
+    found = language_id.identify(both, split).collect()
+    assert len(found) == len(expected) > 100
+    for row in found:
+        assert (row.lang_pred, row.rejected) == (expected[row.doc_id].lang_pred, expected[row.doc_id].rejected)
+        assert row.score == pytest.approx(expected[row.doc_id].score, abs=1e-4)
+
+    rare = split.rest.counts[0].where("NOT exists(map_values(n), x -> x > 1)").orderBy("gram").first()["gram"]
+    context = rare >> 16 << 16
+    codes = [context | int(c) for c in whole.grams[3]]
+    chances = split.rest.chances(spark.createDataFrame([(c,) for c in codes], "gram long")).collect()
+    sums = np.array([r.chance for r in chances]).sum(axis=0)
+    assert ((0.95 < sums) & (sums < 1.05)).all()
+    by_whole = np.exp(whole.log_probabilities(np.array([r.gram for r in chances], np.int64).view(np.uint64)))
+    assert np.allclose(by_whole, [r.chance for r in chances], rtol=1e-3)
+
+
 def test_without_training_rows(spark, make_docs):
     model = language_id.fit(spark.createDataFrame([], "text string, lang string"))
     assert language_id.identify(make_docs({1: "some text"}), model).first().lang_pred == "und"
