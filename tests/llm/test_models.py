@@ -74,6 +74,13 @@ def test_rare_ngrams_count_when_only_frequent_ones_are_sent(spark, small, make_d
     assert np.allclose(by_whole, [r.chance for r in chances], rtol=1e-3)
 
 
+def test_every_language_has_a_limit(spark):
+    rows = [(f"abab baab abba {'ab' * (i % 7)}", "x") for i in range(3000)]
+    rows += [("cdc ddc cdcd", "y"), *[("12 34", "z")] * 1000, ("efe fef", "z")]
+    model = language_id.fit(spark.createDataFrame(rows, "text string, lang string"), calibration_texts=5)
+    assert set(model.limits) == set(model.langs) == {"x", "y", "z"}
+
+
 def test_without_training_rows(spark, make_docs):
     model = language_id.fit(spark.createDataFrame([], "text string, lang string"))
     assert language_id.identify(make_docs({1: "some text"}), model).first().lang_pred == "und"
