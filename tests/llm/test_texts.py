@@ -1,5 +1,6 @@
 """Quality rules, chat formatting, the archive and packing."""
 
+import random
 import zlib
 
 import numpy as np
@@ -191,6 +192,54 @@ def test_packing(make_docs, tangled):
     assert packing.pack(make_docs({})).count() == 0
 
 
+def test_ids_are_those_of_the_tokenizer(make_docs):
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    given, encoder = Tokenizer.from_file(path), packing.Encoder(path)
+    assert encoder.fast is not None
+    draw = random.Random(3)
+    parts = [" ", "  ", "\n", "\t", "\u00a0", "'s", "'ll", "'", "a", "the", "ßé", "жя", "中文", "1", "²", "!?", "𐐀", "\u0301", "\0"]
+    texts = ["".join(draw.choices(parts, k=draw.randint(0, 30))) for _ in range(500)]
+    texts += ["one <|endoftext|> two", "<|endoftext|>", "a<|endoftext|><|endoftext|>b", "<|endoftext", ""]
+    wanted = [given.encode(text, add_special_tokens=False).ids for text in texts]
+    assert 50256 in wanted[500]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode(texts)] == wanted
+    rows = packing.pack(make_docs({1: texts[500]}), with_ids=True).collect()
+    assert [r.ids for r in rows] == [[*wanted[500], 2]]
+
+
+@pytest.mark.parametrize("kind", ["L", "N", "s"])
+def test_both_tokenizers_class_characters_alike(kind):
+    import tiktoken
+    from tokenizers import Regex, pre_tokenizers
+
+    kind = r"\s" if kind == "s" else rf"\p{{{kind}}}"
+    every = "".join(chr(i) for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000)
+    ranks = {bytes([i]): i for i in range(256)}
+    fast = tiktoken.Encoding("bytes", pat_str=kind, mergeable_ranks=ranks, special_tokens={})
+    pieces = pre_tokenizers.Split(Regex(kind), "removed", invert=True).pre_tokenize_str(every)
+    assert bytes(fast.encode_ordinary(every)).decode() == "".join(piece for piece, _ in pieces)
+
+
+def test_other_files_go_through_the_tokenizer(tmp_path):
+    import json
+
+    settings = json.loads(open(packing.tokenizer_path(), encoding="utf-8").read())
+    merges = settings["model"]["merges"]
+    for change in (
+        {"ignore_merges": True},
+        {"merges": [merges[1], merges[0], *merges[2:]]},
+        {"merges": merges[:300], "vocab": {t: i for t, i in settings["model"]["vocab"].items() if i < 556}},
+    ):
+        file = tmp_path / "tokenizer.json"
+        file.write_text(json.dumps({**settings, "model": {**settings["model"], **change}}), encoding="utf-8")
+        encoder = packing.Encoder(str(file))
+        assert (encoder.fast is None) == ("vocab" not in change)
+        text = "the and of  other Ünder\n1234 words"
+        assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == encoder.tokenizer.encode(text).ids
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plans_place_every_piece(seed):
     draw = np.random.default_rng(seed)

@@ -48,8 +48,6 @@ SHARD_ROWS = 50_000
 # Fixed value: how byte-level tokenizers of this family cut a text before merging.
 _PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 _IDS = np.dtype("<u4")
-#: Texts per worker process on which the fast encoder is held against the tokenizer.
-PROBES = 32
 
 
 def tokenizer_path() -> str:
@@ -69,10 +67,13 @@ def _byte_of_character() -> dict[str, int]:
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes, as the tokenizer file defines them.
 
-    The vocabulary of a byte-level file whose ids follow the order of its merges runs
-    several times faster as tiktoken ranks. Each worker process holds the first texts it
-    sees against the tokenizer itself; on any difference, and for other kinds of
-    files, the tokenizer encodes everything.
+    The vocabulary of a byte-level file runs several times faster as tiktoken ranks. They
+    join any neighbours whose bytes make a token, the tokenizer only the token's own
+    pair. Both give the same ids if ids follow the order of the merges, tokens are made of
+    tokens with lower ids, and every token's bytes alone are merged to it: neighbours
+    that make a token have then been merged to its pair, as no merge has crossed their
+    outer ends. Files of another kind, and texts that hold an added token, go through
+    the tokenizer itself.
     """
 
     def __init__(self, path: str):
@@ -80,29 +81,42 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.fast = self._ranked(json.loads(self.tokenizer.to_str()))
-        self.probes = PROBES
+        settings = json.loads(self.tokenizer.to_str())
+        self.added = [entry["content"] for entry in settings.get("added_tokens") or []]
+        self.fast = self._ranked(settings)
 
-    @staticmethod
-    def _ranked(settings: dict):
+    def _ranked(self, settings: dict):
+        """The file's vocabulary as tiktoken ranks, or None where they may give other ids."""
         splitter, model = settings.get("pre_tokenizer") or {}, settings["model"]
         byte_level = (
             splitter.get("type") == "ByteLevel"
             and splitter.get("use_regex", True)
             and not splitter.get("add_prefix_space")
-            and settings.get("normalizer") is None
+            and not any(settings.get(name) for name in ("normalizer", "truncation", "padding"))
             and model.get("type") == "BPE"
+            and not any(
+                model.get(name)
+                for name in ("ignore_merges", "dropout", "continuing_subword_prefix", "end_of_word_suffix")
+            )
         )
         if not byte_level:
             return None
+        vocabulary, byte_of = model["vocab"], _byte_of_character()
+        pairs = [pair.split(" ") if isinstance(pair, str) else pair for pair in model["merges"]]
+        made = ["".join(pair) for pair in pairs]
+        numbers = [vocabulary[token] for token in made]
+        agree = (
+            all(character in vocabulary for character in byte_of)
+            and set("".join(made)) <= byte_of.keys()
+            and all(a < b for a, b in zip(numbers, numbers[1:]))
+            and all(max(map(vocabulary.get, pair)) < number for pair, number in zip(pairs, numbers, strict=True))
+            and all(len(self.tokenizer.model.tokenize(token)) == 1 for token in made)
+        )
+        if not agree:
+            return None
         import tiktoken
 
-        special = {entry["content"] for entry in settings.get("added_tokens", []) if entry["special"]}
-        byte_of = _byte_of_character()
-        ranks = {
-            bytes(byte_of[c] for c in token): number for token, number in model["vocab"].items() if token not in special
-        }
+        ranks = {bytes(byte_of[c] for c in token): vocabulary[token] for token in (*byte_of, *made)}
         return tiktoken.Encoding("file", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def _defined(self, texts: list[str]) -> list[bytes]:
@@ -113,12 +127,9 @@ class Encoder:
         if self.fast is None:
             return self._defined(texts)
         found = [np.array(self.fast.encode_to_numpy(text, disallowed_special=()), _IDS).tobytes() for text in texts]
-        if self.probes > 0:
-            probe = texts[: self.probes]
-            self.probes -= len(probe)
-            if self._defined(probe) != found[: len(probe)]:
-                self.fast = None
-                return self._defined(texts)
+        holding = [i for i, text in enumerate(texts) if any(content in text for content in self.added)]
+        for i, ids in zip(holding, self._defined([texts[i] for i in holding]), strict=True):
+            found[i] = ids
         return found
 
 
