@@ -14,6 +14,8 @@ from wardlight.llm import decontamination, language_id, minhash, packing, recomp
 from wardlight.llm.common import held_out, read_table, stored
 
 
+#: Similarity from which documents are near duplicates, and bands that find such pairs.
+NEAR_PERCENT, NEAR_BANDS, NEAR_BAND_SLOTS = 80, 40, 5
 #: The name under which ids are joined, apart from any column of the documents.
 _ID = "__pipeline_id"
 
@@ -32,7 +34,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, the one with the least id."""
-    return _without(docs, minhash.groups(docs).where("doc_id <> component_id"))
+    groups = minhash.groups(docs, NEAR_PERCENT, NEAR_BANDS, NEAR_BAND_SLOTS)
+    return _without(docs, groups.where("doc_id <> component_id"))
 
 
 def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,6 +56,20 @@ def test_pipeline(spark, small):
     assert {(r.doc_id, r.piece, r.start, r.length) for r in rows} == expected and len(rows) == len(expected)
 
 
+def test_near_duplicates_of_the_pipeline(spark, make_docs, small):
+    """Copies of a similarity from 0.80 on go, others stay."""
+    texts = {}
+    for i in range(30):
+        base = [f"w{i}x{j}" for j in range(204)]
+        changed = [f"{w}!" if j in (20, 60, 100, 140) else w for j, w in enumerate(base)]
+        apart = [f"{w}?" if j in (15, 50, 85, 120, 155) else w for j, w in enumerate(base)]
+        texts |= {3 * i: " ".join(base), 3 * i + 1: " ".join(changed), 3 * i + 2: " ".join(apart)}
+    expected = {d for d, (_, first) in brute.near_duplicates(texts, percent=80).items() if d == first}
+    assert expected == set(texts) - {3 * i + 1 for i in range(30)}
+    stage = dict(corpus_pipeline.STAGES)["minhash"]
+    assert {r.doc_id for r in stage(spark, make_docs(texts), small).collect()} == expected
+
+
 def test_stages_keep_columns_and_rows_of_any_kind(spark, make_docs, tangled, small):
     clashing = ("key", "n_words", "kept_text", "component_id", "rejected", "item_id", "length", "row")
     rows = [*tangled.items(), (7, tangled[7]), (None, "some words of no document")]

@@ -20,7 +20,8 @@ pivots per list grows by `PIVOT_GROWTH` until every list holds one component. So
 candidates is in one component already, cannot be a link, or has been compared.
 
 With 32 bands of 6 slots a pair at the threshold of 0.85 shares no band with a
-probability of 3 in 10 million, and less above it.
+probability of 3 in 10 million, and less above it; with 40 bands of 5 that is 1 in
+10 million at 0.8.
 
 Null texts, empty texts and texts without words have no shingles and stay alone.
 Rows with equal ids and texts get equal results; a null id is not linked.
@@ -93,25 +94,29 @@ def band_hashes(signatures: np.ndarray, bands: int, band_slots: int) -> np.ndarr
     return found
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sign(n_bands: int, band_slots: int):
     """Set size, set digest and band hashes of each row."""
-    for batch in batches:
-        texts = [text or "" for text in batch.column("text").to_pylist()]
-        for start, end in text_blocks(texts):
-            sets = shingle_sets(texts[start:end], SHINGLE)
-            bands = band_hashes(superminhash(sets, BANDS * BAND_SLOTS), BANDS, BAND_SLOTS)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").slice(start, end - start),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                    pa.ListArray.from_arrays(
-                        pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32()),
-                        pa.array(bands.reshape(-1).view(np.int64)),
-                    ),
-                ],
-                names=["doc_id", "n_shingles", "set_key", "bands"],
-            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [text or "" for text in batch.column("text").to_pylist()]
+            for start, end in text_blocks(texts):
+                sets = shingle_sets(texts[start:end], SHINGLE)
+                bands = band_hashes(superminhash(sets, n_bands * band_slots), n_bands, band_slots)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").slice(start, end - start),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                        pa.ListArray.from_arrays(
+                            pa.array(np.arange(0, bands.size + 1, n_bands), pa.int32()),
+                            pa.array(bands.reshape(-1).view(np.int64)),
+                        ),
+                    ],
+                    names=["doc_id", "n_shingles", "set_key", "bands"],
+                )
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,12 +183,17 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def groups(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
+def groups(
+    docs: DataFrame, percent: int = THRESHOLD_PERCENT, bands: int = BANDS, band_slots: int = BAND_SLOTS
+) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text)."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     signed = stored(
-        rows.mapInArrow(_sign, f"doc_id {kind}, n_shingles long, set_key binary, bands array<long>"), "minhash-bands"
+        rows.mapInArrow(
+            _sign(bands, band_slots), f"doc_id {kind}, n_shingles long, set_key binary, bands array<long>"
+        ),
+        "minhash-bands",
     )
     classes = stored(
         signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
