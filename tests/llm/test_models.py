@@ -122,6 +122,13 @@ def test_leaks(spark, make_docs, tangled, block_words):
     assert len(found) == len(expected) > 10
 
 
+def test_items_without_an_id_are_reported(spark, make_docs, tangled):
+    passage = " ".join(brute.words(tangled[30])[20:60])
+    benchmark = spark.createDataFrame([(None, passage), (1, passage)], "item_id long, text string")
+    found = decontamination.leaks(make_docs({30: tangled[30], 1: "one"}), benchmark).collect()
+    assert {(r.doc_id, r.item_id, r.similarity) for r in found} == {(30, None, 1.0), (30, 1, 1.0)}
+
+
 def test_no_items_no_leaks(spark, make_docs, tangled):
     benchmark = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.leaks(make_docs(tangled), benchmark).isEmpty()

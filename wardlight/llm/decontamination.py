@@ -17,7 +17,7 @@ Every candidate is verified on the exact multisets.
 The benchmark is read in blocks of at most `BLOCK_WORDS` words (or one item), each one pass
 over the documents, so what is sent to the tasks is bounded.
 
-Null and empty texts and items match nothing. Repeated items and rows are reported one by one.
+Null and empty texts and items match nothing. An item without an id is reported with a null id. Repeated items and rows are reported one by one.
 """
 
 from __future__ import annotations
@@ -72,10 +72,10 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 class Items:
     """A block of the benchmark: its shingles, and per size the blocks of its fingerprints."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list[int | None], texts: list[str]):
         words = tokenise(texts, lower=True)
         bounds = zip(words.firsts.tolist(), words.counts.tolist(), strict=True)
-        self.ids = np.array(ids, np.int64)
+        self.ids = pa.array(ids, pa.int64())
         self.shingles = [_shingles(words.hashes[f : f + c]) for f, c in bounds]
         self.sizes = words.counts
         own = [np.unique(s) for s in self.shingles]
@@ -149,7 +149,7 @@ def _search(items: Items, least: float):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").take(pa.array(owner, pa.int64())),
-                    pa.array([int(items.ids[i]) for i, _, _ in found], pa.int64()),
+                    items.ids.take(pa.array([i for i, _, _ in found], pa.int64())),
                     pa.array([value for _, value, _ in found], pa.float64()),
                     pa.array([place for _, _, place in found], pa.int64()),
                     pa.array([int(items.sizes[i]) for i, _, _ in found], pa.int64()),
