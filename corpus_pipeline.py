@@ -3,6 +3,11 @@
 Each stage takes the documents that its predecessor kept, stored as Parquet, and
 returns the documents it keeps with all their columns; the last one returns the
 packed pieces.
+
+Language and benchmark items are verdicts on a text: where texts share an id, each row is
+judged by its own text. A document with a null id leaves if it holds a benchmark item,
+but not for its language. Near duplicates and passages are found by id: rows without one
+stay as they are, and rows that share an id go or are cut together.
 """
 
 from __future__ import annotations
@@ -26,10 +31,26 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(gone, docs["doc_id"] == gone[_ID], "left_anti")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The documents with a key of their id and text in place of the id."""
+    key = F.concat_ws("\0", F.xxhash64("doc_id").cast("string"), F.coalesce(docs["text"].cast("string"), F.lit("")))
+    return docs.withColumn(_ID, F.sha2(key, 256))
+
+
+def _without_texts(docs: DataFrame, found) -> DataFrame:
+    """The documents whose own text is not among the rows that `found` returns of (doc_id, text)."""
+    keyed = _keyed(docs)
+    gone = found(keyed.select(F.col(_ID).alias("doc_id"), "text")).select(F.col("doc_id").alias(_ID)).distinct()
+    return keyed.join(gone, _ID, "left_anti").select(*[keyed[name] for name in docs.columns])
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; `lang` stays as it came."""
     model = language_id.fit(docs.where(~held_out(F.col("doc_id"))))
-    return _without(docs, language_id.identify(docs, model).where("rejected"))
+    named = F.col("doc_id").isNotNull()
+    known = docs.where(named)
+    kept = _without_texts(known, lambda texts: language_id.identify(texts, model).where("rejected"))
+    return kept.unionByName(docs.where(~named))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +85,8 @@ def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return _without(docs, decontamination.leaks(docs, read_table(spark, sf_dir, "benchmark")))
+    benchmark = read_table(spark, sf_dir, "benchmark")
+    return _without_texts(docs, lambda texts: decontamination.leaks(texts, benchmark))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,6 +70,17 @@ def test_near_duplicates_of_the_pipeline(spark, make_docs, small):
     assert {r.doc_id for r in stage(spark, make_docs(texts), small).collect()} == expected
 
 
+def test_rows_that_share_an_id_are_judged_by_their_own_text(spark, make_docs, tangled, small):
+    stages = dict(corpus_pipeline.STAGES)
+    item = spark.read.parquet(f"{small}/benchmark.parquet").where("length(text) > 200").first()["text"]
+    docs = make_docs([(500, item), (500, "some clean text"), (None, item), (None, "more clean text")])
+    left = {(r.doc_id, r.text) for r in stages["decontamination"](spark, docs, small).collect()}
+    assert left == {(500, "some clean text"), (None, "more clean text")}
+    docs = make_docs([*tangled.items(), (500, "12 34"), (500, tangled[40]), (None, "12 34")])
+    left = {(r.doc_id, r.text) for r in stages["language_id"](spark, docs, small).collect()}
+    assert {(500, tangled[40]), (None, "12 34")} <= left and (500, "12 34") not in left
+
+
 def test_stages_keep_columns_and_rows_of_any_kind(spark, make_docs, tangled, small):
     clashing = ("key", "n_words", "kept_text", "component_id", "rejected", "item_id", "length", "row")
     rows = [*tangled.items(), (7, tangled[7]), (None, "some words of no document")]
