@@ -138,5 +138,114 @@ FROM t LEFT JOIN kept ON kept.doc_id = t.doc_id
 """
 
 
+OP12_INFILLING = r"""
+WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS text,
+           regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+           sha256('42:' || CAST(doc_id AS VARCHAR)) AS x
+    FROM documents
+), h AS (
+    SELECT *, len(units) AS n, CAST('0x' || x[1:8] AS BIGINT) AS h1, CAST('0x' || x[9:16] AS BIGINT) AS h2,
+           CAST('0x' || x[17:24] AS BIGINT) AS h3, CAST('0x' || x[25:32] AS BIGINT) AS h4 FROM d
+), c AS (
+    SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+           CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                     OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h
+), p AS (
+    SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle,
+           array_to_string(units[b + 1:], '') AS suffix FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+def _merkle_sql(source_levels: int = 6, top_levels: int = 4) -> str:
+    """Both trees level by level; a level has rows only where the one below has several nodes."""
+
+    def written(column: str) -> str:
+        return f"coalesce(CAST(strlen(CAST({column} AS VARCHAR)) AS VARCHAR) || ':' || {column}, '-')"
+
+    def leaf(text: str) -> str:
+        return f"sha256({' || '.join(map(written, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+    def tree(name: str, levels: int) -> list[str]:
+        parts = []
+        for k in range(levels):
+            # Every node of a level that goes on, with what its run has before and after it.
+            parts.append(
+                f"{name}{k}s AS (SELECT *, i // 16 AS run, count(*) OVER (PARTITION BY g) AS size,"
+                f" coalesce(string_agg(d, '') OVER (PARTITION BY g, i // 16 ORDER BY i"
+                f" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,"
+                f" coalesce(string_agg(d, '') OVER (PARTITION BY g, i // 16 ORDER BY i"
+                f" ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after FROM {name}{k})"
+            )
+            parts.append(
+                f"{name}{k + 1} AS (SELECT g, run AS i, sha256(string_agg(d, '' ORDER BY i)) AS d"
+                f" FROM {name}{k}s WHERE size > 1 GROUP BY g, run)"
+            )
+        ends = " UNION ALL ".join(f"SELECT g, d FROM {name}{k}s WHERE size = 1" for k in range(levels))
+        return [*parts, f"{name}_end AS ({ends})"]
+
+    def climb(name: str, levels: int) -> list[str]:
+        return [
+            f"{name}{k}s x{name}{k} ON x{name}{k}.g = {'n.g' if name == 's' else '0'} AND x{name}{k}.size > 1"
+            f" AND x{name}{k}.i = {'n.i' if name == 's' else 'n.g'} // {16**k}"
+            for k in range(levels)
+        ]
+
+    steps = [f"x{name}{k}" for name, levels in (("s", source_levels), ("t", top_levels)) for k in range(levels)]
+    proof = " || ".join(f"coalesce({x}.before || {x}.after, '')" for x in steps)
+    folds, at = [], "f0"
+    for number, x in enumerate(steps):
+        folds.append(
+            f"f{number + 1} AS (SELECT * EXCLUDE (v), CASE WHEN {x}_b IS NULL THEN v"
+            f" ELSE sha256({x}_b || v || {x}_a) END AS v FROM {at})"
+        )
+        at = f"f{number + 1}"
+    sides = ", ".join(f"{x}.before AS {x}_b, {x}.after AS {x}_a" for x in steps)
+    joins = " ".join(f"LEFT JOIN {j}" for j in [*climb("s", source_levels), *climb("t", top_levels)])
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH {_CRC32}, l AS (
+    SELECT doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g, {leaf("text")} AS d,
+           CASE WHEN crc.value % 5 = 0 THEN {leaf(lowered)} ELSE {leaf("text")} END AS changed
+    FROM documents LEFT JOIN crc ON crc.id = doc_id
+), n AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, d) - 1 AS i FROM l),
+s0 AS (SELECT g, i, d FROM n), {", ".join(tree("s", source_levels))},
+t0 AS (SELECT 0 AS g, g AS i, d FROM s_end), {", ".join(tree("t", top_levels))},
+f0 AS (
+    SELECT n.doc_id, n.d AS leaf, s_end.d AS subroot, t_end.d AS root, sha256({proof}) AS proof_sha256,
+           n.changed AS v, {sides}
+    FROM n JOIN s_end ON s_end.g = n.g JOIN t_end ON t_end.g = 0 {joins}
+), {", ".join(folds)}
+SELECT doc_id, leaf, subroot, root, proof_sha256, v AS folded_root, v = root AS verified FROM {at}
+"""
+
+
+#: `crc` (id, value): the CRC-32 of every document's id in decimal, by the table of its 256 bytes.
+_CRC32 = """bytes AS (
+    SELECT list(list_reduce(list_concat([i], range(8)),
+                lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+    FROM range(256) r(i)
+), crc AS (
+    SELECT doc_id AS id, xor(list_reduce(list_concat([4294967295], list_transform(range(1, length(s) + 1),
+           lambda i: CAST(ascii(s[i]) AS BIGINT))), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS value
+    FROM (SELECT DISTINCT doc_id, CAST(doc_id AS VARCHAR) AS s FROM documents), bytes
+)"""
+
 def llm_oracle():
-    return {"op1_quality_rules": OP1_QUALITY_RULES, "op3_suffix_dedup": OP3_SUFFIX_DEDUP, "op4_warc": OP4_WARC, "op7_minhash": OP7_MINHASH, "op8_recompression": OP8_RECOMPRESSION, "op5_chat": OP5_CHAT}
+    return {
+        "op1_quality_rules": OP1_QUALITY_RULES,
+        "op3_suffix_dedup": OP3_SUFFIX_DEDUP,
+        "op4_warc": OP4_WARC,
+        "op5_chat": OP5_CHAT,
+        "op7_minhash": OP7_MINHASH,
+        "op8_recompression": OP8_RECOMPRESSION,
+        "op12_infilling": OP12_INFILLING,
+        "op13_merkle": _merkle_sql(),
+    }

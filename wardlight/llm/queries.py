@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import string
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlight.llm import (
     chat,
     decontamination,
+    infilling,
     language_id,
+    merkle,
     minhash,
     packing,
+    piece_encoding,
     quality_classifier,
     quality_rules,
     recompression,
@@ -149,6 +154,54 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
+def _sha256(text) -> Column:
+    return F.sha2(F.encode(text, "UTF-8"), 256)
+
+
+def op11_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by the sentencepiece model, and decoded again."""
+    encoded = piece_encoding.encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return piece_encoding.decode(encoded).select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.size("ids").cast("long").alias("n_tokens"),
+        _sha256(listed).alias("ids_sha256"),
+        _sha256(F.col("decoded")).alias("decoded_sha256"),
+    )
+
+
+def op12_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document rewritten for filling in the middle, and rebuilt from what was written."""
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return infilling.restore(infilling.transform(docs)).select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        _sha256(F.col("output")).alias("output_sha256"),
+        _sha256(F.col("restored")).alias("restored_sha256"),
+    )
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's proof; a fifth of the documents are tampered with before they are verified."""
+    columns = list(merkle.LEAF_COLUMNS)
+    docs = read_table(spark, sf_dir, "documents").select(*columns)
+    lowered = F.translate(F.col("text").cast("string"), string.ascii_uppercase, string.ascii_lowercase)
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    docs = docs.withColumn("changed_leaf", F.when(tampered, merkle.leaf_digest({"text": lowered})))
+    proven = merkle.proofs(merkle.build(docs, carried=("changed_leaf",)))
+    return proven.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        "leaf",
+        "subroot",
+        "root",
+        merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+        merkle.fold(F.coalesce("changed_leaf", "leaf"), F.col("path")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def llm_queries():
     """The queries by name."""
     found = (
@@ -162,5 +215,8 @@ def llm_queries():
         op8_recompression,
         op9_decontamination,
         op10_packing,
+        op11_piece_encoding,
+        op12_infilling,
+        op13_merkle,
     )
     return {query.__name__: query for query in found}
