@@ -22,7 +22,7 @@ def test_every_operator_is_registered():
 
     names = entry_points.queries()
     assert set(llm_queries()) | {"pipeline"} <= set(names)
-    assert sorted(int(n[2:].split("_")[0]) for n in llm_queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in llm_queries()) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", ["op1_quality_rules", "op5_chat"])
@@ -38,7 +38,7 @@ def test_pipeline(spark, small):
     fine = {r.doc_id for r in language_id.identify(docs, model).where("NOT rejected").collect()}
     texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id in fine}
     assert len(texts) >= 0.99 * docs.count()
-    texts = {d: texts[d] for d, (_, first) in brute.near_duplicates(texts).items() if d == first}
+    texts = {d: texts[d] for d, (_, first) in brute.near_duplicates(texts, percent=corpus_pipeline.NEAR_PERCENT).items() if d == first}
     cut = brute.without_repeated_words(texts)
     texts = {d: cut[d][2] if cut[d][1] else t for d, t in texts.items() if not cut[d][1] or cut[d][1] < cut[d][0]}
     items = {r.item_id: r.text for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()}
