@@ -100,3 +100,35 @@ def leaks(texts, items, least=0.8):
 
 def sha256(data):
     return hashlib.sha256(data if isinstance(data, bytes) else data.encode()).hexdigest()
+
+
+def characters(text):
+    """Lower-cased letters, anything else one space; nothing if there is no letter."""
+    found = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+    return re.sub(" +", " ", found).lstrip(" ") if found.strip() else ""
+
+
+class CharacterModel:
+    """Interpolated Kneser-Ney over 4-grams of one language, by its definition."""
+
+    def __init__(self, texts, alphabet):
+        self.levels = [collections.Counter()]
+        for text in texts:
+            own = "   " + characters(text)
+            self.levels[0].update(own[i : i + 4] for i in range(len(own) - 3))
+        while len(self.levels) < 4:
+            self.levels.append(collections.Counter(gram[1:] for gram in self.levels[-1]))
+        self.alphabet = alphabet
+        self.discounts = []
+        for level in self.levels:
+            once, twice = (sum(n == k for n in level.values()) for k in (1, 2))
+            self.discounts.append(once / (once + 2 * twice) if once and twice else 0.5)
+
+    def chance(self, gram, k=0):
+        level, discount = self.levels[k], self.discounts[k]
+        same = {g: n for g, n in level.items() if g[:-1] == gram[:-1]}
+        below = 1 / self.alphabet if k == 3 else self.chance(gram[1:], k + 1)
+        if not same:
+            return below
+        left = discount * len(same) * below
+        return (max(level.get(gram, 0) - discount, 0) + left) / sum(same.values())

@@ -1,5 +1,7 @@
 """Language, quality and decontamination."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,44 +36,89 @@ def test_odd_texts(language_model, make_docs):
     assert rows[6].lang_pred != "und"
 
 
-def test_probabilities_sum_to_one(spark):
-    rows = [("abab abba baab", "x"), ("bbba aab", "x"), ("ccc", "y"), (None, "x"), ("a", None)]
+def _as_grams(spark, grams):
+    """4-grams as pairs of characters."""
+    codes = [[ord(c) for c in gram] for gram in grams]
+    return spark.createDataFrame([(a << 21 | b, c << 21 | d) for a, b, c, d in codes], "first long, last long")
+
+
+def _chances(model, frame):
+    return {
+        "".join(chr(n) for pair in (r.first, r.last) for n in (pair >> 21, pair & 0x1FFFFF)): r.chance
+        for r in model.chances(frame.distinct()).collect()
+    }
+
+
+TRAINING = {
+    "x": ["abab abba baab", "bbba aab", "b a", "12"],
+    "y": ["ccc cab", "𐐨𐐩 ш", "Ccc"],
+    "z": ["ab 3 ba", "", "жя ab"],
+}
+
+
+def test_chances_by_definition(spark):
+    rows = [(t, lang) for lang, texts in TRAINING.items() for t in texts] + [(None, "x"), ("a", None)]
     model = language_id.fit(spark.createDataFrame(rows, "text string, lang string"))
-    import numpy as np
+    alphabet = len({c for texts in TRAINING.values() for t in texts for c in brute.characters(t)}) + 1
+    grams = {own[i : i + 4] for texts in TRAINING.values() for t in texts
+             for own in ["   " + brute.characters(t)] for i in range(len(own) - 3)}
+    grams |= {"qqqq", "abqa", "  𐐨q", "ш𐐨𐐩 ", "baba", " cab"}
+    found = _chances(model, _as_grams(spark, grams))
+    assert set(found) == grams
+    for number, lang in enumerate(model.langs):
+        plain = brute.CharacterModel(TRAINING[lang], alphabet)
+        assert {g: found[g][number] for g in grams} == pytest.approx({g: plain.chance(g) for g in grams}, rel=1e-9)
+
+
+def test_chances_after_a_context_sum_to_one(spark):
+    rows = [(t, lang) for lang, texts in TRAINING.items() for t in texts]
+    model = language_id.fit(spark.createDataFrame(rows, "text string, lang string"))
+    letters = {c for texts in TRAINING.values() for t in texts for c in brute.characters(t)} | {"q"}
+    for context in ("aba", "   ", "c c", "qqq", " 𐐨𐐩"):
+        found = _chances(model, _as_grams(spark, [context + c for c in letters]))
+        assert [sum(column) for column in zip(*found.values())] == pytest.approx([1.0] * 3, abs=1e-9)
 
-    codes = model.grams[3]
-    context = np.uint64((ord("a") << 32) | (ord("b") << 16) | ord("a"))
-    full = (context << np.uint64(16)) | codes
-    total = np.exp(model.log_probabilities(full))[:, model.langs.index("x")].sum()
-    assert 0.9 < total < 1.1
 
+def test_scripts_beyond_the_basic_plane_are_told_apart(spark, make_docs):
+    """U+10448 and Cyrillic U+0448 share their low 16 bits."""
+    rows = [("\U00010448\U00010449 " * 30, "deseret"), ("шщ " * 30, "cyrillic")]
+    model = language_id.fit(spark.createDataFrame(rows, "text string, lang string"))
+    found = language_id.identify(make_docs({1: "шщ шщ", 2: "\U00010448\U00010449"}), model)
+    assert {r.doc_id: r.lang_pred for r in found.collect()} == {1: "cyrillic", 2: "deseret"}
 
-def test_rare_ngrams_count_when_only_frequent_ones_are_sent(spark, small, make_docs):
-    """The same result wherever an n-gram is held, and probabilities that sum to one."""
-    import numpy as np
 
+def test_what_is_sent_changes_nothing(spark, small, make_docs):
+    """The same entropies wherever a 4-gram is held, by definition, and copies and odd rows one by one."""
     docs = spark.read.parquet(f"{small}/documents.parquet").where("n_chars < 3000")
     training = docs.select("text", "lang").limit(60)
-    odd = make_docs({-1: None, -2: "12", -3: "zqxj éß жя " * 9, -4: "a"})
+    odd = make_docs([(-1, None), (-2, "12"), (-3, "zqxj éß жя " * 9), (-4, "a"), (-4, "and so on"), (None, "and so on")])
     both = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
-    whole = language_id.fit(training, prune=0)
-    split = language_id.fit(training, prune=1e-3)
-    assert 0 < len(split.grams[0]) < len(whole.grams[0]) / 10
-    expected = {r.doc_id: r for r in language_id.identify(both, whole).collect()}
-    found = language_id.identify(both, split).collect()
-    assert len(found) == len(expected) > 100
-    for row in found:
-        assert (row.lang_pred, row.rejected) == (expected[row.doc_id].lang_pred, expected[row.doc_id].rejected)
-        assert row.score == pytest.approx(expected[row.doc_id].score, abs=1e-4)
-
-    rare = split.rest.counts[0].where("NOT exists(map_values(n), x -> x > 1)").orderBy("gram").first()["gram"]
-    context = rare >> 16 << 16
-    codes = [context | int(c) for c in whole.grams[3]]
-    chances = split.rest.chances(spark.createDataFrame([(c,) for c in codes], "gram long")).collect()
-    sums = np.array([r.chance for r in chances]).sum(axis=0)
-    assert ((0.95 < sums) & (sums < 1.05)).all()
-    by_whole = np.exp(whole.log_probabilities(np.array([r.gram for r in chances], np.int64).view(np.uint64)))
-    assert np.allclose(by_whole, [r.chance for r in chances], rtol=1e-3)
+    models = [language_id.fit(training, cells=cells) for cells in (1 << 22, 4000, 1)]
+    sizes = [len(model.frequent.value[0]) for model in models]
+    assert sizes[0] > 10 * sizes[1] > 10 and sizes[2] == 0
+    rows = [
+        {(r.doc_id, r.n, tuple(round(v, 3) for v in r.sums)) for r in language_id.measured(both, model).collect()}
+        for model in models
+    ]
+    ids = [{(i, n): sums for i, n, sums in part} for part in rows]
+    assert ids[0].keys() == ids[1].keys() == ids[2].keys() and len(ids[0]) > 100
+    for key, sums in ids[0].items():
+        assert ids[1][key] == pytest.approx(sums, rel=1e-5, abs=2e-3) and ids[2][key] == pytest.approx(sums, rel=1e-5, abs=2e-3)
+    verdicts = language_id.identify(both, models[1])
+    assert verdicts.count() == both.count()
+    assert {(r.lang_pred, r.rejected) for r in verdicts.where("doc_id = -4 OR doc_id IS NULL").collect()} >= {("en", False)}
+    # One text by the definition.
+    texts = {}
+    for row in training.collect():
+        texts.setdefault(row.lang, []).append(row.text)
+    alphabet = len({c for own in texts.values() for t in own for c in brute.characters(t)}) + 1
+    plain = {lang: brute.CharacterModel(own, alphabet) for lang, own in texts.items()}
+    own = "   " + brute.characters("zqxj éß жя ")
+    grams = [own[i : i + 4] for i in range(len(own) - 3)]
+    first = language_id.measured(make_docs({1: "zqxj éß жя "}), models[1]).first()
+    assert first.sums == pytest.approx(
+        [sum(math.log(plain[lang].chance(g)) for g in grams) for lang in models[1].langs], rel=1e-5
+    )
 
 
 def test_every_language_has_a_limit(spark):
