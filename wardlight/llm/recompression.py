@@ -180,7 +180,7 @@ def _contexts(window: int):
                 hit = np.isin(keys, wanted)
                 keys, starts, ends = keys[hit], starts[hit], ends[hit]
                 text = np.searchsorted(words.firsts + words.counts, starts, side="right")
-                hashes = [_spans(source, starts, ends) for source in (words.hashes, mixed(words.hashes))]
+                hashes = [_spans(source, starts, ends) for source in (words.hashes, words.others)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(begin, stop - begin).take(pa.array(text)),
@@ -217,7 +217,7 @@ def _windows(window: int):
                     [
                         batch.column("doc_id").slice(begin, stop - begin).take(pa.array(text)),
                         pa.array(window_hashes(words.hashes, window, seed=31)[firsts].view(np.int64)),
-                        pa.array(window_hashes(mixed(words.hashes), window, seed=32)[firsts].view(np.int64)),
+                        pa.array(window_hashes(words.others, window, seed=32)[firsts].view(np.int64)),
                         pa.array((firsts - words.firsts[text]).astype(np.int32)),
                     ],
                     names=["doc_id", "high", "low", "start"],

@@ -1,4 +1,10 @@
-"""Word positions and 64-bit hashes of whole texts, vectorised over blocks of texts."""
+"""Word positions and hashes of whole texts, vectorised over blocks of texts.
+
+Every word has two 64-bit hashes. Its bytes are taken in eights; each eight, combined with its place
+in the word and a seed, is scrambled before the sum, so no algebraic relation between
+bytes carries over, and the hashes have unrelated seeds. The first one is exact for words of
+up to eight bytes but for the final scrambling of their length.
+"""
 
 from __future__ import annotations
 
@@ -43,14 +49,55 @@ class Words:
     starts: np.ndarray
     ends: np.ndarray
     hashes: np.ndarray
+    others: np.ndarray  # hashes under another seed
     counts: np.ndarray  # words of each text
     firsts: np.ndarray  # number of each text's first word
 
+    @property
+    def both(self) -> np.ndarray:
+        """One number from both hashes of each word."""
+        return mixed(self.hashes + mixed(self.others))
+
     def text_of(self) -> np.ndarray:
         """The text each word belongs to."""
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on as one number, the first byte lowest; zeros follow the end."""
+    found = np.zeros(len(data) + 8, np.uint64)
+    found[: len(data)] = data
+    for step in (1, 2, 4):
+        found[:-step] |= found[step:] << np.uint64(8 * step)
+    return found[: len(data)]
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both hashes of the words from each start to its end."""
+    if not len(starts):
+        return np.empty(0, np.uint64), np.empty(0, np.uint64)
+    lengths = (ends - starts).astype(np.int64)
+    eights = _eights(data)
+    pieces = (lengths + 7) >> 3
+    seeds = odd_constants(2, 50)
+    if pieces.max() == 1:
+        at, left, place = starts, lengths, np.zeros(1, np.uint64)
+    else:
+        firsts = np.cumsum(pieces) - pieces
+        place = np.arange(pieces.sum()) - np.repeat(firsts, pieces)
+        at = np.repeat(starts, pieces) + 8 * place
+        left = np.minimum(np.repeat(ends, pieces) - at, 8)
+        place = place.astype(np.uint64)
+    values = eights[at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> ((8 - left) * 8).astype(np.uint64))
+    found = []
+    for seed in seeds:
+        scrambled = mixed(values ^ mixed((place + np.uint64(1)) * seed))
+        if pieces.max() > 1:
+            scrambled = np.add.reduceat(scrambled, firsts)
+        found.append(mixed(scrambled + lengths.astype(np.uint64) * seed))
+    return found[0], found[1]
+
+
 def tokenise(texts: list[str], lower: bool = False) -> Words:
     r"""Words `[^\x20\x09-\x0D]+` of the texts; `lower` folds A-Z to a-z first."""
     encoded = [text.encode("utf-8", "replace") for text in texts]
@@ -60,15 +107,11 @@ def tokenise(texts: list[str], lower: bool = False) -> Words:
     space = (data == 32) | ((data >= 9) & (data <= 13))
     edge = np.flatnonzero(np.diff(space.astype(np.int8), prepend=1, append=1))
     starts, ends = edge[0::2], edge[1::2]
-    up, down = power_tables(len(data))
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
-    hashes = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    hashes, others = word_hashes(data, starts, ends)
     text_ends = np.cumsum([len(e) + 1 for e in encoded]) if encoded else np.empty(0, np.int64)
     upto = np.searchsorted(starts, text_ends)
     counts = np.diff(upto, prepend=0)
-    return Words(data, starts, ends, hashes, counts, upto - counts)
+    return Words(data, starts, ends, hashes, others, counts, upto - counts)
 
 
 def window_hashes(hashes: np.ndarray, length: int, seed: int) -> np.ndarray:
@@ -86,17 +129,17 @@ def shingle_sets(texts: list[str], size: int = 5) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text, words folded to lower case.
 
     A text with fewer words than `size` has its whole sequence as one shingle; one
-    without words has none.
+    without words has none. A shingle's hash covers both hashes of its words.
     """
     words = tokenise(texts, lower=True)
-    windows = window_hashes(words.hashes, size, seed=5)
+    both = words.both
+    windows = window_hashes(both, size, seed=5)
     found = []
     for first, count in zip(words.firsts.tolist(), words.counts.tolist(), strict=True):
         if count >= size:
             found.append(np.unique(windows[first : first + count - size + 1]))
         elif count:
-            own = words.hashes[first : first + count]
-            found.append(window_hashes(own, count, seed=100 + count))
+            found.append(window_hashes(both[first : first + count], count, seed=100 + count))
         else:
             found.append(np.empty(0, np.uint64))
     return found
