@@ -5,11 +5,12 @@ words is one shingle). A document window of as many words as the item is compare
 with it by the weighted Jaccard similarity: shared occurrences over all occurrences.
 Documents shorter than an item are compared as a whole.
 
-Only windows that start at a shingle of some item of their size are looked at; this
+An item is compared with windows that start at one of its own shingles only; this
 loses nothing, as moving a window's start to its first shared shingle, or to the last place
 where the window fits, keeps every shared shingle inside. Their 256-bit SimHash
-fingerprints are looked up in 32 blocks of 8 bits, each with all values one bit
-away: by the pigeonhole principle that finds every item within 63 bits. Two
+fingerprints are compared by 32 blocks of 8 bits, each with all values one bit
+away: by the pigeonhole principle that finds every item within 63 bits. So wide a radius
+lets most fingerprints pass the blocks; that few pairs get there is due to the shingles. Two
 multisets of similarity 0.8 differ in 39 bits on average with a deviation of 6, so one in a
 hundred thousand is lost at the threshold and none in practice above it.
 Every candidate is verified on the exact multisets.
@@ -36,8 +37,9 @@ from wardlight.llm.words import mixed, odd_constants, tokenise, window_hashes
 SHINGLE = 5
 LEAST_SIMILARITY = 0.8
 BITS = 256
-BLOCK_BITS = 8
 RADIUS = 63
+#: Pairs whose fingerprints are compared at a time.
+PAIRS = 1 << 16
 #: Words of the benchmark that are sent to the tasks at a time, at most.
 BLOCK_WORDS = 200_000
 
@@ -76,7 +78,7 @@ class Items:
         words = tokenise(texts, lower=True)
         bounds = zip(words.firsts.tolist(), words.counts.tolist(), strict=True)
         self.ids = pa.array(ids, pa.int64())
-        self.shingles = [_shingles(words.hashes[f : f + c]) for f, c in bounds]
+        self.shingles = [_shingles(words.both[f : f + c]) for f, c in bounds]
         self.sizes = words.counts
         own = [np.unique(s) for s in self.shingles]
         self.keys = np.concatenate(own) if own else np.empty(0, np.uint64)
@@ -87,43 +89,48 @@ class Items:
         #: Sizes below a shingle, which are looked up as whole windows.
         self.short = sorted({int(s) for s in self.sizes if 0 < s < SHINGLE})
 
-    def table(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Items of this many words, their fingerprints, and (block, value) -> items within a bit."""
+    def table(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Items of this many words, in order, and their fingerprints."""
         if size not in self.tables:
             members = np.flatnonzero(self.sizes == size)
             prints = fingerprint(np.array([_signs(self.shingles[i]).sum(axis=0) for i in members]))
-            near = np.zeros((BITS // BLOCK_BITS, 1 << BLOCK_BITS, len(members)), bool)
-            for block in range(BITS // BLOCK_BITS):
-                for change in (0, *(1 << bit for bit in range(BLOCK_BITS))):
-                    near[block, prints[:, block] ^ change, np.arange(len(members))] = True
-            self.tables[size] = members, prints, near
+            self.tables[size] = members, prints
         return self.tables[size]
 
-    def matches(self, hashes: np.ndarray, least: float) -> list[tuple[int, float, int]]:
-        """(item, similarity, first word) of the best window per item, for one document's words."""
-        starts: dict[int, set[int]] = {}
+    def _pairs(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Items, and the places of one document's windows that start at a shingle of theirs."""
+        items, places = [], []
         for length in {min(SHINGLE, len(hashes)), *(n for n in self.short if n < len(hashes))}:
             shingles = window_hashes(hashes, length, seed=SHINGLE if length == SHINGLE else 100 + length)
             left = np.searchsorted(self.keys, shingles, side="left")
-            right = np.searchsorted(self.keys, shingles, side="right")
-            for hit in np.flatnonzero(right > left).tolist():
-                for size in {int(self.sizes[i]) for i in self.items[left[hit] : right[hit]].tolist()}:
-                    starts.setdefault(size, set()).add(max(min(hit, len(hashes) - size), 0))
+            held = np.searchsorted(self.keys, shingles, side="right") - left
+            hit = np.repeat(np.arange(len(shingles)), held)
+            spot = np.arange(len(hit)) - np.repeat(np.cumsum(held) - held, held) + np.repeat(left, held)
+            items.append(self.items[spot])
+            places.append(np.maximum(np.minimum(hit, len(hashes) - self.sizes[self.items[spot]]), 0))
+        pairs = np.unique(np.column_stack([np.concatenate(items), np.concatenate(places)]), axis=0)
+        return pairs[:, 0], pairs[:, 1]
+
+    def matches(self, hashes: np.ndarray, least: float) -> list[tuple[int, float, int]]:
+        """(item, similarity, first word) of the best window per item, for one document's words."""
+        items, places = self._pairs(hashes)
         best: dict[int, tuple[float, int]] = {}
-        for size, places in starts.items():
-            members, prints, near = self.table(size)
-            at = np.array(sorted(places))
-            windows = [_shingles(hashes[p : p + size]) for p in at]
+        for size in np.unique(self.sizes[items]).tolist():
+            members, prints = self.table(size)
+            mine = np.flatnonzero(self.sizes[items] == size)
+            at, which = np.unique(places[mine], return_inverse=True)
+            member = np.searchsorted(members, items[mine])
+            windows = [_shingles(hashes[p : p + size]) for p in at.tolist()]
             own = fingerprint(np.array([_signs(w).sum(axis=0) for w in windows]))
-            found = near[np.arange(own.shape[1]), own].any(axis=1)
-            for number, member in zip(*np.nonzero(found), strict=True):
-                apart = int(np.unpackbits(own[number] ^ prints[member]).sum())
-                if apart > RADIUS:
-                    continue
-                item = int(members[member])
-                value = similarity(windows[number], self.shingles[item])
-                if value >= least and value > best.get(item, (0.0, 0))[0]:
-                    best[item] = value, int(at[number])
+            for begin in range(0, len(mine), PAIRS):
+                part = slice(begin, begin + PAIRS)
+                apart = np.bitwise_count(own[which[part]] ^ prints[member[part]])
+                near = (apart <= 1).any(axis=1) & (apart.sum(axis=1, dtype=np.int64) <= RADIUS)
+                for pair in (begin + np.flatnonzero(near)).tolist():
+                    item = int(items[mine[pair]])
+                    value = similarity(windows[which[pair]], self.shingles[item])
+                    if value >= least and value > best.get(item, (0.0, 0))[0]:
+                        best[item] = value, int(at[which[pair]])
         return [(item, value, place) for item, (value, place) in sorted(best.items())]
 
 
@@ -136,14 +143,14 @@ def _search(items: Items, least: float):
             owner, found = [], []
             for start, end in text_blocks(texts):
                 words = tokenise(texts[start:end], lower=True)
-                windows = window_hashes(words.hashes, SHINGLE, seed=5)
+                windows = window_hashes(words.both, SHINGLE, seed=5)
                 known = np.cumsum(np.r_[0, np.isin(windows, items.keys)])
                 bounds = zip(words.firsts.tolist(), words.counts.tolist(), strict=True)
                 for number, (first, count) in enumerate(bounds):
                     whole = count >= SHINGLE and not items.short
                     if not count or whole and known[first + count - SHINGLE + 1] == known[first]:
                         continue  # no word, or no shingle of any item
-                    for match in items.matches(words.hashes[first : first + count], least):
+                    for match in items.matches(words.both[first : first + count], least):
                         owner.append(start + number)
                         found.append(match)
             yield pa.RecordBatch.from_arrays(
