@@ -1,11 +1,13 @@
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.helpers import group, make_encounters, make_raw
 from wardlight.fixed_values import MONTH_STATUS, PERIOD_STATUS
 from wardlight.operators import guarantee
 from wardlight.operators.normalize import normalize
+from wardlight.plans import pipeline
 
 
 def _month(year, month):
@@ -76,3 +78,48 @@ def test_period_status(spark, hits, status):
     row = guarantee.period_guarantee(frame, "Q1 2020").first()
     assert (row["period"], row["status"]) == ("Q1 2020", status)
     assert row["readmission_rate_30day_pct"] == float(hits)
+
+
+
+def test_states_of_batches_make_the_same_scorecard(spark):
+    """Patients in several batches and months, ids around the bitmaps' ends, unknown values and dates."""
+    ids = [1, 32768, 32769, -5, 0, 10**12, None, 1, 1]
+    rows = [
+        {
+            "patient_id": ids[i % len(ids)],
+            "admission_date": None if i % 17 == 0 else datetime.datetime(2020, 1 + i % 5, 1 + i % 28),
+            "time_in_hospital": None if i % 7 == 0 else i % 13,
+            "num_medications": i % 31,
+            "readmitted": ("<30", "NO", ">30", None)[i % 4],
+        }
+        for i in range(120)
+    ]
+    frame = make_encounters(spark, *rows)
+    parts = [guarantee.month_states(frame.where(f"encounter_id % 3 = {k}")) for k in range(3)]
+    states = guarantee.MonthStates(
+        parts[0].totals.unionByName(parts[1].totals).unionByName(parts[2].totals),
+        parts[0].patients.unionByName(parts[1].patients).unionByName(parts[2].patients),
+    )
+    for densify in (False, True):
+        expected = guarantee.monthly_scorecard(frame, densify=densify).collect()
+        assert guarantee.scorecard_of_states(states, densify=densify).collect() == expected
+    # Two months together: their union, not their sum.
+    two = frame.where("month(admission_date) IN (1, 2)")
+    union = guarantee.month_states(two).patients.groupBy("bucket").agg(F.bitmap_or_agg("bitmap").alias("b"))
+    assert union.agg(F.sum(F.bitmap_count("b"))).first()[0] == two.agg(F.countDistinct("patient_id")).first()[0]
+
+
+def test_a_refresh_writes_the_touched_months_and_two_rows_after_each(spark, tmp_path):
+    months = [(2020, m, 3) for m in range(1, 10)]
+    first = make_encounters(spark, *[{"admission_date": datetime.datetime(*d), "times": 3} for d in months])
+    more = make_encounters(spark, {"admission_date": datetime.datetime(2020, 3, 9), "readmitted": "<30", "patient_id": 8})
+    states, report = str(tmp_path / "states"), tmp_path / "report"
+    pipeline.refresh_scorecard(first, states, "a", str(report))
+    before = {f.name: {p.name for p in f.glob("part-*")} for f in report.glob("month=*")}
+    for _ in range(2):
+        pipeline.refresh_scorecard(more, states, "b", str(report))
+    after = {f.name: {p.name for p in f.glob("part-*")} for f in report.glob("month=*")}
+    assert {name for name in after if after[name] != before[name]} == {f"month=2020-0{m}" for m in (3, 4, 5)}
+    stored = spark.read.parquet(str(report)).drop("month")
+    expected = guarantee.monthly_scorecard(first.unionByName(more))
+    assert sorted(stored.collect()) == sorted(expected.collect())

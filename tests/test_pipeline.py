@@ -136,3 +136,44 @@ def test_encounters_of_a_quarter(spark):
     )
     kept = pipeline.in_quarter(frame, "Q2 2020").collect()
     assert sorted(row["encounter_id"] for row in kept) == [2, 3]
+
+
+def test_a_stopped_extract_run_goes_on(spark, small, tmp_path, monkeypatch, extract_run):
+    """Stopped after the fit: no second fit, nothing stored is written again, the same rows."""
+    out, fitted = extract_run
+    source, again = str(out.parent / "csv"), tmp_path / "out"
+    arguments = (spark, source, str(again), PERIOD, "fixture")
+
+    def stop(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as patched:
+        patched.setattr(pipeline.model, "patient_risk", stop)
+        with pytest.raises(KeyboardInterrupt):
+            pipeline.run_extract(*arguments)
+    stored = {file: file.stat().st_mtime_ns for file in again.rglob("part-*")}
+    assert (again / "risk_model").is_dir() and not (again / "model_metrics").exists()
+    with monkeypatch.context() as patched:
+        patched.setattr(pipeline.model, "fit_risk_model", stop)
+        patched.setattr(pipeline, "read_raw_csv", stop)
+        assert pipeline.run_extract(*arguments) == fitted
+    assert {file: file.stat().st_mtime_ns for file in stored} == stored
+    for name in ("patient_risk", "model_metrics", "classification_report"):
+        rows = spark.read.parquet(str(again / name)).collect()
+        assert sorted(rows, key=str) == sorted(spark.read.parquet(str(out / name)).collect(), key=str)
+    # Another period is another run.
+    other = pipeline.RunManifest(spark, str(again), "something else")
+    assert not other.done("normalized")
+
+
+def test_extract_run_counts_broken_rows(spark, small, tmp_path):
+    raw_encounters(spark, small).coalesce(1).write.csv(str(tmp_path / "csv"), header=True, nullValue="?")
+    (tmp_path / "csv" / "more.csv").write_text("age,encounter_id\n[0-10),5,6\n")
+    with pytest.raises(ValueError, match="admission_date"):
+        pipeline.run_extract(spark, str(tmp_path / "csv"), str(tmp_path / "out"), "Q1 1996", "fixture")
+    assert not (tmp_path / "out" / "normalized").exists()
+    pipeline.run_extract(spark, str(tmp_path / "csv"), str(tmp_path / "out"), PERIOD, "fixture")
+    n = raw_encounters(spark, small).count()
+    broken = spark.read.parquet(str(tmp_path / "out" / "dq_broken_rows")).first()
+    assert broken.asDict() == {"rows_read": n + 1, "rows_broken": 1, "rows_empty": 0}
+    assert spark.read.parquet(str(tmp_path / "out" / "normalized")).count() == n

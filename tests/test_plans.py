@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from oracle.compare import differences, open_tables
 from oracle.statements import oracle_statements
-from wardlight.operators import benchmarks, cohorts, descriptive, guarantee, quality
+from wardlight.operators import benchmarks, cohorts, descriptive, guarantee, one_row, quality
 from wardlight.operators.normalize import drop_incomplete
+from wardlight.plans import pipeline
 from wardlight.plans.order_encounters import build_encounters, encounters, table
 from wardlight.plans.registry import clean, normalized, registered_queries
 
@@ -158,3 +159,25 @@ def test_lookup_joins_are_left_to_the_size_of_the_dimension(spark, small):
     )
     report = benchmarks.disposition_impact(encounters(spark, small), dispositions)
     assert "Join" not in report._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_one_row_reports_are_one_scan(spark, small):
+    table_of = encounters(spark, small)
+    quarter = "Q2 1996"
+    parts = pipeline.one_row_parts(quarter, pipeline.admitted_in(quarter), ("O", "F"))
+    frame = pipeline.with_outcomes(table_of)
+    measured = one_row.all_measures(frame, parts)
+    measured.collect()
+    final = _plan(measured).split("== Initial Plan ==")[0]
+    assert final.count("FileScan") == 1 and "Expand" not in final
+    reports = one_row.together(frame, parts)
+    assert all("FileScan" not in _plan(report) for report in reports.values())
+    expected = {
+        **pipeline.finding_reports(table_of, quarter, ("O", "F")),
+        "dq_null_counts": quality.null_counts(table_of),
+        "kpi_summary": descriptive.kpi_summary(table_of),
+    }
+    assert len(reports) == 5
+    for name, report in reports.items():
+        assert report.columns == expected[name].columns
+        assert report.first() == pytest.approx(expected[name].first()), name

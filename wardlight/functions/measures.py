@@ -35,8 +35,12 @@ def rounded_pct(part: Column, whole: Column, digits: int = 2) -> Column:
 
 def rounded_mean(column: str, digits: int = 2) -> Column:
     """Mean of an integer column rounded half up, NULLs skipped."""
-    total, present = F.sum(column), F.count(column)
-    quotient = total.cast(_EXACT) / F.nullif(present, F.lit(0)).cast(_EXACT)
+    return rounded_ratio(F.sum(column), F.count(column), digits)
+
+
+def rounded_ratio(total: Column, rows: Column, digits: int = 2) -> Column:
+    """Quotient of two integers rounded half up; NULL when there is nothing to divide by."""
+    quotient = total.cast(_EXACT) / F.nullif(rows, F.lit(0)).cast(_EXACT)
     return F.round(quotient, digits).cast("double")
 
 

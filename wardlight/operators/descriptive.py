@@ -23,6 +23,7 @@ from wardlight.functions.measures import (
     rounded_mean,
     rounded_pct,
 )
+from wardlight.operators.one_row import OneRow, alone
 
 
 def _over_groups(total: Column) -> Column:
@@ -30,20 +31,25 @@ def _over_groups(total: Column) -> Column:
     return total.over(W.partitionBy())
 
 
+def kpi_summary_part() -> OneRow:
+    measures = {
+        "unique_patients": F.countDistinct("patient_id"),
+        "total_encounters": F.count("*"),
+        "avg_length_of_stay": rounded_mean("time_in_hospital"),
+        "avg_procedures_per_visit": rounded_mean("num_procedures"),
+        "avg_medications": rounded_mean("num_medications"),
+        "avg_lab_procedures": rounded_mean("num_lab_procedures"),
+        "readmissions_30day": readmissions_30d(),
+        "readmissions_after_30": outcome_count(READMITTED_AFTER_30),
+        "no_readmission": outcome_count(NOT_READMITTED),
+        "readmission_rate_30day_pct": rounded_pct(readmissions_30d(), F.count("*")),
+    }
+    return OneRow(measures, lambda row: row)
+
+
 def kpi_summary(encounters: DataFrame) -> DataFrame:
     """One row of headline figures over all encounters."""
-    return encounters.agg(
-        F.countDistinct("patient_id").alias("unique_patients"),
-        F.count("*").alias("total_encounters"),
-        rounded_mean("time_in_hospital").alias("avg_length_of_stay"),
-        rounded_mean("num_procedures").alias("avg_procedures_per_visit"),
-        rounded_mean("num_medications").alias("avg_medications"),
-        rounded_mean("num_lab_procedures").alias("avg_lab_procedures"),
-        readmissions_30d().alias("readmissions_30day"),
-        outcome_count(READMITTED_AFTER_30).alias("readmissions_after_30"),
-        outcome_count(NOT_READMITTED).alias("no_readmission"),
-        rounded_pct(readmissions_30d(), F.count("*")).alias("readmission_rate_30day_pct"),
-    )
+    return alone(encounters, kpi_summary_part())
 
 
 def kpi_list(clean: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardlight.functions.measures import rate_pct
+from wardlight.operators.one_row import OneRow, alone, value_within
 
 
 def _rate_where(condition: Column) -> Column:
@@ -20,14 +21,19 @@ def _with_ratio(rates: DataFrame, numerator: str, denominator: str) -> DataFrame
 
 def polypharmacy_ratio(clean: DataFrame, cutoff: int = 20) -> DataFrame:
     """How much higher the 30-day rate is from `cutoff` medications upwards."""
-    many = F.col("num_medications") >= cutoff
-    rates = clean.agg(
-        F.count_if(many).alias("polypharmacy_encounters"),
-        F.count_if(~many).alias("other_encounters"),
-        _rate_where(many).alias("polypharmacy_rate_pct"),
-        _rate_where(~many).alias("other_rate_pct"),
-    )
-    return _with_ratio(rates, "polypharmacy_rate_pct", "other_rate_pct")
+    return alone(clean, polypharmacy_part(cutoff))
+
+
+def polypharmacy_part(cutoff: int = 20, within: Column | None = None) -> OneRow:
+    """`polypharmacy_ratio` of the rows for which `within` holds."""
+    many = value_within("num_medications", within) >= cutoff
+    measures = {
+        "polypharmacy_encounters": F.count_if(many),
+        "other_encounters": F.count_if(~many),
+        "polypharmacy_rate_pct": _rate_where(many),
+        "other_rate_pct": _rate_where(~many),
+    }
+    return OneRow(measures, lambda row: _with_ratio(row, "polypharmacy_rate_pct", "other_rate_pct"))
 
 
 def top_diagnosis_share(clean: DataFrame, top: int = 5) -> DataFrame:
@@ -63,17 +69,26 @@ def disposition_ratio(encounters: DataFrame, disposition: str, compared_with: st
 
     Works on any frame with `discharge_disposition` and `readmitted_30d`.
     """
-    first = F.col("discharge_disposition") == disposition
-    second = F.col("discharge_disposition") == compared_with
-    rates = encounters.where(first | second).agg(
-        _rate_where(first).alias("rate_pct"), _rate_where(second).alias("compared_rate_pct")
-    )
-    return _with_ratio(rates, "rate_pct", "compared_rate_pct").select(
-        F.lit(disposition).alias("disposition"),
-        "rate_pct",
-        F.lit(compared_with).alias("compared_with"),
-        "compared_rate_pct",
-        "rate_ratio",
+    both = F.col("discharge_disposition").isin(disposition, compared_with)
+    return alone(encounters.where(both), disposition_part(disposition, compared_with))
+
+
+def disposition_part(disposition: str, compared_with: str, within: Column | None = None) -> OneRow:
+    """`disposition_ratio` of the rows for which `within` holds."""
+    value = value_within("discharge_disposition", within)
+    measures = {
+        "rate_pct": _rate_where(value == disposition),
+        "compared_rate_pct": _rate_where(value == compared_with),
+    }
+    return OneRow(
+        measures,
+        lambda row: _with_ratio(row, "rate_pct", "compared_rate_pct").select(
+            F.lit(disposition).alias("disposition"),
+            "rate_pct",
+            F.lit(compared_with).alias("compared_with"),
+            "compared_rate_pct",
+            "rate_ratio",
+        ),
     )
 
 

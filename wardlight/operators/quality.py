@@ -1,10 +1,11 @@
 """Data-quality checks run before any report."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlight.fixed_values import AGE_MAX, AGE_MIN
 from wardlight.functions.measures import rate_pct, readmissions_30d, rounded_pct
+from wardlight.operators.one_row import OneRow, alone
 
 _NULL_CHECKS = (
     ("null_patient_id", "patient_id"),
@@ -15,19 +16,18 @@ _NULL_CHECKS = (
 )
 
 
+def null_counts_part() -> OneRow:
+    counts = {name: F.sum(F.when(F.col(column).isNull(), 1)) for name, column in _NULL_CHECKS}
+    rate = rounded_pct(readmissions_30d(), F.count("*"))
+    return OneRow({"total_records": F.count("*"), **counts, "readmission_rate_pct": rate}, lambda row: row)
+
+
 def null_counts(encounters: DataFrame) -> DataFrame:
     """One row: records, NULLs per critical column, 30-day rate.
 
     A column without a single NULL reports NULL, not 0.
     """
-    counts = [
-        F.sum(F.when(F.col(column).isNull(), 1)).alias(name) for name, column in _NULL_CHECKS
-    ]
-    return encounters.agg(
-        F.count("*").alias("total_records"),
-        *counts,
-        rounded_pct(readmissions_30d(), F.count("*")).alias("readmission_rate_pct"),
-    )
+    return alone(encounters, null_counts_part())
 
 
 def implausible_ages(encounters: DataFrame) -> DataFrame:
@@ -71,6 +71,30 @@ def null_profile(df: DataFrame) -> DataFrame:
     )
 
 
+def row_check_counts() -> list[Column]:
+    """The aggregates of the checks that look at one row at a time; they can be observed during a write."""
+    return [
+        F.count("*").alias("total_rows"),
+        *[F.count_if(F.col(column).isNull()).alias(name) for name, column in _NULL_CHECKS],
+        F.count_if(~F.col("age").between(AGE_MIN, AGE_MAX)).alias("age_out_of_range"),
+    ]
+
+
+def surplus_copies(encounters: DataFrame) -> DataFrame:
+    """One row: all rows, and those that repeat an encounter number.
+
+    Reads the encounter number only, and ships one (id, count) per task and id.
+    """
+    return (
+        encounters.groupBy("encounter_id")
+        .agg(F.count("*").alias("copies"))
+        .agg(
+            F.coalesce(F.sum("copies"), F.lit(0)).alias("total_rows"),
+            F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("surplus_copies"),
+        )
+    )
+
+
 def scorecard(
     encounters: DataFrame,
     max_null_pct: float = 5.0,
@@ -83,14 +107,26 @@ def scorecard(
     ages and surplus copies of an encounter against `max_failed_pct`; and the
     number of critical columns above their null threshold, which must be zero.
     """
-    thresholds = {column: max_null_pct for _, column in _NULL_CHECKS}
-    thresholds.update(max_null_pct_by_column or {})
+    counts = encounters.agg(*row_check_counts())
+    return _judged(counts, surplus_copies(encounters), max_null_pct, max_null_pct_by_column, max_failed_pct)
 
-    row_checks = encounters.agg(
-        F.count("*").alias("total_rows"),
-        *[F.count_if(F.col(column).isNull()).alias(name) for name, column in _NULL_CHECKS],
-        F.count_if(~F.col("age").between(AGE_MIN, AGE_MAX)).alias("age_out_of_range"),
-    )
+
+def scorecard_of_counts(
+    counts: DataFrame,
+    max_null_pct: float = 5.0,
+    max_null_pct_by_column: dict | None = None,
+    max_failed_pct: float = 0.0,
+) -> DataFrame:
+    """The scorecard from one row that holds the counts and `surplus_copies`, as a stored table keeps them."""
+    copies = counts.select("total_rows", "surplus_copies")
+    return _judged(counts, copies, max_null_pct, max_null_pct_by_column, max_failed_pct)
+
+
+def _judged(
+    row_checks: DataFrame, copies: DataFrame, max_null_pct: float, by_column: dict | None, max_failed_pct: float
+) -> DataFrame:
+    thresholds = {column: max_null_pct for _, column in _NULL_CHECKS}
+    thresholds.update(by_column or {})
     over_threshold = sum(
         (
             F.coalesce(
@@ -107,15 +143,8 @@ def scorecard(
         "check_name",
         "failed",
     )
-    # Reads the encounter number only, and ships one (id, count) per task and id.
-    copies = (
-        encounters.groupBy("encounter_id")
-        .agg(F.count("*").alias("copies"))
-        .agg(
-            F.coalesce(F.sum("copies"), F.lit(0)).alias("total_rows"),
-            F.lit("duplicate_encounters").alias("check_name"),
-            F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("failed"),
-        )
+    copies = copies.select(
+        "total_rows", F.lit("duplicate_encounters").alias("check_name"), F.col("surplus_copies").alias("failed")
     )
     limit = F.lit(float(max_failed_pct))
     for name, column in _NULL_CHECKS:

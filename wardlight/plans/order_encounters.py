@@ -17,7 +17,7 @@ from wardlight.fixed_values import (
     READMITTED_WITHIN_30,
 )
 from wardlight.schema import ENCOUNTER_SCHEMA
-from wardlight.sources.shared import shared_table
+from wardlight.sources.shared import shared_files, shared_table
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -180,3 +180,61 @@ def raw_encounters(spark: SparkSession, folder: str) -> DataFrame:
         "diabetesMed",
         F.when(_every(79), missing).otherwise(F.col("readmitted")).alias("readmitted"),
     )
+
+
+#: Kinds of files of the written extract: two column orders, and one with notes over several lines.
+_PLAIN, _REVERSED, _WITH_NOTES = range(3)
+
+
+def _quoted(value: Column) -> Column:
+    doubled = F.replace(value, F.lit('"'), F.lit('""'))
+    return F.concat(F.lit('"'), doubled, F.lit('"'))
+
+
+def extract_files(spark: SparkSession, folder: str) -> str:
+    """The raw extract as CSV files, written once per application; returns their folder.
+
+    A third of the files has the columns in reverse, a third an extra column whose quoted
+    notes hold quotes and line ends. Every 89th row of the others is broken: it lacks its last
+    field or has one too many. Missing values are written as the marker.
+    """
+
+    def write(path: str) -> None:
+        raw = raw_text_encounters(spark, folder)
+        marker = F.lit(MISSING_MARKER)
+        fields = {name: _quoted(F.coalesce(F.col(name), marker)) for name in raw.columns}
+        note = _quoted(F.concat(F.lit('seen "twice",\non day '), F.col("time_in_hospital")))
+        orders = [list(fields), list(fields)[::-1], [*fields, "note"]]
+        kind = (F.col("encounter_id").cast("long") % 3).cast("int")
+        lines = [
+            F.concat_ws(",", *[fields.get(name, F.coalesce(note, marker)) for name in names]) for names in orders
+        ]
+        short = F.concat_ws(",", *[fields[name] for name in list(fields)[:-1]])
+        line = (
+            F.when(kind == _WITH_NOTES, lines[_WITH_NOTES])
+            .when(_every(178), F.concat(lines[_PLAIN], F.lit(",1")))
+            .when(_every(89), short)
+            .when(kind == _REVERSED, lines[_REVERSED])
+            .otherwise(lines[_PLAIN])
+        )
+        # A task writes a file per kind; its header sorts before its rows.
+        files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        place = F.pmod(F.hash("encounter_id"), F.lit(files)) * 3 + kind
+        rows = raw.select(place.alias("part"), F.lit(1).alias("rank"), line.alias("value"))
+        headers = F.array(*[F.lit(",".join(names)) for names in orders])
+        heads = spark.range(3 * files).select(
+            F.col("id").cast("int").alias("part"),
+            F.lit(0).alias("rank"),
+            F.get(headers, (F.col("id") % 3).cast("int")).alias("value"),
+        )
+        (
+            rows.unionByName(heads)
+            .repartition("part")
+            .sortWithinPartitions("part", "rank")
+            .select("part", "value")
+            .write.mode("overwrite")
+            .partitionBy("part")
+            .text(path)
+        )
+
+    return shared_files(spark, "extract", folder, write)

@@ -19,13 +19,15 @@ from wardlight.operators import (
 from wardlight.plans.order_encounters import (
     encounters,
     encounters_with_defects,
+    extract_files,
     raw_encounters,
     raw_text_encounters,
     table,
 )
-from wardlight.plans.pipeline import finding_reports
+from wardlight.plans.pipeline import finding_reports, refresh_scorecard, store_encounters, stored_scorecard
 from wardlight.schema import canonicalize, unreadable_mask, unreadable_values
-from wardlight.sources.shared import build_lock, source_state
+from wardlight.sources.encounters import broken_rows, read_raw_csv, whole_rows
+from wardlight.sources.shared import build_lock, shared_files, shared_table, source_state
 
 # The key of the test tables' tokens; not a secret.
 TOKEN_SECRET = "fixture"
@@ -53,6 +55,39 @@ def _unreadable_values(spark: SparkSession, folder: str) -> DataFrame:
     return unreadable_values(canonicalize(raw, unreadable_mask(raw).alias("unreadable")))
 
 
+def _csv_extract(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole rows of the CSV extract, normalized."""
+    raw = whole_rows(read_raw_csv(spark, extract_files(spark, folder)))
+    return _with_doubles(normalize.normalize(raw), "num_medications")
+
+
+def _csv_broken_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return broken_rows(read_raw_csv(spark, extract_files(spark, folder)))
+
+
+def _stored_scorecard(spark: SparkSession, folder: str) -> DataFrame:
+    """The checks of a table that was counted while it was written."""
+    path = shared_files(
+        spark, "checked_encounters", folder, lambda path: store_encounters(encounters_with_defects(spark, folder), path)
+    )
+    return stored_scorecard(spark, path, max_null_pct_by_column={"readmitted": 1.0})
+
+
+def _monthly_refresh(spark: SparkSession, folder: str) -> DataFrame:
+    """The scorecard written for all months but the last five, then refreshed with these and more of an older one."""
+    late = F.col("admission_date") >= F.lit("1998-04-01").cast("timestamp_ntz")
+    reopened = F.trunc(F.col("admission_date").cast("date"), "month") == F.lit("1995-06-01").cast("date")
+    new = F.coalesce(late | (reopened & (F.col("encounter_id") % 2 == 0)), F.lit(False))
+
+    def write(path: str) -> None:
+        table = encounters(spark, folder)
+        refresh_scorecard(table.where(~new), f"{path}/states", "first", f"{path}/scorecard")
+        for _ in range(2):  # the second time changes nothing
+            refresh_scorecard(table.where(new), f"{path}/states", "second", f"{path}/scorecard")
+
+    return spark.read.parquet(f"{shared_files(spark, 'monthly_refresh', folder, write)}/scorecard").drop("month")
+
+
 def _quarter_guarantee(spark: SparkSession, folder: str) -> DataFrame:
     quarter = "Q2 1996"
     return finding_reports(encounters(spark, folder), quarter)["period_guarantee"]
@@ -65,10 +100,15 @@ def flagged(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def model_frame(spark: SparkSession, folder: str) -> DataFrame:
+    """The narrow rows of the model, stored once: the split, the fit and all scores read them."""
+    return shared_table(spark, "model_frame", folder, lambda: features.model_frame(clean(spark, folder)))
+
+
 def split_frame(spark: SparkSession, folder: str) -> DataFrame:
     """Model rows with their side; the split is decided once per application."""
     key = (spark.conf.get("spark.app.id", "application"), source_state(spark, folder))
-    frame = features.model_frame(clean(spark, folder))
+    frame = model_frame(spark, folder)
     with build_lock:
         if key not in _limits:
             _limits[key] = features.split_limits(frame)
@@ -98,11 +138,15 @@ def _on(frame: Callable, report: Callable, **options) -> Callable[[SparkSession,
     return lambda spark, folder: report(frame(spark, folder), **options)
 
 
+def _with_doubles(frame: DataFrame, *more: str) -> DataFrame:
+    """Numbers that can be unknown as doubles."""
+    names = ("age_numeric", "time_in_hospital", *more)
+    return frame.withColumns({name: F.col(name).cast("double") for name in names})
+
+
 def _norm_encounters(spark: SparkSession, folder: str) -> DataFrame:
     """The normalized frame; numbers that can be unknown show as doubles."""
-    return normalize_raw(spark, folder).withColumns(
-        {name: F.col(name).cast("double") for name in ("age_numeric", "time_in_hospital")}
-    )
+    return _with_doubles(normalize_raw(spark, folder))
 
 
 def _disposition_impact(spark: SparkSession, folder: str) -> DataFrame:
@@ -155,10 +199,13 @@ def registered_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dq_age_out_of_range": _on(encounters_with_defects, quality.implausible_ages),
         "dq_duplicate_encounters": _on(encounters_with_defects, quality.duplicate_encounters),
         "dq_unreadable_values": _unreadable_values,
+        "csv_extract": _csv_extract,
+        "dq_broken_rows": _csv_broken_rows,
         "dq_null_profile": _on(normalized, quality.null_profile),
         "dq_scorecard": _on(
             encounters_with_defects, quality.scorecard, max_null_pct_by_column={"readmitted": 1.0}
         ),
+        "dq_scorecard_stored": _stored_scorecard,
         # Normalization
         "norm_encounters": _norm_encounters,
         "norm_drop_critical": _on(normalized, normalize.drop_summary),
@@ -182,7 +229,7 @@ def registered_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "specialty_source_benchmark": _specialty_source_benchmark,
         # Features and model
         "model_features": _on(encounters, features.model_features),
-        "model_frame": lambda spark, folder: features.model_frame(clean(spark, folder)),
+        "model_frame": model_frame,
         "split_strata": _split_strata,
         "scaler_stats": _scaler_stats,
         "lr_coefficients": _lr_coefficients,
@@ -193,6 +240,7 @@ def registered_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "risk_drivers": _risk_drivers,
         # Contract reports and findings
         "monthly_scorecard": _on(encounters, guarantee.monthly_scorecard),
+        "monthly_refresh": _monthly_refresh,
         "period_guarantee": _on(clean, guarantee.period_guarantee, period="all admissions"),
         "quarter_guarantee": _quarter_guarantee,
         "polypharmacy_ratio": _on(clean, findings.polypharmacy_ratio),

@@ -58,6 +58,27 @@ def release(spark: SparkSession) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _path(spark: SparkSession, folder: str, name: str, source: str) -> str:
+    application = spark.conf.get("spark.app.id", "application")
+    digest = hashlib.sha256(source.encode()).hexdigest()[:16]
+    return f"{folder}/wardlight/{application}/{name}-{digest}"
+
+
+def shared_files(spark: SparkSession, name: str, source: str, write: Callable[[str], None]) -> str:
+    """The path of the files `name` derived from `source`; `write` puts them there on first use."""
+    folder = shared_folder(spark)
+    if folder is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    source = source_state(spark, source)
+    key = (folder, spark.conf.get("spark.app.id", "application"), name, source)
+    with build_lock:
+        if key not in _written:
+            path = _path(spark, folder, name, source)
+            write(path)
+            _written[key] = (path, None)
+        return _written[key][0]
+
+
 def shared_table(
     spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame]
 ) -> DataFrame:
@@ -79,8 +100,7 @@ def shared_table(
             except AnalysisException:
                 # Someone cleaned the folder up; write the table again.
                 del _written[key]
-        digest = hashlib.sha256(source.encode()).hexdigest()[:16]
-        path = f"{folder}/wardlight/{application}/{name}-{digest}"
+        path = _path(spark, folder, name, source)
         table = build()
         table.write.mode("overwrite").parquet(path)
         _written[key] = (path, table.schema)
