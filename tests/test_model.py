@@ -216,7 +216,36 @@ def test_area_of_more_pairs_than_a_long_counts(spark):
 def test_fit_that_runs_out_of_steps_is_an_error(split):
     train = split.where("is_test = 0").selectExpr("cast(readmitted_30d AS double) AS y", "cast(age_numeric AS double) / 10 AS z1")
     with pytest.raises(model.NotConverged):
-        model._refine(train, ["z1"], np.array([3.0, -2.0]), 1.0, 1)
+        model._newton(train, ["z1"], train.count(), 1.0, 1)
+
+
+def test_a_step_of_the_fit_is_one_scan_and_one_small_matrix(spark):
+    rows = spark.range(4000).selectExpr("cast(id % 3 = 0 AS double) AS y", "id % 7 / 7D AS z1", "id % 11 / 11D - z1 AS z2")
+    weights = np.array([0.2, -1.5, 0.7])
+    spark.sparkContext.setJobGroup("step", "")
+    loss, gradient, curvature = model._loss_terms(rows, ["z1", "z2"], weights, 0.5)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("step"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    x = np.array([[1.0, r["z1"], r["z2"]] for r in rows.collect()])
+    y = np.array([r["y"] for r in rows.collect()])
+    m = x @ weights
+    p = 1 / (1 + np.exp(-m))
+    ridge = np.array([0.0, 0.5, 0.5])
+    assert loss == pytest.approx((np.log1p(np.exp(m)) - y * m).sum() + 0.5 * ridge @ weights**2, rel=1e-12)
+    assert gradient == pytest.approx(x.T @ (y - p) - ridge * weights, rel=1e-9)
+    assert curvature == pytest.approx((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), rel=1e-9)
+    assert jobs <= 2  # the first row for its length, then the sums
+
+
+def test_outcomes_that_the_features_nearly_separate(spark):
+    """Probabilities next to 0 and 1 leave the fit finite and at its optimum."""
+    rows = [(float(i > 50), float(i) * (1000 if i == 99 else 1), 0) for i in range(100)]
+    frame = spark.createDataFrame(rows, "readmitted_30d double, f double, is_test int")
+    fitted = model.fit_risk_model(frame, features=("f",), inverse_penalty=1e6, max_iterations=60)
+    z = np.array([(r[1] - fitted.means[0]) / fitted.scales[0] for r in rows])
+    p = 1 / (1 + np.exp(-(fitted.intercept + fitted.coefficients[0] * z)))
+    y = np.array([r[0] for r in rows])
+    assert abs((y - p).sum()) < 1e-6 and abs(((y - p) * z).sum() - 1e-6 * fitted.coefficients[0]) < 1e-6
 
 
 def test_metrics_without_both_outcomes_or_rows(spark):

@@ -4,9 +4,9 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,12 +25,13 @@ from wardlight.operators.features import scaler_stats
 # A Newton step this small leaves an error in the order of its square.
 _REFINED = 1e-5
 
-# Spark generates code for aggregates of up to 100 columns
-# (spark.sql.codegen.maxFields); wider ones are several times slower.
-_AGGREGATE_WIDTH = 60
 _MAX_HALVINGS = 30
 _NO_GAIN = 1e-13
-_TOLERANCE = 1e-10
+_LEAST_WEIGHT = 1e-24
+_SCORE_BINS = 1 << 16
+
+# Loss of a row with outcome y and linear predictor m, without overflow.
+_ROW_LOSS = "greatest(m, 0D) + log1p(exp(-abs(m))) - y * m"
 
 
 class NotConverged(Exception):
@@ -97,11 +98,10 @@ def fit_risk_model(
 ) -> RiskModel:
     """Fit on the training side of a split frame.
 
-    An L2 penalty of `inverse_penalty` C on the summed loss is 1 / (C * rows) on
-    Spark's mean loss. The features are standardized here, with the population
-    deviation, so Spark must not do it again. The driver sees one row of scaling
-    statistics and one gradient per iteration. `split` is read twice, for the
-    scaling and to keep the narrow scaled frame that all steps of the fit read.
+    The summed loss carries an L2 penalty of 1 / C for the `inverse_penalty` C, the intercept
+    none. The features are standardized with the population deviation. The driver sees
+    one row of scaling statistics and one small matrix per step. `split` is read twice, for
+    the scaling and to keep the narrow scaled frame that all steps of the fit read.
     Raises NotConverged rather than returning weights short of the optimum.
     """
     stats = {row["feature"]: row for row in scaler_stats(split, features).collect()}
@@ -122,20 +122,7 @@ def fit_risk_model(
     )
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        assembled = VectorAssembler(inputCols=names, outputCol="features").transform(train)
-        fitted = LogisticRegression(
-            featuresCol="features",
-            labelCol="y",
-            regParam=1.0 / (inverse_penalty * train_rows),
-            elasticNetParam=0.0,
-            standardization=False,
-            maxIter=max_iterations,
-            tol=_TOLERANCE,
-        ).fit(assembled.select("features", "y"))
-        if math.isinf(fitted.intercept):
-            raise ValueError("the training rows have a single outcome")
-        start = np.array([fitted.intercept, *fitted.coefficients.toArray()])
-        weights = _refine(train, names, start, 1.0 / inverse_penalty, max_iterations)
+        weights = _newton(train, names, train_rows, 1.0 / inverse_penalty, max_iterations)
     finally:
         train.unpersist()
     return RiskModel(
@@ -147,65 +134,57 @@ def fit_risk_model(
     )
 
 
-def _refine(
-    train: DataFrame, names: list, weights: np.ndarray, penalty: float, max_steps: int
-) -> np.ndarray:
-    """Newton steps from a solution that is nearly there.
+def _newton(train: DataFrame, names: list, rows: int, penalty: float, max_steps: int) -> np.ndarray:
+    """Newton steps from the weights that predict the share of readmissions for every row.
 
-    L-BFGS compares losses and cannot tell apart weights that differ by less than
-    about 1e-8, so where it stops depends on how the rows are partitioned; with
-    outliers it can stop well before the optimum. A Newton step squares the
-    distance that is left, so as a rule the first one, one aggregate, is enough.
-    A step that does not lower the loss is halved until it does; a trial computes
-    the loss alone.
+    The loss is convex and a step squares the distance that is left, so a handful is enough,
+    and where it ends does not depend on how the rows are partitioned. Every step is one
+    scan, which gives the loss, its gradient and its curvature at the weights tried. A step
+    that does not lower the loss is halved until it does.
     """
+    hits = train.agg(F.sum("y")).first()[0]
+    if not 0 < hits < rows:
+        raise ValueError("the training rows have a single outcome")
+    weights = np.zeros(len(names) + 1)
+    weights[0] = math.log(hits / (rows - hits))
+    loss, gradient, curvature = _loss_terms(train, names, weights, penalty)
     for _ in range(max_steps):
-        loss, gradient, curvature = _loss_terms(train, names, weights, penalty)
         step = np.linalg.solve(curvature, gradient)
         # Half of this product is what the step should gain.
         if np.abs(step).max() < _REFINED or gradient @ step < _NO_GAIN * loss:
             return weights + step
         for halvings in range(_MAX_HALVINGS):
             tried = weights + step / 2**halvings
-            if _loss(train, names, tried, penalty) < loss:
-                weights = tried
+            terms = _loss_terms(train, names, tried, penalty)
+            if terms[0] < loss:
+                weights, (loss, gradient, curvature) = tried, terms
                 break
         else:
             raise NotConverged("no step along the Newton direction lowers the loss")
     raise NotConverged(f"the fit has not converged after {max_steps} Newton steps")
 
 
-_ROW_LOSS = "sum(greatest(m, 0D) + log1p(exp(-abs(m))) - y * m)"
-
-
-def _loss(train: DataFrame, names: list, weights: np.ndarray, penalty: float) -> float:
-    """Penalized loss at the weights."""
-    row = train.selectExpr("y", f"{_linear(names, weights)} AS m").selectExpr(_ROW_LOSS).first()
-    return row[0] + 0.5 * penalty * float(weights[1:] @ weights[1:])
-
-
 def _loss_terms(train: DataFrame, names: list, weights: np.ndarray, penalty: float) -> tuple:
-    """Penalized loss, its negative gradient and its curvature at the weights."""
-    inputs = ["1D", *names]
-    size = len(inputs)
-    upper = [(i, j) for i in range(size) for j in range(i, size)]
+    """Penalized loss, its negative gradient and its curvature at the weights, from one scan.
+
+    With the row vectors (w * x, (y - p) / w, sqrt(loss)) where w * w = p * (1 - p), the
+    curvature is the Gramian of the first part, the gradient its products with the
+    second, and the loss the square of the last. MLlib adds up the upper triangle of all
+    products in blocks, in the JVM. Where w is next to nothing, a floor keeps the
+    quotient finite; it cancels out of the gradient.
+    """
     linear = _linear(names, weights)
-    rated = train.selectExpr("*", f"{linear} AS m", f"{_logistic(linear)} AS p")
-    measures = [_ROW_LOSS]
-    measures += [f"sum((y - p) * {x})" for x in inputs]
-    measures += [f"sum(p * (1 - p) * {inputs[i]} * {inputs[j]})" for i, j in upper]
-    sums = []
-    for start in range(0, len(measures), _AGGREGATE_WIDTH):
-        sums += rated.selectExpr(*measures[start : start + _AGGREGATE_WIDTH]).first()
+    rated = train.selectExpr("*", f"{linear} AS m", f"{_logistic(linear)} AS p").selectExpr(
+        "*", f"sqrt(greatest(p * (1 - p), {_LEAST_WEIGHT!r}D)) AS w"
+    )
+    parts = ["w", *[f"w * {name}" for name in names], "(y - p) / w", f"sqrt(greatest({_ROW_LOSS}, 0D))"]
+    rows = rated.select(array_to_vector(F.array(*map(F.expr, parts))).alias("row"))
+    gramian = RowMatrix(MLUtils.convertVectorColumnsFromML(rows, "row")).computeGramianMatrix().toArray()
+    size = len(names) + 1
     ridge = np.array([0.0] + [penalty] * (size - 1))
-    loss = sums[0] + 0.5 * float(ridge @ weights**2)
-    gradient = np.array(sums[1 : size + 1]) - ridge * weights
-    curvature = np.diag(ridge)
-    for (i, j), value in zip(upper, sums[size + 1 :]):
-        curvature[i, j] += value
-        if i != j:
-            curvature[j, i] += value
-    return loss, gradient, curvature
+    loss = gramian[size + 1, size + 1] + 0.5 * float(ridge @ weights**2)
+    gradient = gramian[:size, size] - ridge * weights
+    return loss, gradient, gramian[:size, :size] + np.diag(ridge)
 
 
 def score(model: RiskModel, frame: DataFrame) -> DataFrame:
@@ -250,24 +229,38 @@ def patient_risk(scored: DataFrame, secret: str) -> DataFrame:
 def model_metrics(scored_test: DataFrame, target: str = MODEL_TARGET) -> DataFrame:
     """Exact ROC-AUC, accuracy and size of the test side.
 
-    The area under every distinct score, ties counting half; NULL when the test side
-    has a single outcome. It is computed when the report is built.
+    The area under every distinct score, ties counting half; NULL when the test side has a
+    single outcome. Rows are counted by score first. A bin of scores then knows its share of
+    pairs in the right order, and the bins, at most `_SCORE_BINS`, are put in order at the end.
     """
     known = scored_test.where(F.col(target).isin(0, 1) & F.col("risk_probability").isNotNull())
-    counted = known.agg(
-        F.count("*").alias("test_records"),
+    by_score = known.groupBy("risk_probability").agg(
+        F.count_if(F.col(target) == 1).cast("double").alias("hits"),
+        F.count_if(F.col(target) == 0).cast("double").alias("others"),
         F.count_if(F.col("predicted_readmit") == F.col(target)).alias("correct"),
+        F.count("*").alias("rows"),
     )
-    area = F.lit(None).cast("double")
-    if known.select(target).distinct().count() == 2:
-        evaluator = BinaryClassificationEvaluator(
-            rawPredictionCol="risk_probability", labelCol=target, metricName="areaUnderROC", numBins=0
-        )
-        area = F.lit(evaluator.evaluate(known))
-    return counted.select(
+    bin_of = F.floor(F.col("risk_probability") * _SCORE_BINS).alias("bin")
+
+    def below(order):
+        lower = F.sum("others").over(order.rowsBetween(W.unboundedPreceding, -1))
+        return F.coalesce(lower, F.lit(0.0))
+
+    in_bin = by_score.select("*", bin_of).withColumn(
+        "ordered", F.col("hits") * (below(W.partitionBy("bin").orderBy("risk_probability")) + F.col("others") / 2)
+    )
+    bins = in_bin.groupBy("bin").agg(
+        *[F.sum(name).alias(name) for name in ("ordered", "hits", "others", "correct", "rows")]
+    )
+    total = bins.withColumn("ordered", F.col("ordered") + F.col("hits") * below(W.orderBy("bin"))).agg(
+        *[F.sum(name).alias(name) for name in ("ordered", "hits", "others")],
+        *[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in ("correct", "rows")],
+    )
+    area = F.col("ordered") / F.nullif(F.col("hits") * F.col("others"), F.lit(0.0))
+    return total.select(
         F.round(area, 6).alias("roc_auc"),
-        "test_records",
-        (F.col("correct").cast("double") / F.nullif(F.col("test_records"), F.lit(0))).alias("accuracy"),
+        F.col("rows").alias("test_records"),
+        (F.col("correct").cast("double") / F.nullif(F.col("rows"), F.lit(0))).alias("accuracy"),
     )
 
 
