@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from wardlight.llm import minhash, recompression, suffix_dedup
+from wardlight.llm import decontamination, minhash, recompression, suffix_dedup
+from wardlight.llm.words import tokenise
 
 
 def test_groups(make_docs, tangled):
@@ -95,3 +96,78 @@ def test_empty_table_and_repeated_rows(make_docs, operator):
     assert operator(make_docs({})).count() == 0
     twice = operator(make_docs([(1, "a b c"), (1, "a b c"), (None, "a b c"), (2, None)])).collect()
     assert len(twice) == 4
+
+
+def _thue_morse():
+    """Two words of 1024 bytes that any polynomial hash modulo 2^64 confuses."""
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_made_to_collide(spark, make_docs):
+    a, b = _thue_morse()
+    common = [f"w{i}" for i in range(12)]
+    texts = {
+        1: a,
+        2: b,
+        3: " ".join([a, *common]),
+        4: " ".join([b, *common]),
+        5: " ".join([*common[:6], a, *common[6:], "end"]),
+        6: " ".join([*common[:6], b, *common[6:], "end"]),
+    }
+    rows = minhash.groups(make_docs(texts)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute.near_duplicates(texts)
+    assert {r.doc_id for r in rows if r.component_id == r.doc_id} >= {1, 2}
+    check_words(make_docs(texts), texts, 13)
+    items = spark.createDataFrame([(1, texts[5])], "item_id long, text string")
+    found = decontamination.leaks(make_docs(texts), items).collect()
+    assert {(r.doc_id, r.item_id): r.similarity for r in found} == pytest.approx(brute.leaks(texts, {1: texts[5]}))
+
+
+def test_hashes_of_words(tangled):
+    """Equal for equal words wherever they stand, distinct otherwise, both of them."""
+    known = {}
+    for text in [*tangled.values(), "x" * 7, "x" * 8, "x" * 9, "xxxxxxxx\x00", "\x00", "\x00\x00", "é" * 4, "é" * 5]:
+        own = tokenise([text or "", f"  pad {text or ''}\n"])
+        for word, *hashes in zip(brute.words(text) * 2, [*own.hashes[: own.counts[0]], *own.hashes[own.counts[0] + 1 :]],
+                                 [*own.others[: own.counts[0]], *own.others[own.counts[0] + 1 :]], strict=True):
+            assert known.setdefault(word, hashes) == hashes
+    for side in zip(*known.values(), strict=True):
+        assert len(set(side)) == len(known) > 300
+
+
+PASSAGE = [f"shared{i}" for i in range(30)]
+
+
+def _repeated_ids(short):
+    """Ids 1, 2, 2, 3, 3, null: the first two share a passage; the second text of 2 is short or long."""
+    other = "alpha beta" if short else " ".join(f"own{i}" for i in range(60))
+    return [
+        (1, " ".join(["one", *PASSAGE, "two"])),
+        (2, " ".join(["alpha", *PASSAGE, "beta"])),
+        (2, other),
+        (3, " ".join(["x", *PASSAGE])),
+        (3, " ".join(["x", *PASSAGE])),
+        (3, None),
+        (None, " ".join(PASSAGE)),
+    ]
+
+
+@pytest.mark.parametrize("short", [True, False])
+def test_texts_that_share_an_id_are_documents_of_their_own(make_docs, short):
+    rows = _repeated_ids(short)
+    removed = recompression.remove_repeats(make_docs(rows)).collect()
+    left = [(r.doc_id or 0, r.n_words, r.n_removed, r.kept_text or "") for r in removed]
+    long = len(rows[2][1].split())
+    assert sorted(left) == sorted(
+        [(0, 30, 0, ""), (1, 32, 0, ""), (2, 32, 30, "alpha beta"), (2, long, 0, ""), (3, 0, 0, "")]
+        + [(3, 31, 30, "x")] * 2
+    )
+    spans = suffix_dedup.remove_repeats(make_docs(rows)).collect()
+    passage = len(" " + " ".join(PASSAGE))
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in spans) == sorted(
+        (d or 0, len((t or "").encode()), 0 if d in (None, 1) or t == rows[2][1] or not t else passage + (d == 2))
+        for d, t in rows
+    )

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Characters that separate words, as a Java character class.
@@ -97,3 +97,63 @@ def in_several(keys: DataFrame) -> DataFrame:
     """
     shared = stored(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared-keys")
     return keys.join(shared, "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+
+
+def placed(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """The rows (group, ...), stored, with their `place` in their group by the order and the group's size `n`.
+
+    The order begins with the group. Places come from a range partitioning and from counts of
+    rows by partition, so no group is sorted by one task.
+    """
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = stored(
+        dealt.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")),
+        "placed",
+    )
+    # A row for each part of each group: as many as parts and groups together.
+    parts = dealt.groupBy("group", "part").agg(F.count("*").alias("rows"), F.min("at").alias("first_at"))
+    before = Window.partitionBy("group").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(
+        "group",
+        "part",
+        (F.coalesce(F.sum("rows").over(before), F.lit(0)) - F.col("first_at")).alias("shift"),
+        F.sum("rows").over(Window.partitionBy("group")).alias("n"),
+    )
+    return dealt.join(parts, ["group", "part"]).withColumn("place", F.col("at") + F.col("shift")).drop("part", "at", "shift")
+
+
+def told_apart(docs: DataFrame, name: str) -> tuple[DataFrame, DataFrame | None]:
+    """The rows (doc_id, text, ...) with a number `name` that follows the ids and differs from text to text.
+
+    It is the id itself as long as no id occurs twice, which a count of the ids shows. Else it is
+    the place of (id, text) among the distinct ones, null texts counting as empty, and the
+    second frame has the ids (name, doc_id) of the numbers. Rows without an id have no number.
+    """
+    ids = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("rows"))
+    if ids.where("rows > 1").isEmpty():
+        return docs.withColumn(name, F.col("doc_id")), None
+    digest = F.sha2(F.coalesce(F.col("text").cast("string").cast("binary"), F.lit(b"")), 256)
+    keyed = docs.withColumn("__text_digest", digest)
+    pairs = keyed.where(F.col("doc_id").isNotNull()).groupBy("doc_id", "__text_digest").agg(F.lit(0).alias("group"))
+    order = [F.col("group"), F.col("doc_id"), F.col("__text_digest")]
+    places = stored(
+        placed(pairs, order).select(
+            F.col("doc_id").alias("__id"), F.col("__text_digest").alias("__digest"), F.col("place").alias(name)
+        ),
+        "text-numbers",
+    )
+    same = (keyed["doc_id"] == F.col("__id")) & (F.col("__text_digest") == F.col("__digest"))
+    numbered = stored(keyed.join(places, same, "left").drop("__text_digest", "__id", "__digest"), "numbered-texts")
+    return numbered, places.select(name, F.col("__id").alias("doc_id"))
+
+
+def by_text(docs: DataFrame, operate) -> DataFrame:
+    """What `operate` finds of rows (doc_id, text), a row per row, if it needs ids that differ from text to text."""
+    rows, ids = told_apart(docs.select("doc_id", F.col("text").cast("string").alias("text")), "__number")
+    found = operate(rows.select(F.col("__number").alias("doc_id"), "text"))
+    if ids is None:
+        return found
+    own = ids.withColumnRenamed("doc_id", "__id")
+    return found.join(own, found["doc_id"] == own["__number"], "left").select(
+        F.col("__id").alias("doc_id"), *[found[name] for name in found.columns if name != "doc_id"]
+    )

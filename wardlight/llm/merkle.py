@@ -26,10 +26,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import stored
+from wardlight.llm.common import placed, stored
 
 FANOUT = 16
 KEPT_EVERY = 2
@@ -81,30 +81,11 @@ class Manifest:
         return row and row["digest"]
 
 
-def _placed(rows: DataFrame, order: list[Column]) -> DataFrame:
-    """The stored rows with their `place` in their group and the group's size `n`; ties go by the stored row."""
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    dealt = stored(
-        dealt.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")),
-        "merkle-order",
-    )
-    # A row for each part of each group: as many as parts and groups together.
-    parts = dealt.groupBy("group", "part").agg(F.count("*").alias("rows"), F.min("at").alias("first_at"))
-    before = Window.partitionBy("group").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select(
-        "group",
-        "part",
-        (F.coalesce(F.sum("rows").over(before), F.lit(0)) - F.col("first_at")).alias("shift"),
-        F.sum("rows").over(Window.partitionBy("group")).alias("n"),
-    )
-    return dealt.join(parts, ["group", "part"]).withColumn("place", F.col("at") + F.col("shift")).drop("part", "at", "shift")
-
-
 def _numbered_sources(leaves: DataFrame) -> DataFrame:
     """(source, group): the sources of the leaves by number, the null one first, then bytewise."""
     found = leaves.select("source").distinct().withColumn("group", F.lit(0).cast("long"))
-    placed = _placed(found, [F.col("source").asc_nulls_first()])
-    return stored(placed.select("source", F.col("place").alias("group")), "merkle-sources")
+    found = placed(found, [F.col("group"), F.col("source").asc_nulls_first()])
+    return stored(found.select("source", F.col("place").alias("group")), "merkle-sources")
 
 
 def _runs(digests: Column, fanout: int) -> Column:
@@ -180,8 +161,8 @@ def build(
     sources = _numbered_sources(leaves)
     numbered = leaves.join(sources, leaves["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     order = [F.col("group"), F.col("id").asc_nulls_first(), F.col("digest"), F.col("row")]
-    placed = stored(_placed(numbered, order).drop("row"), "merkle-placed")
-    trees = _grown(placed, fanout, kept_every)
+    nodes = stored(placed(numbered, order).drop("row"), "merkle-nodes")
+    trees = _grown(nodes, fanout, kept_every)
     tops = trees.tops.withColumnRenamed("group", "place").join(sources.withColumnRenamed("group", "place"), "place")
     one_tree = {"n": F.lit(sources.count()).cast("long"), "group": F.lit(0).cast("long")}
     subroots = stored(tops.withColumns(one_tree), "merkle-subroots")

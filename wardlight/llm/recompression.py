@@ -20,9 +20,9 @@ a key has several classes, the windows of the least documents' contexts are
 compared one by one, by two independent 64-bit hashes.
 
 Documents with equal words form a class first; all but the least lose every word
-if they hold a window at all. Null texts have no words. A null doc_id or a repeated
-one is not supported by a removal that orders documents: rows with equal
-ids are treated as one document with each of the texts, null ids lose nothing.
+if they hold a window at all. Null texts have no words. Rows that repeat an id with another
+text are documents of their own, in the order of their texts' digests; rows that repeat
+the text too get the same result. Rows with a null id lose nothing and take nothing from others.
 """
 
 from __future__ import annotations
@@ -32,10 +32,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import in_several, released, stored, text_blocks
+from wardlight.llm.common import by_text, in_several, released, stored, text_blocks
 from wardlight.llm.words import Words, mixed, odd_constants, power_tables, tokenise, window_hashes
 
 WINDOW = 13
@@ -99,6 +100,22 @@ def _spans(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def _first_best(rank: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The first place of the greatest rank from each low to below its high."""
+    places = [np.arange(len(rank))]
+    while 1 << len(places) <= (high - low).max(initial=1):
+        half = places[-1]
+        other = half[np.minimum(np.arange(len(rank)) + (1 << len(places) - 1), len(rank) - 1)]
+        places.append(np.where(rank[other] > rank[half], other, half))
+    found = np.zeros(len(low), np.int64)
+    level = np.log2(np.maximum(high - low, 1)).astype(np.int64)
+    for k, best in enumerate(places):
+        own = np.flatnonzero(level == k)
+        left, right = best[low[own]], best[high[own] - (1 << k)]
+        found[own] = np.where(rank[right] > rank[left], right, left)
+    return found
+
+
 def choices(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """What the windows chose: keys, and the first word and the end of each context."""
     empty = np.empty(0, np.int64)
@@ -114,14 +131,16 @@ def choices(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     last = first + size
     bytes_long = np.minimum(words.ends[last - 1] - words.starts[first], 0x7FFF).astype(np.uint64)
     rank = (bytes_long << np.uint64(48)) | (names >> np.uint64(16))
-    low = np.searchsorted(first, firsts + margin)
-    high = np.searchsorted(last, firsts + window - margin, side="right")
-    best = np.minimum(low, len(rank) - 1)
-    for step in range(1, int((high - low).max(initial=1))):
-        other = np.minimum(low + step, len(rank) - 1)
-        best = np.where((low + step < high) & (rank[other] > rank[best]), other, best)
+    # Symbols that start before a word; each ends where the next one starts.
+    before = np.zeros(len(words.hashes) + 2, np.int64)
+    before[first + 1] = 1
+    before[-1] = 1
+    before = np.cumsum(before)
+    low, high = before[firsts + margin], before[firsts + window - margin + 1] - 1
     direct = _squares(words, 2 ** max(rounds - 1, 0), window)[firsts] | (high <= low)
-    chosen, alone = np.unique(best[~direct]), firsts[direct]
+    best = _first_best(rank, low[~direct], high[~direct])
+    # The best of later windows is never an earlier one.
+    chosen, alone = best[np.r_[True, best[1:] != best[:-1]][: len(best)]], firsts[direct]
     text = words.text_of()[first[chosen]]
     start = np.maximum(last[chosen] - window + margin, words.firsts[text])
     end = np.minimum(first[chosen] - margin + window, (words.firsts + words.counts)[text])
@@ -205,13 +224,12 @@ def _windows(window: int):
             listed = batch.column("spans")
             for begin, stop in text_blocks(texts):
                 words = tokenise(texts[begin:stop])
-                wanted = np.zeros(len(words.hashes) + 1, bool)
-                for number in range(begin, stop):
-                    own = listed[number].values
-                    base = words.firsts[number - begin]
-                    for start, end in zip(own.field("start").to_pylist(), own.field("end").to_pylist(), strict=True):
-                        wanted[base + start : base + end - window + 1] = True
-                firsts = np.flatnonzero(wanted)
+                part = listed.slice(begin, stop - begin)
+                spans, base = part.flatten(), np.repeat(words.firsts, pc.list_value_length(part).to_numpy())
+                depth = np.zeros(len(words.hashes) + 1, np.int64)
+                np.add.at(depth, base + spans.field("start").to_numpy(), 1)
+                np.add.at(depth, base + spans.field("end").to_numpy() - window + 1, -1)
+                firsts = np.flatnonzero(np.cumsum(depth))
                 text = np.searchsorted(words.firsts + words.counts, firsts, side="right")
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -258,8 +276,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True
     `kept_text` is null where nothing was removed; otherwise the words left, one
     space between. The hash always covers the kept words joined that way.
     """
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    return by_text(docs, lambda rows: _remove_repeats(rows, window, with_text))
+
+
+def _remove_repeats(rows: DataFrame, window: int, with_text: bool) -> DataFrame:
+    """`remove_repeats` of rows whose ids differ from text to text."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
     signed = stored(
         rows.mapInArrow(_sign(window), f"doc_id {kind}, n_words long, words_sha256 string, keys array<long>"),
         "recompression-keys",
@@ -275,11 +297,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True
     # A document lists a key once, so a key of several rows is one of several documents.
     shared = stored(in_several(keys), "recompression-shared")
     contexts = stored(
-        rows.join(shared, "doc_id").mapInArrow(
+        rows.join(shared.hint("shuffle_hash"), "doc_id").mapInArrow(
             _contexts(window), f"doc_id {kind}, key long, high long, low int, start int, end int"
         ),
         "recompression-contexts",
     )
+    # The lists of keys and spans are much smaller than the texts: hashed, they spare sorting the texts.
     released(shared)
     classes = stored(
         contexts.groupBy("key", "high", "low").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")),
@@ -296,7 +319,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True
     released(contexts, classes)
     listed = decided.where("NOT gone").groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     windows = stored(
-        rows.join(listed, "doc_id").mapInArrow(_windows(window), f"doc_id {kind}, high long, low long, start int"),
+        rows.join(listed.hint("shuffle_hash"), "doc_id").mapInArrow(_windows(window), f"doc_id {kind}, high long, low long, start int"),
         "recompression-windows",
     )
     earliest = (
@@ -319,7 +342,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True
         "recompression-repeats",
     )
     released(decided, windows)
-    cut = rows.join(repeats, "doc_id").mapInArrow(
+    cut = rows.join(repeats.hint("shuffle_hash"), "doc_id").mapInArrow(
         _cut, f"doc_id {kind}, n_cut long, left_text string, left_sha256 string"
     )
     if not with_text:

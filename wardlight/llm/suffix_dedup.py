@@ -10,15 +10,16 @@ Not every byte needs a suffix. Each `length`-byte window chooses the 24-byte str
 with the least hash in it (its anchor), so equal windows choose the same one. Spark counts
 the anchors of all texts; windows of an anchor that occurs once are unique.
 The context of an anchor is everything a window that chose it can reach. Equal contexts
-form a class, found in an aggregate by the hashes of anchor and context: all but its first member are repeats
-entirely. The first members of an anchor's classes differ near an edge, and only they
+form a class, found in an aggregate by the anchor and a 128-bit digest of the context's bytes (BLAKE2, so that
+no texts of unequal contexts can be made to meet): all but its first member are repeats entirely. The first members of an anchor's classes differ near an edge, and only they
 are sorted, forwards and backwards from the anchor, in bounded buckets; the
 common extensions to both sides give the windows they share. An anchor with more classes than
 `GROUP_LIMIT` is not grouped in one task: its windows are counted by Spark, one row each.
 
 Texts with equal bytes form a class before all this. "Earlier" is by doc_id, then by
 place. Null texts are empty, and nothing is removed from rows with a null doc_id.
-Rows with equal ids are treated as one document per distinct text.
+Rows that repeat an id with another text are documents of their own, in the order of their
+texts' digests; rows that repeat the text too get the same result.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import in_several, released, stored, text_blocks
+from wardlight.llm.common import by_text, in_several, released, stored, text_blocks
 from wardlight.llm.words import mixed, odd_constants, power_tables
 
 LENGTH = 100
@@ -40,6 +41,8 @@ ANCHOR = 24
 GROUP_LIMIT = 20_000
 #: Contexts per task, about.
 BUCKET = 20_000
+#: A context's reach to the left counts this much more than one to the right.
+REACH = 1 << 14
 
 
 def _sliding(values: np.ndarray, width: int, reduce) -> np.ndarray:
@@ -123,7 +126,7 @@ def _sign(length: int):
 
 
 def _contexts(length: int):
-    """The context of every shared anchor: its hash, its place, and its reach."""
+    """The context of every shared anchor: its digest, the anchor's place, and its reach to both sides."""
     reach = length - ANCHOR
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,20 +141,22 @@ def _contexts(length: int):
                 text = np.searchsorted(ends, places, side="right")
                 before = np.minimum(places - starts[text], reach)
                 after = np.minimum(ends[text] - places, length)
-                data = np.frombuffer(b"".join(own), np.uint8)
-                sums, down = _prefix_sums(data, seed=17)
-                span = (sums[places + after] - sums[places - before]) * down[places - before]
-                digest = mixed(span + mixed((before * 1000 + after).astype(np.uint64)))
+                data = b"".join(own)
+                digests = b"".join(
+                    hashlib.blake2b(data[a:b], digest_size=16).digest()
+                    for a, b in zip((places - before).tolist(), (places + after).tolist(), strict=True)
+                )
+                halves = np.frombuffer(digests, np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(start, end - start).take(pa.array(text)),
                         pa.array(keys.view(np.int64)),
-                        pa.array(digest.view(np.int64)),
+                        pa.array(halves[:, 0].copy()),
+                        pa.array(halves[:, 1].copy()),
                         pa.array(places - starts[text]),
-                        pa.array(before.astype(np.int32)),
-                        pa.array(after.astype(np.int32)),
+                        pa.array((before * REACH + after).astype(np.int32)),
                     ],
-                    names=["doc_id", "key", "context", "place", "before", "after"],
+                    names=["doc_id", "key", "context", "check", "place", "reach"],
                 )
 
     return run
@@ -284,6 +289,9 @@ def _shared_windows(length: int):
         keys = table.column("key").to_numpy()
         docs, places = table.column("doc_id").to_numpy(), table.column("place").to_numpy()
         arranged = np.lexsort((places, docs, keys))
+        # Rows that repeat a document list its contexts again.
+        own = np.column_stack([keys, docs, places])[arranged]
+        arranged = arranged[np.r_[True, (own[1:] != own[:-1]).any(axis=1)][: len(own)]]
         keys, docs, places = keys[arranged], docs[arranged], places[arranged]
         before = table.column("before").to_numpy()[arranged].astype(np.int64)
         contexts = table.column("context").take(pa.array(arranged)).to_pylist()
@@ -350,21 +358,21 @@ def repeated_spans(rows: DataFrame, kind: str, keys: DataFrame, length: int, gro
     contexts = stored(
         rows.join(shared, "doc_id").mapInArrow(
             _contexts(length),
-            f"doc_id {kind}, key long, context long, place long, before int, after int",
+            f"doc_id {kind}, key long, context long, check long, place long, reach int",
         ),
         "suffix-contexts",
     )
     released(shared)
     classes = stored(
-        contexts.groupBy("key", "context").agg(
+        contexts.groupBy("key", "context", "check").agg(
             F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n")
         ),
         "suffix-classes",
     )
     whole = stored(
-        contexts.join(classes.where("n > 1").drop("n"), ["key", "context"])
+        contexts.join(classes.where("n > 1").drop("n"), ["key", "context", "check"])
         .where("struct(doc_id, place) <> first")
-        .selectExpr("doc_id", "place - before AS start", "place + after AS end"),
+        .selectExpr("doc_id", f"place - reach DIV {REACH} AS start", f"place + reach % {REACH} AS end"),
         "suffix-whole",
     )
     released(contexts)
@@ -420,7 +428,12 @@ def remove_repeats(
 
     `kept_bytes` is null where nothing was removed.
     """
-    rows = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("body"))
+    return by_text(docs, lambda rows: _remove_repeats(rows, length, group_limit, with_bytes))
+
+
+def _remove_repeats(docs: DataFrame, length: int, group_limit: int, with_bytes: bool) -> DataFrame:
+    """`remove_repeats` of rows whose ids differ from text to text."""
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("body"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     signed = stored(
         rows.mapInArrow(_sign(length), f"doc_id {kind}, n_bytes long, text_sha256 string, keys array<long>"),

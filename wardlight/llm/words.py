@@ -9,11 +9,14 @@ up to eight bytes but for the final scrambling of their length.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _powers: dict[str, np.ndarray] = {}
+#: What is left of eight bytes by how many belong to the word.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -41,6 +44,32 @@ def power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:size], _powers["down"][:size]
 
 
+class Pieces:
+    """Words cut into eights of bytes."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        self.lengths = (ends - starts).astype(np.int64)
+        counts = (self.lengths + 7) >> 3
+        self.single = not len(counts) or counts.max() == 1
+        self.firsts = np.cumsum(counts) - counts
+        at, left, self.place = starts, self.lengths, np.zeros(1, np.uint64)
+        if not self.single:
+            place = np.arange(counts.sum()) - np.repeat(self.firsts, counts)
+            at = np.repeat(starts, counts) + 8 * place
+            left = np.minimum(np.repeat(ends, counts) - at, 8)
+            self.place = place.astype(np.uint64)
+        self.values = _eights(data)[at] & _MASKS[left]
+
+    def hashes(self, number: int) -> np.ndarray:
+        """The words' hashes under one of the seeds."""
+        seed = odd_constants(2, 50)[number]
+        places = mixed(np.arange(1, int(self.place.max(initial=0)) + 2, dtype=np.uint64) * seed)
+        scrambled = mixed(self.values ^ places[self.place.astype(np.int64)])
+        if not self.single:
+            scrambled = np.add.reduceat(scrambled, self.firsts)
+        return mixed(scrambled + self.lengths.astype(np.uint64) * seed)
+
+
 @dataclass
 class Words:
     """The words of a block of texts: bytes, word bounds, hashes, and words per text."""
@@ -48,11 +77,22 @@ class Words:
     data: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
-    hashes: np.ndarray
-    others: np.ndarray  # hashes under another seed
     counts: np.ndarray  # words of each text
     firsts: np.ndarray  # number of each text's first word
 
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        return self._pieces.hashes(0)
+
+    @cached_property
+    def others(self) -> np.ndarray:
+        """Hashes under another seed."""
+        return self._pieces.hashes(1)
+
+    @cached_property
+    def _pieces(self) -> Pieces:
+        return Pieces(self.data, self.starts, self.ends)
+
     @property
     def both(self) -> np.ndarray:
         """One number from both hashes of each word."""
@@ -72,32 +112,6 @@ def _eights(data: np.ndarray) -> np.ndarray:
     return found[: len(data)]
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Both hashes of the words from each start to its end."""
-    if not len(starts):
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    lengths = (ends - starts).astype(np.int64)
-    eights = _eights(data)
-    pieces = (lengths + 7) >> 3
-    seeds = odd_constants(2, 50)
-    if pieces.max() == 1:
-        at, left, place = starts, lengths, np.zeros(1, np.uint64)
-    else:
-        firsts = np.cumsum(pieces) - pieces
-        place = np.arange(pieces.sum()) - np.repeat(firsts, pieces)
-        at = np.repeat(starts, pieces) + 8 * place
-        left = np.minimum(np.repeat(ends, pieces) - at, 8)
-        place = place.astype(np.uint64)
-    values = eights[at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> ((8 - left) * 8).astype(np.uint64))
-    found = []
-    for seed in seeds:
-        scrambled = mixed(values ^ mixed((place + np.uint64(1)) * seed))
-        if pieces.max() > 1:
-            scrambled = np.add.reduceat(scrambled, firsts)
-        found.append(mixed(scrambled + lengths.astype(np.uint64) * seed))
-    return found[0], found[1]
-
-
 def tokenise(texts: list[str], lower: bool = False) -> Words:
     r"""Words `[^\x20\x09-\x0D]+` of the texts; `lower` folds A-Z to a-z first."""
     encoded = [text.encode("utf-8", "replace") for text in texts]
@@ -107,11 +121,10 @@ def tokenise(texts: list[str], lower: bool = False) -> Words:
     space = (data == 32) | ((data >= 9) & (data <= 13))
     edge = np.flatnonzero(np.diff(space.astype(np.int8), prepend=1, append=1))
     starts, ends = edge[0::2], edge[1::2]
-    hashes, others = word_hashes(data, starts, ends)
     text_ends = np.cumsum([len(e) + 1 for e in encoded]) if encoded else np.empty(0, np.int64)
     upto = np.searchsorted(starts, text_ends)
     counts = np.diff(upto, prepend=0)
-    return Words(data, starts, ends, hashes, others, counts, upto - counts)
+    return Words(data, starts, ends, counts, upto - counts)
 
 
 def window_hashes(hashes: np.ndarray, length: int, seed: int) -> np.ndarray:
