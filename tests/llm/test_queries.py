@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from oracle.compare import differences, open_tables
 from tests.llm import brute
+from tests.llm.test_dedup import _repeated_ids
 from wardlight.llm import decontamination, language_id, packing, quality_rules
 from wardlight.llm.common import held_out
 from wardlight.llm.oracle import llm_oracle
@@ -78,7 +79,20 @@ def test_rows_that_share_an_id_are_judged_by_their_own_text(spark, make_docs, ta
     assert left == {(500, "some clean text"), (None, "more clean text")}
     docs = make_docs([*tangled.items(), (500, "12 34"), (500, tangled[40]), (None, "12 34")])
     left = {(r.doc_id, r.text) for r in stages["language_id"](spark, docs, small).collect()}
-    assert {(500, tangled[40]), (None, "12 34")} <= left and (500, "12 34") not in left
+    assert (500, tangled[40]) in left and not {(500, "12 34"), (None, "12 34")} & left
+
+
+def test_texts_that_share_an_id_keep_their_own_text(spark, make_docs, small):
+    """Whether the other text of an id is short or long, and as near duplicates."""
+    stages = dict(corpus_pipeline.STAGES)
+    for short in (True, False):
+        rows = _repeated_ids(short)
+        left = [(r.doc_id, r.text) for r in stages["substring_dedup"](spark, make_docs(rows), small).collect()]
+        assert sorted(left, key=str) == sorted(
+            [rows[0], (2, "alpha beta"), rows[2], (3, "x"), (3, "x"), (3, None), rows[6]], key=str
+        )
+        left = [(r.doc_id, r.text) for r in stages["minhash"](spark, make_docs(rows), small).collect()]
+        assert sorted(left, key=str) == sorted([rows[0], rows[2], rows[5], rows[6]], key=str)
 
 
 def test_stages_keep_columns_and_rows_of_any_kind(spark, make_docs, tangled, small):
