@@ -812,4 +812,5 @@ def oracle_statements() -> dict[str, str]:
     return found | {
         "dq_scorecard_stored": found["dq_scorecard"],
         "monthly_refresh": found["monthly_scorecard"],
+        "warehouse_run": found["kpi_summary"],
     }

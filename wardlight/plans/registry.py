@@ -24,7 +24,13 @@ from wardlight.plans.order_encounters import (
     raw_text_encounters,
     table,
 )
-from wardlight.plans.pipeline import finding_reports, refresh_scorecard, store_encounters, stored_scorecard
+from wardlight.plans.pipeline import (
+    finding_reports,
+    refresh_scorecard,
+    run_warehouse,
+    store_encounters,
+    stored_scorecard,
+)
 from wardlight.schema import canonicalize, unreadable_mask, unreadable_values
 from wardlight.sources.encounters import broken_rows, read_raw_csv, whole_rows
 from wardlight.sources.shared import build_lock, shared_files, shared_table, source_state
@@ -149,19 +155,36 @@ def _norm_encounters(spark: SparkSession, folder: str) -> DataFrame:
     return _with_doubles(normalize_raw(spark, folder))
 
 
-def _disposition_impact(spark: SparkSession, folder: str) -> DataFrame:
-    dispositions = table(spark, folder, "nation").select(
-        F.col("n_nationkey").alias("disposition_id")
+def _dimensions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Dispositions, specialties and admission sources."""
+    nation = table(spark, folder, "nation")
+    return (
+        nation.select(F.col("n_nationkey").alias("disposition_id")),
+        table(spark, folder, "region").select(F.col("r_regionkey").alias("specialty_id")),
+        nation.select(F.col("n_nationkey").alias("source_id")),
     )
+
+
+def _disposition_impact(spark: SparkSession, folder: str) -> DataFrame:
+    dispositions, _, _ = _dimensions(spark, folder)
     return benchmarks.disposition_impact(encounters(spark, folder), dispositions)
 
 
 def _specialty_source_benchmark(spark: SparkSession, folder: str) -> DataFrame:
-    specialties = table(spark, folder, "region").select(F.col("r_regionkey").alias("specialty_id"))
-    sources = table(spark, folder, "nation").select(F.col("n_nationkey").alias("source_id"))
+    _, specialties, sources = _dimensions(spark, folder)
     return benchmarks.specialty_source_benchmark(encounters(spark, folder), specialties, sources)
 
 
+def _warehouse_run(spark: SparkSession, folder: str) -> DataFrame:
+    """A run of all reports on the fact table, written as CSV; its headline figures read back."""
+    table_of = encounters(spark, folder)
+    path = shared_files(
+        spark, "warehouse_run", folder, lambda path: run_warehouse(table_of, *_dimensions(spark, folder), path, "csv")
+    )
+    figures = descriptive.kpi_summary(table_of)
+    return spark.read.schema(figures.schema).csv(f"{path}/kpi_summary", header=True)
+
+
 def _split_strata(spark: SparkSession, folder: str) -> DataFrame:
     return split_frame(spark, folder).select("encounter_id", "readmitted_30d", "is_test")
 
@@ -211,6 +234,7 @@ def registered_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "norm_drop_critical": _on(normalized, normalize.drop_summary),
         # Descriptive
         "kpi_summary": _on(encounters, descriptive.kpi_summary),
+        "warehouse_run": _warehouse_run,
         "kpi_long": _on(clean, descriptive.kpi_list),
         "quarterly_trend": _on(encounters, descriptive.quarterly_trend),
         "readmission_distribution": _on(clean, descriptive.readmission_distribution),
