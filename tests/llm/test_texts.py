@@ -268,3 +268,22 @@ def test_plans_place_every_piece(seed):
     if seed in (1, 3):
         assert len(filled) <= 1.01 * sizes.sum() / 1024 + 1
     assert packing.plan({}, 1024) == []
+
+
+def test_every_row_of_pages_is_a_record(spark):
+    """Equal rows, a page under two addresses, a page with two payloads, and no page id."""
+    body, other = "x" * 200, "y" * 300
+    rows = [(1, "u", body), (1, "u", body), (1, "v", body), (1, "u", other), (2, "u", other), (2, "u", body), (None, "w", body), (None, "w", "z" * 150), (3, "s", "short"), (3, "s", "short")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("row", F.lit("own"))
+    folder = new_folder(spark, "test-warc")
+    warc.write_archive(pages.repartition(3), folder)
+    records = warc.read_archive(spark, folder)
+    found = warc.page_records(records).collect()
+    assert sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to or 0) for r in found) == sorted(
+        [(1, 200, "response", 0)] * 3
+        + [(1, 300, "response", 0), (2, 300, "revisit", 1), (2, 200, "revisit", 1), (0, 200, "revisit", 1), (0, 150, "response", 0), (3, 5, "response", 0), (3, 5, "response", 0)]
+    )
+    ids = [r.id for r in records.select(warc.header_field("WARC-Record-ID").alias("id")).collect()]
+    assert len(set(ids)) == len(rows)
+    referred = {r.to for r in records.select(warc.header_field("WARC-Refers-To").alias("to")).collect()} - {None}
+    assert referred <= set(ids) and len(referred) == 2

@@ -62,7 +62,7 @@ FROM t JOIN kept ON kept.doc_id = t.doc_id LEFT JOIN spans ON spans.doc_id = t.d
 
 OP4_WARC = """
 WITH p AS (
-    SELECT DISTINCT page_id, sha256(coalesce(html, '')) AS d, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages
+    SELECT page_id, sha256(coalesce(html, '')) AS d, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages
 ), f AS (SELECT d, min(page_id) AS first_page FROM p GROUP BY d)
 SELECT page_id, n AS payload_bytes, p.d AS payload_digest,
        CASE WHEN n >= 100 AND page_id <> first_page THEN 'revisit' ELSE 'response' END AS record_type,

@@ -11,8 +11,10 @@ fails if one SHA-256 ever covers two of them. Reading recomputes the SHA-256 of
 what it unpacks and fails on a mismatch.
 
 Null and empty payloads are the empty byte string; null URLs give an empty
-target. Rows with the same page_id and payload are the same record and stored
-once. Payloads below `min_revisit_bytes` are always `response` records.
+target. Every row is a record of its own, whose id is made of the page's id and a number of the row, so rows
+that repeat a page id, with the same payload or another one, stay apart. Of equal payloads the records with
+the least page id are responses, all of them where rows repeat it; a null page id comes last. Payloads
+below `min_revisit_bytes` are always `response` records. Without pages both tables are empty.
 """
 
 from __future__ import annotations
@@ -25,9 +27,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardlight.llm.common import released, stored
+
 MIN_REVISIT_BYTES = 100
 _CRLF = "\r\n"
-_SEALED = "page_id long, target string, digest string, check binary, payload_bytes long, packed binary"
+_SEALED = "page_id long, row long, target string, digest string, check binary, payload_bytes long, packed binary"
 
 
 def _seal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,13 +42,14 @@ def _seal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("page_id"),
+                batch.column("row"),
                 batch.column("target"),
                 pa.array([hashlib.sha256(body).hexdigest() for body in bodies], pa.string()),
                 pa.array([hashlib.blake2b(body, digest_size=16).digest() for body in bodies], pa.binary()),
                 pa.array([len(body) for body in bodies], pa.int64()),
                 pa.array([pack.compress(body) for body in bodies], pa.binary()),
             ],
-            names=["page_id", "target", "digest", "check", "payload_bytes", "packed"],
+            names=["page_id", "row", "target", "digest", "check", "payload_bytes", "packed"],
         )
 
 
@@ -63,15 +68,19 @@ def _unseal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _urn(page_id: Column, row: Column) -> Column:
+    return F.concat(F.lit("<urn:page:"), page_id, F.lit(":"), row.cast("string"), F.lit(">"))
+
+
 def _header(record_type: Column, refers_to: Column) -> Column:
-    """The header block of a record, up to and with its blank line."""
+    """The header block of a record, up to and with its blank line; `refers_to` is a record's id or null."""
     lines = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), record_type),
-        F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.col("page_id").cast("string"), F.lit(">")),
+        F.concat(F.lit("WARC-Record-ID: "), _urn(F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.col("row"))),
         F.concat(F.lit("WARC-Target-URI: "), F.col("target")),
         F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("digest")),
-        F.concat(F.lit("WARC-Refers-To: <urn:page:"), refers_to.cast("string"), F.lit(">")),
+        F.concat(F.lit("WARC-Refers-To: "), refers_to),
         F.when(refers_to.isNotNull(), F.lit("WARC-Profile: identical-payload-digest")),
         F.concat(F.lit("X-Payload-Length: "), F.col("payload_bytes").cast("string")),
         F.concat(
@@ -92,35 +101,39 @@ def write_archive(pages: DataFrame, folder: str, min_revisit_bytes: int = MIN_RE
     """
     target = F.coalesce(F.col("url").cast("string"), F.lit(""))
     target = F.replace(F.replace(target, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
-    sealed = pages.select(
+    numbered = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
+        F.monotonically_increasing_id().alias("row"),
         target.alias("target"),
         F.encode(F.col("html").cast("string"), "UTF-8").alias("body"),
-    ).mapInArrow(_seal, _SEALED)
+    )
+    # Compressed once; the headers do not read the packed payloads.
+    sealed = stored(numbered.mapInArrow(_seal, _SEALED), "warc-sealed")
 
     one_payload = F.assert_true(
         F.col("least_check") == F.col("most_check"), F.lit("one SHA-256 covers two payloads")
     )
     sealed.groupBy("digest").agg(
-        F.min("page_id").alias("first_page"),
+        F.min(F.struct(F.col("page_id").isNull().alias("unnamed"), "page_id", "row")).alias("first"),
         F.min("check").alias("least_check"),
         F.max("check").alias("most_check"),
         F.first("payload_bytes").alias("payload_bytes"),
         F.first("packed").alias("packed"),
     ).select(
         "digest",
-        "first_page",
+        "first",
         "payload_bytes",
         F.when(one_payload.isNull(), F.col("packed")).alias("packed"),
     ).write.option("compression", "uncompressed").parquet(f"{folder}/payloads")
 
-    firsts = pages.sparkSession.read.parquet(f"{folder}/payloads").select("digest", "first_page")
-    revisit = (F.col("payload_bytes") >= min_revisit_bytes) & (F.col("page_id") != F.col("first_page"))
-    refers_to = F.when(revisit, F.col("first_page"))
+    firsts = pages.sparkSession.read.parquet(f"{folder}/payloads").select("digest", "first")
+    revisit = (F.col("payload_bytes") >= min_revisit_bytes) & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
+    refers_to = F.when(revisit, _urn(F.coalesce(F.col("first.page_id").cast("string"), F.lit("none")), F.col("first.row")))
     record_type = F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))
-    sealed.select("page_id", "target", "digest", "payload_bytes").distinct().join(firsts, "digest").select(
+    sealed.select("page_id", "row", "target", "digest", "payload_bytes").join(firsts, "digest").select(
         "page_id", "digest", _header(record_type, refers_to).alias("header")
     ).write.option("compression", "zstd").parquet(f"{folder}/headers")
+    released(sealed)
 
 
 def read_archive(spark: SparkSession, folder: str) -> DataFrame:
@@ -143,7 +156,8 @@ def header_field(name: str) -> Column:
 
 
 def page_of(urn: Column) -> Column:
-    return F.regexp_extract(urn, "<urn:page:(-?[0-9]+)>", 1).cast("long")
+    """The page of a record's id, null for a page without one."""
+    return F.nullif(F.regexp_extract(urn, "<urn:page:(-?[0-9]*)", 1), F.lit("")).cast("long")
 
 
 def record_bytes(records: DataFrame) -> DataFrame:
