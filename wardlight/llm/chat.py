@@ -8,6 +8,9 @@ same doubled pointers, and each path is formatted as one conversation.
 
 Markers inside texts and roles are escaped reversibly, so the formatted text
 splits into its turns without ambiguity.
+
+Null texts and roles are empty, and very long ones are formatted whole. Messages of equal turn are
+ordered by role and text, so ties and repeated rows give one result. A table without messages gives none.
 """
 
 from __future__ import annotations

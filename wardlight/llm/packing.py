@@ -19,7 +19,8 @@ by size and rank. No row passes through the driver.
 
 Null and empty texts are their end token alone. Equal rows are packed as often as they
 occur. Documents longer than the capacity are cut from the end, so that only the
-first piece is shorter.
+first piece is shorter. Very long texts are tokenized whole, in a block of their own. An empty table packs into
+nothing.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ Training looks at bounded samples (`PIECES` pieces per dictionary, from
 `CALIBRATION_TEXTS` texts, and as many to calibrate), chosen by a hash of the document id. Every row is scored, whole.
 
 Null and empty texts, and every text while one class has no labelled text, get the
-share of good texts in the calibration sample.
+share of good texts in the calibration sample, or 0.5 where that is empty. A very long text is
+compressed piece by piece. Rows that repeat are scored one by one and alike; an empty table of
+documents gives no rows.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ rule rejects never evaluates the next. The order changes cost, not verdicts:
 every order rejects the same texts.
 
 Null and empty texts have no words; the counts are 0 and no ratio rule fires.
-Repeated rows are judged one by one, columns of the input are kept.
+Repeated rows are judged one by one, columns of the input are kept. Very long texts are read
+whole: every count is an aggregate of one row's arrays.
 """
 
 from __future__ import annotations

@@ -58,7 +58,7 @@ class Pieces:
             at = np.repeat(starts, counts) + 8 * place
             left = np.minimum(np.repeat(ends, counts) - at, 8)
             self.place = place.astype(np.uint64)
-        self.values = _eights(data)[at] & _MASKS[left]
+        self.values = _eights(data, at) & _MASKS[left]
 
     def hashes(self, number: int) -> np.ndarray:
         """The words' hashes under one of the seeds."""
@@ -103,13 +103,10 @@ class Words:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
 
-def _eights(data: np.ndarray) -> np.ndarray:
-    """The eight bytes from every place on as one number, the first byte lowest; zeros follow the end."""
-    found = np.zeros(len(data) + 8, np.uint64)
-    found[: len(data)] = data
-    for step in (1, 2, 4):
-        found[:-step] |= found[step:] << np.uint64(8 * step)
-    return found[: len(data)]
+def _eights(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, the first byte lowest; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.lib.stride_tricks.as_strided(padded, (len(data), 8), (1, 1))[at].view("<u8").reshape(-1)
 
 
 def tokenise(texts: list[str], lower: bool = False) -> Words:
