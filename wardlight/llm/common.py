@@ -88,6 +88,11 @@ def text_blocks(texts: list[str], most_chars: int = 1 << 20) -> Iterator[tuple[i
         yield start, len(texts)
 
 
+def hashed(frame: DataFrame) -> DataFrame:
+    """The smaller side of a join, with a row per key: Spark hashes it by task and sorts neither side."""
+    return frame.hint("shuffle_hash")
+
+
 def in_several(keys: DataFrame) -> DataFrame:
     """(doc_id, keys): of the rows (doc_id, key), the keys of more than one row, by document.
 
@@ -96,7 +101,7 @@ def in_several(keys: DataFrame) -> DataFrame:
     gone before those of the join come.
     """
     shared = stored(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared-keys")
-    return keys.join(shared, "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+    return keys.join(hashed(shared), "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
 
 def placed(rows: DataFrame, order: list[Column]) -> DataFrame:

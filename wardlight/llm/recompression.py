@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import by_text, in_several, released, stored, text_blocks
+from wardlight.llm.common import by_text, hashed, in_several, released, stored, text_blocks
 from wardlight.llm.words import Words, mixed, odd_constants, power_tables, tokenise, window_hashes
 
 WINDOW = 13
@@ -297,21 +297,20 @@ def _remove_repeats(rows: DataFrame, window: int, with_text: bool) -> DataFrame:
     # A document lists a key once, so a key of several rows is one of several documents.
     shared = stored(in_several(keys), "recompression-shared")
     contexts = stored(
-        rows.join(shared.hint("shuffle_hash"), "doc_id").mapInArrow(
+        rows.join(hashed(shared), "doc_id").mapInArrow(
             _contexts(window), f"doc_id {kind}, key long, high long, low int, start int, end int"
         ),
         "recompression-contexts",
     )
-    # The lists of keys and spans are much smaller than the texts: hashed, they spare sorting the texts.
     released(shared)
     classes = stored(
         contexts.groupBy("key", "high", "low").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")),
         "recompression-contexts-least",
     )
     several = classes.groupBy("key").agg(F.count("*").alias("n_classes")).where("n_classes > 1")
-    wanted = classes.join(several, "key", "left").where("least < most OR n_classes IS NOT NULL")
+    wanted = classes.join(hashed(several), "key", "left").where("least < most OR n_classes IS NOT NULL")
     decided = stored(
-        contexts.join(wanted, ["key", "high", "low"])
+        contexts.join(hashed(wanted), ["key", "high", "low"])
         .where("doc_id > least OR n_classes IS NOT NULL")
         .select("doc_id", "start", "end", (F.col("doc_id") > F.col("least")).alias("gone")),
         "recompression-decided",
@@ -319,7 +318,7 @@ def _remove_repeats(rows: DataFrame, window: int, with_text: bool) -> DataFrame:
     released(contexts, classes)
     listed = decided.where("NOT gone").groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     windows = stored(
-        rows.join(listed.hint("shuffle_hash"), "doc_id").mapInArrow(_windows(window), f"doc_id {kind}, high long, low long, start int"),
+        rows.join(hashed(listed), "doc_id").mapInArrow(_windows(window), f"doc_id {kind}, high long, low long, start int"),
         "recompression-windows",
     )
     earliest = (
@@ -329,7 +328,7 @@ def _remove_repeats(rows: DataFrame, window: int, with_text: bool) -> DataFrame:
         .select("high", "low", "least")
     )
     single = (
-        windows.join(earliest, ["high", "low"])
+        windows.join(hashed(earliest), ["high", "low"])
         .where("doc_id > least")
         .select("doc_id", "start", (F.col("start") + window).alias("end"))
     )
@@ -342,7 +341,7 @@ def _remove_repeats(rows: DataFrame, window: int, with_text: bool) -> DataFrame:
         "recompression-repeats",
     )
     released(decided, windows)
-    cut = rows.join(repeats.hint("shuffle_hash"), "doc_id").mapInArrow(
+    cut = rows.join(hashed(repeats), "doc_id").mapInArrow(
         _cut, f"doc_id {kind}, n_cut long, left_text string, left_sha256 string"
     )
     if not with_text:

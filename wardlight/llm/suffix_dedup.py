@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import by_text, in_several, released, stored, text_blocks
+from wardlight.llm.common import by_text, hashed, in_several, released, stored, text_blocks
 from wardlight.llm.words import mixed, odd_constants, power_tables
 
 LENGTH = 100
@@ -356,7 +356,7 @@ def repeated_spans(rows: DataFrame, kind: str, keys: DataFrame, length: int, gro
     """Spans (doc_id, start, end) of rows (doc_id, body) that occur earlier; they may overlap."""
     shared = stored(in_several(keys), "suffix-shared")
     contexts = stored(
-        rows.join(shared, "doc_id").mapInArrow(
+        rows.join(hashed(shared), "doc_id").mapInArrow(
             _contexts(length),
             f"doc_id {kind}, key long, context long, check long, place long, reach int",
         ),
@@ -370,7 +370,7 @@ def repeated_spans(rows: DataFrame, kind: str, keys: DataFrame, length: int, gro
         "suffix-classes",
     )
     whole = stored(
-        contexts.join(classes.where("n > 1").drop("n"), ["key", "context", "check"])
+        contexts.join(hashed(classes.where("n > 1").drop("n")), ["key", "context", "check"])
         .where("struct(doc_id, place) <> first")
         .selectExpr("doc_id", f"place - reach DIV {REACH} AS start", f"place + reach % {REACH} AS end"),
         "suffix-whole",
@@ -379,11 +379,11 @@ def repeated_spans(rows: DataFrame, kind: str, keys: DataFrame, length: int, gro
     sizes = classes.groupBy("key").agg(F.count("*").alias("n_classes")).where("n_classes > 1")
     listed = (
         classes.select("key", "first.doc_id", "first.place")
-        .join(sizes, "key")
+        .join(hashed(sizes), "key")
         .groupBy("doc_id")
         .agg(F.collect_list(F.struct("key", "place")).alias("found"))
     )
-    cut_out = rows.join(listed, "doc_id").mapInArrow(
+    cut_out = rows.join(hashed(listed), "doc_id").mapInArrow(
         _cut_out(length), f"doc_id {kind}, key long, place long, before int, context binary"
     )
     open_contexts = stored(cut_out, "suffix-open")
@@ -452,7 +452,7 @@ def _remove_repeats(docs: DataFrame, length: int, group_limit: int, with_bytes:
         .agg(F.collect_list(F.struct("start", "end")).alias("spans")),
         "suffix-spans",
     )
-    cut = rows.join(spans, "doc_id").mapInArrow(
+    cut = rows.join(hashed(spans), "doc_id").mapInArrow(
         _remove, f"doc_id {kind}, n_cut long, n_runs long, left_sha256 string, left_bytes binary"
     )
     if not with_bytes:
