@@ -103,9 +103,9 @@ def sha256(data):
 
 
 def characters(text):
-    """Lower-cased letters, anything else one space; nothing if there is no letter."""
+    """Lower-cased letters, anything else and the end one space; nothing if there is no letter."""
     found = "".join(c if c.isalpha() else " " for c in (text or "").lower())
-    return re.sub(" +", " ", found).lstrip(" ") if found.strip() else ""
+    return re.sub(" +", " ", found).strip(" ") + " " if found.strip() else ""
 
 
 class CharacterModel:
