@@ -39,8 +39,10 @@ LENGTH = 100
 ANCHOR = 24
 #: Contexts of one anchor that are sorted together, at most.
 GROUP_LIMIT = 20_000
-#: Contexts per task, about.
-BUCKET = 20_000
+#: Contexts that are sorted together, about.
+BUCKET = 10_000
+#: Bytes that are looked at together, about.
+BLOCK_BYTES = 1 << 18
 #: A context's reach to the left counts this much more than one to the right.
 REACH = 1 << 14
 
@@ -101,7 +103,7 @@ def _sign(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bodies = _bodies(batch)
-            for start, end in text_blocks(bodies):
+            for start, end in text_blocks(bodies, BLOCK_BYTES):
                 own = bodies[start:end]
                 places, keys, _, ends = anchors(own, length)
                 cuts = np.searchsorted(places, ends)
@@ -132,7 +134,7 @@ def _contexts(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bodies, shared = _bodies(batch), batch.column("keys")
-            for start, end in text_blocks(bodies):
+            for start, end in text_blocks(bodies, BLOCK_BYTES):
                 own = bodies[start:end]
                 places, keys, starts, ends = anchors(own, length)
                 wanted = shared.slice(start, end - start).flatten().to_numpy().view(np.uint64)
