@@ -1,6 +1,7 @@
 """Language, quality and decontamination."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -128,6 +129,36 @@ def test_every_language_has_a_limit(spark):
     assert set(model.limits) == set(model.langs) == {"x", "y", "z"}
 
 
+def test_limits_come_from_every_training_text(spark):
+    """More texts than a sample held; their medians are those of all rows, and a single odd one counts."""
+    draw = random.Random(3)
+    rows = [("".join(draw.choice("abc ") for _ in range(draw.randint(1, 300))), "x") for _ in range(4500)]
+    rows += [("".join(draw.choice("bcd ") for _ in range(draw.randint(150, 300))), "y") for _ in range(601)]
+    rows += [("zzzz qqqq " * 10000, "y"), ("12 34", "y"), ("only one", "z"), ("56", "w")]
+    frame = spark.createDataFrame(rows, "text string, lang string")
+    model = language_id.fit(frame)
+    found = language_id.measured(frame, model).where("n > 0").toArrow().to_pandas()
+    own = [model.langs.index(lang) for lang in found["lang"]]
+    for name in ("sums", "squares"):
+        found[name] = [values[i] for values, i in zip(found[name], own, strict=True)] / found["n"]
+    assert set(model.limits) == {"x", "y", "z"} and len(found) == 4500 + 602 + 1 - sum(not t.strip() for t, _ in rows)
+    for lang, part in found.groupby("lang"):
+        within = ((part["squares"] - part["sums"] ** 2).clip(lower=0) * part["n"]).sum() / part["n"].sum()
+        long = -part[part["n"] >= min(200, part["n"].median())]["sums"]
+        middle = long.median()
+        spread = max(1.4826 * (long - middle).abs().median(), language_id.LEAST_SPREAD * middle)
+        assert model.limits[lang] == pytest.approx((middle, spread, within), rel=1e-7)
+
+
+def test_fitting_and_identifying_at_once(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").where("n_chars < 3000").select("doc_id", "text", "lang")
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") % 3 != 0, F.col("lang")))
+    columns = ("doc_id", "lang_pred", F.round("score", 6).alias("score"), "rejected")
+    apart = language_id.identify(docs, language_id.fit(docs)).select(*columns)
+    at_once = language_id.fit_and_identify(docs).select(*columns)
+    assert sorted(map(tuple, at_once.collect())) == sorted(map(tuple, apart.collect())) and at_once.count() > 100
+
+
 def test_without_training_rows(spark, make_docs):
     model = language_id.fit(spark.createDataFrame([], "text string, lang string"))
     assert language_id.identify(make_docs({1: "some text"}), model).first().lang_pred == "und"

@@ -16,9 +16,10 @@ the training texts and one that stands for any other, so the probabilities of th
 may follow a context add up to one.
 
 A text's language is the one with the lowest cross-entropy per character, ties
-going to the alphabetically first. Rejection is calibrated on a bounded sample of
-each language's training texts: a text is rejected if its cross-entropy lies `Z_LIMIT` standard
-deviations above what its language shows for texts of that length.
+going to the alphabetically first. Rejection is calibrated on all training texts of
+each language: a text is rejected if its cross-entropy lies `Z_LIMIT` standard
+deviations above what its language shows for texts of that length. The medians this takes
+are exact, found digit by digit from counts.
 
 Texts that are null or without a letter are `und`, with score 0, and rejected.
 Without training rows every text is `und`. Very long texts are read whole, in a block of their own.
@@ -31,7 +32,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -44,9 +44,13 @@ from wardlight.llm.words import mixed
 ORDER = 4
 #: Numbers in the matrix that is sent to the tasks, at most.
 CELLS = 1 << 22
-#: Training texts of a language that calibrate its rejection, about.
-CALIBRATION_TEXTS = 4000
 Z_LIMIT = 10.0
+#: Characters from which a text's cross-entropy tells what is usual, unless half of the texts are shorter.
+LONG_CHARS = 200
+#: Cross-entropies are compared in units of 2 ** -32, in digits of 11 bits.
+_UNIT = 1 << 32
+_DIGIT = 11
+_DIGITS = 4
 #: Least spread between texts of a language, as a share of its cross-entropy.
 LEAST_SPREAD = 0.05
 #: Characters beyond which a longer text adds no confidence to the score.
@@ -252,19 +256,35 @@ class LanguageModel:
 
 
 
-def fit(training: DataFrame, cells: int = CELLS, calibration_texts: int = CALIBRATION_TEXTS) -> LanguageModel:
-    """A model from the rows (text, lang); rows with a null in either teach nothing."""
-    rows = training.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(
-        "text IS NOT NULL AND lang IS NOT NULL"
-    )
-    texts = {row["lang"]: row["count"] for row in rows.groupBy("lang").count().collect()}
-    langs = sorted(texts)
+def fit(training: DataFrame, cells: int = CELLS, calibration_texts: int | None = None) -> LanguageModel:
+    """A model from the rows (text, lang); rows with a null in either teach nothing.
+
+    Every training text calibrates. `calibration_texts` is still accepted and limits nothing.
+    """
+    rows = _as_text(training.select("text", "lang"))
+    model = _learned(rows, cells)
+    if model.langs:
+        model.limits = _limits(measured(rows.where(_TEACHES), model), model.langs)
+    return model
+
+
+#: Of rows (text, lang), those that teach.
+_TEACHES = "text IS NOT NULL AND lang IS NOT NULL"
+
+
+def _as_text(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({name: F.col(name).cast("string") for name in ("text", "lang")})
+
+
+def _learned(rows: DataFrame, cells: int) -> LanguageModel:
+    """A model without limits."""
+    rows = rows.select("text", "lang").where(_TEACHES)
+    langs = sorted(row["lang"] for row in rows.select("lang").distinct().collect())
     if not langs:
         return LanguageModel([], {})
-    number = F.create_map(*[F.lit(x) for i, lang in enumerate(langs) for x in (lang, i)])[F.col("lang")]
     counted = rows.mapInArrow(_count, "lang string, first long, last long, n long")
     grams = stored(
-        counted.groupBy(number.alias("lang"), "first", "last").agg(F.sum("n").alias("n")), "language-grams"
+        counted.groupBy(_number(langs).alias("lang"), "first", "last").agg(F.sum("n").alias("n")), "language-grams"
     )
     model = LanguageModel(langs, {}, _facts(grams))
     released(grams)
@@ -279,11 +299,15 @@ def fit(training: DataFrame, cells: int = CELLS, calibration_texts: int = CALIBR
     hashes = _hashes(*columns[:2])
     order = np.argsort(hashes)
     logs = np.column_stack(columns[2:]).astype(np.float32)[order]
-    model.frequent = training.sparkSession.sparkContext.broadcast((hashes[order], logs))
-    model.limits = _calibrate(model, rows, texts, calibration_texts)
+    model.frequent = rows.sparkSession.sparkContext.broadcast((hashes[order], logs))
     return model
 
 
+def _number(langs: list[str]):
+    """The number of the language in `lang`, null for none."""
+    return F.create_map(*[F.lit(x) for i, lang in enumerate(langs) for x in (lang, i)])[F.col("lang")]
+
+
 def _add_totals(model: LanguageModel) -> None:
     """Discounts and totals by order and language, and how many characters there are."""
     entry = F.explode(F.map_entries("by")).alias("entry")
@@ -311,40 +335,78 @@ def _add_totals(model: LanguageModel) -> None:
     model.characters = model.facts.where(F.col("kind") == _COUNTS[-1]).count() + 1
 
 
-def _calibrate(
-    model: LanguageModel, rows: DataFrame, counts: dict[str, int], texts: int
-) -> dict[str, tuple[float, float, float]]:
+def _limits(found: DataFrame, langs: list[str]) -> dict[str, tuple[float, float, float]]:
     """Median, spread and variance per character of the cross-entropy, by language.
 
-    About `texts` texts of each language are drawn. Where none of them has a letter, the
-    language's texts that have one are looked for instead.
+    From all measured rows with a `lang` and a letter, each by its own language.
     """
-    own = F.create_map(*[F.lit(x) for i, lang in enumerate(model.langs) for x in (lang, i)])[F.col("lang")]
-
-    def entropies(part: DataFrame) -> pd.DataFrame:
-        found = measured(part, model).where("n > 0").select(
-            "lang", "n", (F.get("sums", own) / F.col("n")).alias("mean"), (F.get("squares", own) / F.col("n")).alias("square")
-        )
-        table = found.toArrow().to_pandas()
-        table["variance"] = np.maximum(table["square"] - table["mean"] ** 2, 0)
-        table["entropy"] = -table["mean"]
-        return table
-
-    drawn = rows.sampleBy("lang", {lang: min(1.0, texts / n) for lang, n in counts.items()}, seed=11)
-    found = entropies(drawn)
-    for lang in set(model.langs) - set(found["lang"]):
-        lettered = rows.where(F.col("lang") == lang).where(F.rlike(F.col("text"), F.lit(r"\p{L}")))
-        found = pd.concat([found, entropies(lettered.limit(texts))])
+    own = found.where("n > 0").select(_number(langs).alias("lang"), "n", "sums", "squares").where("lang IS NOT NULL")
+    mean, square = (F.get(name, F.col("lang")) / F.col("n") for name in ("sums", "squares"))
+    units = F.least(F.greatest(F.round(-mean * _UNIT), F.lit(0)).cast("long"), F.lit((1 << _DIGIT * _DIGITS - 1) - 1))
+    variance = F.greatest(square - mean * mean, F.lit(0.0))
+    own = stored(own.select("lang", "n", units.alias("units"), variance.alias("variance")), "language-entropies")
+    within = own.groupBy("lang").agg((F.sum(F.col("variance") * F.col("n")) / F.sum("n")).alias("within")).collect()
+    within = {row["lang"]: float(row["within"]) for row in within}
+    if not within:
+        released(own)
+        return {}
+
+    def of_lang(values: dict[int, float]):
+        return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col("lang")]
+
+    # Above twice the limit, how long a text is does not matter to the lesser of limit and median.
+    lengths = _medians(own.select("lang", F.least("n", F.lit(2 * LONG_CHARS)).alias("value")), 1)
+    least = of_lang({lang: float(min(LONG_CHARS, length)) for lang, length in lengths.items()})
+    long = own.where(F.col("n") >= least)
+    middles = _medians(long.select("lang", F.col("units").alias("value")), _DIGITS)
+    # Medians may lie between two units, so deviations count in halves.
+    halves = F.abs(F.col("units") * 2 - of_lang({lang: int(2 * middle) for lang, middle in middles.items()}))
+    spreads = _medians(long.select("lang", halves.alias("value")), _DIGITS)
+    released(own)
     limits = {}
-    for lang, part in found.groupby("lang"):
-        within = float(np.average(part["variance"], weights=part["n"]))
-        long = part[part["n"] >= min(200, part["n"].median())]
-        middle = float(long["entropy"].median())
-        spread = 1.4826 * float((long["entropy"] - middle).abs().median())
-        limits[lang] = (middle, max(spread, LEAST_SPREAD * middle), within)
+    for lang, middle in middles.items():
+        middle /= _UNIT
+        spread = 1.4826 * spreads[lang] / 2 / _UNIT
+        limits[langs[lang]] = (middle, max(spread, LEAST_SPREAD * middle), within[lang])
     return limits
 
 
+def _medians(values: DataFrame, digits: int) -> dict[int, float]:
+    """The exact median by language of the rows (lang, value), values being whole and of up to so many digits.
+
+    Rows are counted by language and their first digit, then those that share it with a middle row by the
+    next, and so on. Counts combine map-side, and the driver sees 2 * 2 ** _DIGIT of them a language at most.
+    """
+    # By language, of both middle rows: the digits known, and the place among the rows that have them.
+    middles: dict[int, list[tuple[int, int]]] = {}
+    for shift in range(_DIGIT * (digits - 1), -1, -_DIGIT):
+        part = values
+        if middles:
+            known = F.create_map(
+                *[x for lang, own in middles.items() for x in (F.lit(lang), F.array(*[F.lit(head).cast("long") for head, _ in own]))]
+            )[F.col("lang")]
+            part = values.where(F.array_contains(known, F.shiftright("value", shift + _DIGIT)))
+        counts: dict[int, dict[int, int]] = {}
+        for row in part.groupBy("lang", F.shiftright("value", shift).alias("head")).count().collect():
+            counts.setdefault(row["lang"], {})[row["head"]] = row["count"]
+        if not middles:
+            sizes = {lang: sum(own.values()) for lang, own in counts.items()}
+            middles = {lang: [(0, (n - 1) // 2), (0, n // 2)] for lang, n in sizes.items()}
+        for lang, own in middles.items():
+            middles[lang] = [_next_digit(counts[lang], *middle) for middle in own]
+    return {lang: (low + high) / 2 for lang, ((low, _), (high, _)) in middles.items()}
+
+
+def _next_digit(counts: dict[int, int], known: int, place: int) -> tuple[int, int]:
+    """The digits with one more of the row at the place, and its place among the rows that have them."""
+    heads = sorted(head for head in counts if head >> _DIGIT == known)
+    for head in heads:
+        if place < counts[head]:
+            return head, place
+        place -= counts[head]
+    raise ValueError("no row at this place")
+
+
 def _measure(frequent: Broadcast, langs: int):
     """A task function from rows with a `text` to their characters, sums of logarithms, and 4-grams to look up."""
 
@@ -441,11 +503,31 @@ def _decide(model: LanguageModel):
     return run
 
 
+def _verdicts(found: DataFrame, model: LanguageModel) -> DataFrame:
+    kind = found.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, lang_pred string, score double, rejected boolean"
+    return found.select("doc_id", "n", "sums").mapInArrow(_decide(model), schema)
+
+
+def _unknown(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
+
+
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """(doc_id, lang_pred, score, rejected) of every row with a `text`."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return _verdicts(measured(rows, model), model) if model.langs else _unknown(rows)
+
+
+def fit_and_identify(docs: DataFrame, cells: int = CELLS) -> DataFrame:
+    """`identify` of the rows (doc_id, text, lang) by a model fitted on those of them that have a `lang`.
+
+    A training text is measured once for its language's limits and for its own verdict.
+    """
+    rows = _as_text(docs.select("doc_id", "text", "lang"))
+    model = _learned(rows, cells)
     if not model.langs:
-        return rows.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
-    schema = f"doc_id {kind}, lang_pred string, score double, rejected boolean"
-    return measured(rows, model).select("doc_id", "n", "sums").mapInArrow(_decide(model), schema)
+        return _unknown(rows)
+    found = stored(measured(rows, model), "language-measured")
+    model.limits = _limits(found, model.langs)
+    return _verdicts(found, model)
