@@ -12,7 +12,7 @@ stay and they lose no passage, but they go for their language or a benchmark ite
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlight.llm import decontamination, language_id, minhash, packing, recompression
@@ -41,17 +41,17 @@ def _without(docs: DataFrame, column: str, gone: DataFrame) -> DataFrame:
     return docs.join(listed, docs[column] == listed["__pipeline_gone"], "left_anti")
 
 
-def _without_texts(docs: DataFrame, found) -> DataFrame:
-    """The documents whose own text is not among the rows that `found` returns of (doc_id, text)."""
+def _without_texts(docs: DataFrame, found, *more: Column) -> DataFrame:
+    """The documents whose own text is not among the rows that `found` returns of (doc_id, text, ...)."""
     keyed = _keyed(docs)
-    gone = found(keyed.select(F.col(_ID).alias("doc_id"), "text")).select(F.col("doc_id").alias(_ID))
+    gone = found(keyed.select(F.col(_ID).alias("doc_id"), "text", *more)).select(F.col("doc_id").alias(_ID))
     return _without(keyed, _ID, gone).select(*docs.columns)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; `lang` stays as it came."""
-    model = language_id.fit(docs.where(~held_out(F.col("doc_id"))))
-    return _without_texts(docs, lambda texts: language_id.identify(texts, model).where("rejected"))
+    known = F.when(~held_out(F.col("doc_id")), F.col("lang")).alias("lang")
+    return _without_texts(docs, lambda texts: language_id.fit_and_identify(texts).where("rejected"), known)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -108,3 +108,17 @@ def test_stages_keep_columns_and_rows_of_any_kind(spark, make_docs, tangled, sma
     assert corpus_pipeline.STAGES[-1][1](spark, docs, small).count() >= len(rows)
     counted = quality_rules.counts(docs)
     assert counted.where("doc_id = 3 AND n_words = 1").count() == 1
+
+
+def test_pipeline_limits_count_every_training_text(spark, small, monkeypatch):
+    seen, limits = [], language_id._limits
+
+    def counted(found, langs):
+        seen.append(found.where("lang IS NOT NULL").count())
+        return limits(found, langs)
+
+    monkeypatch.setattr(language_id, "_limits", counted)
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    corpus_pipeline.identify_language(spark, docs, small)
+    training = docs.where(~held_out(F.col("doc_id"))).where("text IS NOT NULL AND lang IS NOT NULL")
+    assert seen == [training.count()]
