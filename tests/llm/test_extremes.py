@@ -1,11 +1,17 @@
 """Very long texts, repeated rows and empty tables, for the operators without such tests of their own."""
 
+import subprocess
+import sys
+from pathlib import Path
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from wardlight.llm import chat, language_id, packing, quality_classifier, quality_rules
+from wardlight.llm import chat, common, language_id, packing, quality_classifier, quality_rules
 
+ROOT = Path(__file__).resolve().parents[2]
 LONG = " ".join(f"w{i % 977}" for i in range(120_000))
 
 
@@ -61,3 +67,46 @@ def test_language_of_a_long_text(spark, make_docs):
     found = language_id.identify(make_docs({1: LONG, 2: brute.characters(LONG), 3: "éé èé"}), model)
     assert {r.doc_id: r.lang_pred for r in found.collect()} == {1: "x", 2: "x", 3: "y"}
     assert language_id.identify(make_docs({}), model).count() == 0
+
+
+def test_task_functions_get_bounded_batches_and_leave_no_memory(spark, make_docs):
+    """A batch of texts has a bounded size, and freed memory goes back to the system."""
+
+    def task(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["rows", "bytes"])
+
+    docs = make_docs({i: "x" * 10_000 for i in range(2000)}).coalesce(1).select("doc_id", "text")
+    rows = common.mapped(docs, task, "rows long, bytes long").collect()
+    assert sum(r.rows for r in rows) == 2000 and max(r.bytes for r in rows) < 2 * common.BATCH_BYTES
+    assert _memory_kept("common.trimmed(fragments)") < _memory_kept("fragments") / 2
+
+
+_FRAGMENTS = """
+import ctypes, re
+from wardlight.llm import common
+libc = ctypes.CDLL(None)
+libc.malloc.restype, libc.malloc.argtypes, libc.free.argtypes = ctypes.c_void_p, [ctypes.c_size_t], [ctypes.c_void_p]
+
+def resident():
+    return int(re.search(r"VmRSS:\\s+(\\d+)", open("/proc/self/status").read()).group(1))
+
+def fragments(batches):
+    # Frees all of many small blocks but the last, which holds the C library's heap up.
+    blocks = [libc.malloc(10_000) for _ in range(20_000)]
+    for block in blocks:
+        ctypes.memset(block, 1, 10_000)
+    for block in blocks[:-1]:
+        libc.free(block)
+    yield None
+
+before = resident()
+list(TASK([]))
+print(resident() - before)
+"""
+
+
+def _memory_kept(task: str) -> int:
+    """What a process of its own holds more after the task function than before, in kB."""
+    code = _FRAGMENTS.replace("TASK", task)
+    return int(subprocess.run([sys.executable, "-c", code], capture_output=True, check=True, text=True, cwd=ROOT).stdout)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import text_blocks
+from wardlight.llm.common import mapped, text_blocks
 from wardlight.llm.words import mixed, odd_constants, tokenise, window_hashes
 
 SHINGLE = 5
@@ -184,5 +184,5 @@ def leaks(
     for number in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == number).collect()
         block = Items([row["item_id"] for row in part], [row["text"] for row in part])
-        found.append(rows.mapInArrow(_search(block, least), schema))
+        found.append(mapped(rows, _search(block, least), schema))
     return reduce(DataFrame.unionByName, found)

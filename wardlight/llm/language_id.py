@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
 
-from wardlight.llm.common import released, stored, text_blocks
+from wardlight.llm.common import mapped, released, stored, text_blocks
 from wardlight.llm.words import mixed
 
 ORDER = 4
@@ -282,7 +282,7 @@ def _learned(rows: DataFrame, cells: int) -> LanguageModel:
     langs = sorted(row["lang"] for row in rows.select("lang").distinct().collect())
     if not langs:
         return LanguageModel([], {})
-    counted = rows.mapInArrow(_count, "lang string, first long, last long, n long")
+    counted = mapped(rows, _count, "lang string, first long, last long, n long")
     grams = stored(
         counted.groupBy(_number(langs).alias("lang"), "first", "last").agg(F.sum("n").alias("n")), "language-grams"
     )
@@ -459,7 +459,7 @@ def measured(rows: DataFrame, model: LanguageModel) -> DataFrame:
     lists = ("sums", DoubleType()), ("squares", DoubleType()), ("firsts", LongType()), ("lasts", LongType())
     for name, kind in (*lists, ("times", LongType())):
         schema = schema.add(name, ArrayType(kind))
-    found = rows.mapInArrow(_measure(model.frequent, len(model.langs)), schema)
+    found = mapped(rows, _measure(model.frequent, len(model.langs)), schema)
     found = stored(found.withColumn("row", F.monotonically_increasing_id()), "language-texts")
     listed = found.select("row", F.explode(F.arrays_zip("firsts", "lasts", "times")).alias("own")).select(
         "row", F.col("own.firsts").alias("first"), F.col("own.lasts").alias("last"), F.col("own.times").alias("times")
@@ -506,7 +506,7 @@ def _decide(model: LanguageModel):
 def _verdicts(found: DataFrame, model: LanguageModel) -> DataFrame:
     kind = found.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, lang_pred string, score double, rejected boolean"
-    return found.select("doc_id", "n", "sums").mapInArrow(_decide(model), schema)
+    return mapped(found.select("doc_id", "n", "sums"), _decide(model), schema)
 
 
 def _unknown(rows: DataFrame) -> DataFrame:

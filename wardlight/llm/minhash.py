@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import stored, text_blocks
+from wardlight.llm.common import mapped, stored, text_blocks
 from wardlight.llm.words import mixed, odd_constants, shingle_sets
 
 BANDS = 32
@@ -190,8 +190,8 @@ def groups(
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     signed = stored(
-        rows.mapInArrow(
-            _sign(bands, band_slots), f"doc_id {kind}, n_shingles long, set_key binary, bands array<long>"
+        mapped(
+            rows, _sign(bands, band_slots), f"doc_id {kind}, n_shingles long, set_key binary, bands array<long>"
         ),
         "minhash-bands",
     )
@@ -206,8 +206,8 @@ def groups(
     members = stored(banded.join(shared, "key"), "minhash-members")
     needed = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = stored(
-        rows.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(
-            _sets, f"doc_id {kind}, shingles array<long>"
+        mapped(
+            rows.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]), _sets, f"doc_id {kind}, shingles array<long>"
         ),
         "minhash-sets",
     )

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import stored, text_blocks
+from wardlight.llm.common import mapped, stored, text_blocks
 
 CAPACITY = 1024
 END_ID = 2
@@ -402,8 +402,10 @@ def pack(
     kind = docs.schema["doc_id"].dataType.simpleString()
     columns = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    pieces = rows.mapInArrow(
-        _tokenize(path or tokenizer_path(), capacity, end_id, with_ids), columns + (", ids array<int>" if with_ids else "")
+    pieces = mapped(
+        rows,
+        _tokenize(path or tokenizer_path(), capacity, end_id, with_ids),
+        columns + (", ids array<int>" if with_ids else ""),
     )
     pieces = stored(pieces.withColumn("row", F.monotonically_increasing_id()), "packing-pieces")
     shards = pieces.count() // SHARD_ROWS + 1
@@ -419,8 +421,8 @@ def pack(
         .select(*placed.columns[:-1], (F.col("skipped") + F.col("local") - 1).alias("rank"))
     )
     histogram = {row["length"]: row["n"] for row in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    found = ranked.mapInArrow(
-        _assign(plan(histogram, capacity, groups)), columns + ", row long, sequence_id long, offset long"
+    found = mapped(
+        ranked, _assign(plan(histogram, capacity, groups)), columns + ", row long, sequence_id long, offset long"
     )
     if with_ids:
         found = found.join(pieces.select("row", "ids"), "row")

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import by_text, hashed, in_several, released, stored, text_blocks
+from wardlight.llm.common import by_text, hashed, in_several, mapped, released, stored, text_blocks
 from wardlight.llm.words import Words, mixed, odd_constants, power_tables, tokenise, window_hashes
 
 WINDOW = 13
@@ -283,7 +283,7 @@ def _remove_repeats(rows: DataFrame, window: int, with_text: bool) -> DataFrame:
     """`remove_repeats` of rows whose ids differ from text to text."""
     kind = rows.schema["doc_id"].dataType.simpleString()
     signed = stored(
-        rows.mapInArrow(_sign(window), f"doc_id {kind}, n_words long, words_sha256 string, keys array<long>"),
+        mapped(rows, _sign(window), f"doc_id {kind}, n_words long, words_sha256 string, keys array<long>"),
         "recompression-keys",
     )
     long_enough = signed.where(f"n_words >= {window} AND doc_id IS NOT NULL")
@@ -297,8 +297,10 @@ def _remove_repeats(rows: DataFrame, window: int, with_text: bool) -> DataFrame:
     # A document lists a key once, so a key of several rows is one of several documents.
     shared = stored(in_several(keys), "recompression-shared")
     contexts = stored(
-        rows.join(hashed(shared), "doc_id").mapInArrow(
-            _contexts(window), f"doc_id {kind}, key long, high long, low int, start int, end int"
+        mapped(
+            rows.join(hashed(shared), "doc_id"),
+            _contexts(window),
+            f"doc_id {kind}, key long, high long, low int, start int, end int",
         ),
         "recompression-contexts",
     )
@@ -318,7 +320,7 @@ def _remove_repeats(rows: DataFrame, window: int, with_text: bool) -> DataFrame:
     released(contexts, classes)
     listed = decided.where("NOT gone").groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     windows = stored(
-        rows.join(hashed(listed), "doc_id").mapInArrow(_windows(window), f"doc_id {kind}, high long, low long, start int"),
+        mapped(rows.join(hashed(listed), "doc_id"), _windows(window), f"doc_id {kind}, high long, low long, start int"),
         "recompression-windows",
     )
     earliest = (
@@ -341,8 +343,8 @@ def _remove_repeats(rows: DataFrame, window: int, with_text: bool) -> DataFrame:
         "recompression-repeats",
     )
     released(decided, windows)
-    cut = rows.join(hashed(repeats), "doc_id").mapInArrow(
-        _cut, f"doc_id {kind}, n_cut long, left_text string, left_sha256 string"
+    cut = mapped(
+        rows.join(hashed(repeats), "doc_id"), _cut, f"doc_id {kind}, n_cut long, left_text string, left_sha256 string"
     )
     if not with_text:
         cut = cut.drop("left_text")
